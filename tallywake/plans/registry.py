@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["grading"]
+MODULES = ["grading", "usage"]
 
 Job = Callable[[SparkSession, str], DataFrame]
 
