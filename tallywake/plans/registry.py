@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["grading", "usage"]
+MODULES = ["grading", "usage", "graph"]
 
 Job = Callable[[SparkSession, str], DataFrame]
 
