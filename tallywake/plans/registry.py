@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["grading", "usage", "graph"]
+MODULES = ["grading", "usage", "graph", "sessions"]
 
 Job = Callable[[SparkSession, str], DataFrame]
 
