@@ -106,3 +106,94 @@ CONCEPT_WORDS = {
     "configuration": ["config", "env", "docker", "deploy", "ci", "pipeline", "workflow", "workflows"],
     "dependency": ["dependency", "dependencies", "deps", "dependabot", "renovate", "lockfile", "lockfiles"],
 }
+
+# Words a request and a path never match on when predicting impact.
+IMPACT_STOP_WORDS = (
+    "a add also an and are as at be by can change do drop fix for from get has have i in into is it just make need new of on only or our "
+    "please remove rename should that the this to update use via want we when with"
+).split()
+DOMAIN_KEYWORDS = (
+    "api auth booking billing cache checkout csv database email export import invoice login migration notification order payment refund "
+    "report route schema stripe subscription upload user webhook"
+).split()
+TEST_MATCH_STOP_TERMS = (
+    "app backend component components frontend helper helpers hook hooks index lib screen service services src test tests types ui util utils"
+).split()
+COPY_WORDS = (
+    "copy copywriting microcopy wording reword rephrase typo typos spelling i18n l10n translation translations translate translated "
+    "translating locale locales localisation localization localise localize localised localized internationalisation "
+    "internationalization language languages multilingual"
+).split()
+TEST_WORDS = ["test", "tests", "spec", "coverage", "qa"]
+DOC_WORDS = ["doc", "docs", "documentation", "readme", "changelog"]
+GIT_HOOK_WORDS = ["hook", "hooks", "githook", "githooks", "husky", "precommit", "commit", "push", "prepush"]
+SKILL_WORDS = ["skill", "skills", "prompt", "prompts", "playbook", "rubric", "instruction", "instructions"]
+BOUNDARY_WORDS = ["api", "endpoint", "form", "payload", "request", "route", "submit"]
+OWNER_DOC_WORDS = ["doc", "docs", "documentation", "readme", "guide", "changelog"]
+TEMPLATE_WORDS = ["email", "template", "handlebars", "layout", "partial", "preview", "branding", "campaign", "audience", "newsletter"]
+RELEASE_WORDS = ["release", "changelog", "version"]
+
+# Impact weights, hints and factors.
+IMPACT_WEIGHTS = {"path": 9.0, "symbol": 5.0, "route": 7.0, "export": 4.0, "import": 2.5}
+CONCEPT_BONUS = 6.0
+CONFIG_HINT_BONUS = 4.0
+DEFINER_BONUS = 30.0
+PIN_MARGIN = {"path": 20.0, "symbol": 10.0, "implements": 10.0, "dependency": 5.0}
+CONFIG_HINTS = {
+    "docker": ["dockerfile", "docker-compose"],
+    "env": [".env", "config", "settings"],
+    "config": ["config", "settings"],
+    "deploy": ["dockerfile", "procfile", "wrangler", "vercel", "netlify"],
+    "database": ["schema", "migration", "prisma"],
+    "migration": ["schema", "migration", "prisma"],
+    "stripe": ["stripe"],
+    "auth": ["auth", "session", "middleware"],
+}
+OWNER_KINDS = [
+    "controller", "service", "route", "apiRoute", "apiClient", "schema", "dto", "module", "component", "template", "skill", "doc",
+]
+BOUNDARY_KINDS = ["controller", "apiRoute", "apiClient", "dto"]
+NEVER_OWNER_KINDS = ["test", "changelog", "config", "translation"]
+
+# Context ranking.
+CONTEXT_STOP_WORDS = (
+    "a an and are as at be by do does for from how i in is it just let me new of on only or the to we what where which who why with app "
+    "mobile show"
+).split()
+ACTION_WORDS = "add build change create debug fix implement migrate refactor remove rename review test update".split()
+SYMPTOM_WORDS = ["bug", "bugs", "bugfix", "broken", "crash", "crashes", "crashing", "regression", "regressions"]
+QUESTION_SHAPE = (
+    r"(?i)^(?:(?:where|how|why|what|which|who|when)(?:'s)?\b(?!\s+(?:do|does|should|can|could|would|might)\s+(?:i|we|you)\b)"
+    r"|(?:is|are|was|were|does|do|did|can|should)\s+(?!i\b|we\b|you\b)[^?]*\?\s*$)"
+)
+PHRASE_CONNECTORS = ["of", "in", "to", "for", "on", "at", "with"]
+WORD_VARIANTS = {
+    "organisation": ["organization"],
+    "organization": ["organisation"],
+    "branding": ["brand"],
+    "signup": ["register", "registration"],
+    "verification": ["verify", "verified", "validate", "otp"],
+    "qr": ["scan", "ticket"],
+    "check": ["scan"],
+    "checkin": ["scan"],
+    "venue": ["address", "location"],
+    "private": ["hide", "hidden", "visibility"],
+    "privacy": ["hide", "hidden", "visibility"],
+}
+CONTEXT_WEIGHTS = {
+    "path": 8, "kind": 4, "domain": 5, "route": 7, "controller": 7, "repo": 3, "package": 3, "http": 7, "import": 3, "export": 8,
+    "form": 5, "navigation": 7, "local": 4,
+}
+CATALOG_WEIGHTS = {
+    "path": 8, "kind": 4, "domain": 5, "repo": 3, "package": 3, "route": 6, "controller": 6, "http": 7, "import": 3, "export": 8, "symbol": 9,
+}
+FIELD_CAPS = {"http": 56, "import": 18, "export": 32}
+NAMED_EXTENSIONS = (
+    "ts tsx js jsx mjs cjs mts cts go cs py java rb rs hbs handlebars json yaml yml snap md mdx markdown css scss sass less html vue "
+    "svelte sql prisma graphql gql sh toml kt swift php"
+).split()
+TREE_NAMES = "app bin build dist lib main node_modules out packages pkg public src test tests".split()
+GRAPH_ANCHOR_STOP_TERMS = (
+    "app build check clean cleanup code create delete disable enable file files function handle implement improve index lib list load "
+    "logic main method mod module move read refactor replace run save send set show simplify spec src support test tests tidy type types write"
+).split()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,14 +12,23 @@ def lit_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_camel(text: Column) -> Column:
     return F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")
 
 
+def normalized(text: Column) -> Column:
+    """Camel case split, lower case, everything but letters and digits to single spaces."""
+    return F.trim(F.regexp_replace(F.lower(split_camel(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", " "))
+
+
 def words(text: Column) -> Column:
-    """Lower-case alphanumeric runs, camel case split, in order, repeats kept."""
-    lowered = F.lower(split_camel(text))
-    return F.filter(F.split(lowered, "[^a-z0-9]+"), lambda w: w != "")
+    """The words of ``normalized``, in order, repeats kept."""
+    return F.filter(F.split(normalized(text), " "), lambda w: w != "")
 
 
 def singular(word: Column) -> Column:
