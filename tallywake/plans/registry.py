@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["grading", "usage", "graph", "sessions", "impact", "changes"]
+MODULES = ["grading", "usage", "graph", "sessions", "impact", "changes", "evaluation"]
 
 Job = Callable[[SparkSession, str], DataFrame]
 
