@@ -24,10 +24,10 @@ def parse_commits(chunks: DataFrame) -> DataFrame:
     """
     lines = F.split("value", "\n")
     head = F.split(lines[0], "\t")
-    stats = F.transform(F.filter(F.transform(F.slice(lines, 2, F.size(lines)), F.trim), lambda s: s != ""), lambda s: F.split(s, "\t"))
-    kept = F.filter(stats, lambda p: (F.size(p) >= 3) & (p[0] != "-") & (F.get(p, F.lit(2)) != ""))
-    number = lambda c: F.when(c.rlike("^[0-9]+$"), c.cast("int")).otherwise(0)
-    files = F.transform(kept, lambda p: F.struct(p[2].alias("path"), number(p[0]).alias("additions"), number(p[1]).alias("deletions")))
+    rows = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), lambda s: F.trim(s)), lambda s: s.rlike(r"^[0-9]+\t[0-9]*\t."))
+    part = lambda s, i: F.regexp_extract(s, r"^([0-9]+)\t([0-9]*)\t([^\t]+)", i)
+    number = lambda s: F.coalesce(s.try_cast("int"), F.lit(0))
+    files = F.transform(rows, lambda s: F.struct(part(s, 3).alias("path"), number(part(s, 1)).alias("additions"), number(part(s, 2)).alias("deletions")))
     return chunks.where(head[0] != "").select(
         "repo_id",
         head[0].alias("sha"),
