@@ -338,8 +338,10 @@ def change_risk(enriched: DataFrame, comments: DataFrame | None = None) -> DataF
 
     enriched(change_id, path, kind, additions, deletions), comments(change_id, comments).
     """
-    flags = P.risk_flags(F.col("path"), F.col("kind"), F.coalesce("additions", F.lit(0)) + F.coalesce("deletions", F.lit(0)))
-    rows = enriched.select("change_id", "kind", "additions", "deletions", F.when(F.col("kind") != "test", flags).alias("flags"))
+    known = P.with_path_facts(enriched, {"_flags": P.risk_flags(F.col("path"), F.col("kind"))}, ("path", "kind"))
+    lines = F.coalesce("additions", F.lit(0)) + F.coalesce("deletions", F.lit(0))
+    large = F.when(lines >= fixed.LARGE_DIFF_LINES, lit_array(["large file diff"])).otherwise(F.array().cast("array<string>"))
+    rows = known.select("change_id", "kind", "additions", "deletions", F.when(F.col("kind") != "test", F.concat("_flags", large)).alias("flags"))
     names = list(fixed.RISK_WEIGHTS)
     counted = rows.groupBy("change_id").agg(
         F.sum(F.coalesce("additions", F.lit(0)) + F.coalesce("deletions", F.lit(0))).alias("lines"),

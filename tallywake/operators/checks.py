@@ -32,7 +32,7 @@ def changed_files(changes: DataFrame, files: DataFrame) -> DataFrame:
 
 def secret_paths(files: DataFrame) -> DataFrame:
     """FAIL when a changed path is a credential file."""
-    counted = files.groupBy("change_id").agg(F.count_if(P.is_secret(F.col("path"))).alias("n"))
+    counted = P.with_path_facts(files, {"_secret": P.is_secret(F.col("path"))}).groupBy("change_id").agg(F.count_if("_secret").alias("n"))
     return _check(counted, "Secret paths", F.when(F.col("n") > 0, "FAIL").otherwise("PASS"), F.col("n"))
 
 
@@ -63,7 +63,7 @@ def secret_content(changes: DataFrame, findings: DataFrame) -> DataFrame:
 
 def risk_review(files: DataFrame) -> DataFrame:
     """C4: WARN when a changed path is risk-sensitive."""
-    counted = files.groupBy("change_id").agg(F.count_if(P.is_gate_risk(F.col("path"))).alias("n"))
+    counted = P.with_path_facts(files, {"_risk": P.is_gate_risk(F.col("path"))}).groupBy("change_id").agg(F.count_if("_risk").alias("n"))
     return _check(counted, "Risk review", F.when(F.col("n") > 0, "WARN").otherwise("PASS"), F.col("n"))
 
 
@@ -229,7 +229,7 @@ def policy(checks: DataFrame, changes: DataFrame, files: DataFrame, high_risk: b
     named = checks.where(F.col("name").isin(*fixed.COMPANY_CHECKS)).groupBy("change_id").agg(
         F.collect_set(F.when(F.col("status") == "PASS", F.col("name"))).alias("passed")
     )
-    risky = files.groupBy("change_id").agg(F.count_if(P.is_gate_risk(F.col("path"))).alias("risky"))
+    risky = P.with_path_facts(files, {"_risk": P.is_gate_risk(F.col("path"))}).groupBy("change_id").agg(F.count_if("_risk").alias("risky"))
     rows = changes.join(named, "change_id", "left").join(risky, "change_id", "left")
     unmet = len(fixed.COMPANY_CHECKS) - F.size(F.coalesce(F.array_intersect("passed", lit_array(fixed.COMPANY_CHECKS)), F.array().cast("array<string>")))
     issues = (F.col("governance") == "solo").cast("int") + F.when(~F.col("remote"), 1).otherwise(unmet)

@@ -49,18 +49,51 @@ def match_owners(files: DataFrame, rules: DataFrame) -> DataFrame:
     A repository's rules are one short document, so they travel as one array to
     its files; no file is paired with every rule.
     """
-    compiled = rules.withColumn("regex", pattern_regex(F.col("pattern")))
+    compiled = rules.withColumn("test", _rule_test(F.col("pattern")))
     per_repo = compiled.groupBy("repo_id").agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct("rule_no", "regex", "owners")))).alias("_rules")
+        F.reverse(F.array_sort(F.collect_list(F.struct("rule_no", "test", "owners")))).alias("_rules")
     )
-    clean = P.normalize(P.forward(F.col("path")))
-    hit = F.get(F.filter("_rules", lambda r: F.regexp_like(F.col("_clean"), r["regex"])), F.lit(0))
-    joined = files.withColumn("_clean", clean).join(per_repo, "repo_id", "left")
+    slashed = F.concat(F.lit("/"), F.col("_clean"))
+
+    def matches(test: Column) -> Column:
+        mode, text = test["mode"], test["text"]
+        return (
+            F.when(mode == "end", F.endswith(slashed, text))
+            .when(mode == "under", F.contains(slashed, text))
+            .when(mode == "from", F.startswith(slashed, text))
+            .when(mode == "is", slashed == text)
+            .otherwise(F.regexp_like(F.col("_clean"), text))
+        )
+
+    # Rules come last first; once one matched, the others are not tested.
+    none = F.lit(None).cast("struct<rule_no:int,test:struct<mode:string,text:string>,owners:array<string>>")
+    hit = F.aggregate("_rules", none, lambda found, r: F.when(found.isNotNull(), found).when(matches(r["test"]), r))
+    joined = files.withColumn("_clean", P.normalize(P.forward(F.col("path")))).join(per_repo, "repo_id", "left")
     return joined.withColumn("_hit", hit).select(
         *files.columns, F.coalesce(F.col("_hit.owners"), F.array().cast("array<string>")).alias("owners"), F.col("_hit.rule_no").alias("rule_no")
     )
 
 
+def _rule_test(pattern: Column) -> Column:
+    """How to test a pattern against '/path': by plain text where it holds no wildcard, else by its expression."""
+    slashed = F.translate(F.trim(pattern), "\\", "/")
+    body = F.regexp_replace(slashed, r"^/|/$", "")
+    folder = F.regexp_replace(body, r"/\*\*$", "")
+    into = slashed.endswith("/") | body.endswith("/**")
+    anchored = slashed.startswith("/") & (body.contains("/") | slashed.endswith("/"))
+    plain = ~folder.rlike(r"[*?]")
+    suffix = body.rlike(r"^\*[^*?/]+$") & ~into
+    test = lambda mode, text: F.struct(F.lit(mode).alias("mode"), text.alias("text"))
+    return (
+        F.when(plain & into & anchored, test("from", F.concat(F.lit("/"), folder, F.lit("/"))))
+        .when(plain & into, test("under", F.concat(F.lit("/"), folder, F.lit("/"))))
+        .when(plain & anchored, test("is", F.concat(F.lit("/"), body)))
+        .when(plain, test("end", F.concat(F.lit("/"), body)))
+        .when(suffix, test("end", F.expr("substring(regexp_replace(translate(trim(pattern), '\\\\', '/'), '^/|/$', ''), 2)")))
+        .otherwise(test("regex", pattern_regex(pattern)))
+    )
+
+
 def approvals(reviews: DataFrame) -> DataFrame:
     """Logins whose last deciding review approved. reviews(change_id, seq, login, state)."""
     login, state = F.lower(F.trim("login")), F.upper(F.trim("state"))

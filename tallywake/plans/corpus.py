@@ -14,7 +14,7 @@ from tallywake.operators import terms as t
 from tallywake.plans.graph import PATH_SQL, PATHS_CTE
 from tallywake.plans.impact import FILES_CTE as DOC_FILES_CTE
 from tallywake.plans.impact import doc_files, doc_requests, sql_singular, sql_tokens
-from tallywake.plans.tables import CHANGES_CTE, changes, epoch_s, sql_proportion, sql_round3, table
+from tallywake.plans.tables import CHANGES_CTE, changes, epoch_s, spread, sql_proportion, sql_round3, table
 from tallywake.sources import corpus as sc
 from tallywake.sources import history as h
 
@@ -308,7 +308,7 @@ CODE_TEXT = r"""concat('import { a } from "./m', cast(doc_id as varchar(19)), '"
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as source code: an import, a class, its own text, then SQL and ORM calls."""
     ending = F.when(F.col("doc_id") % 6 == 0, ".md").when(F.col("doc_id") % 6 == 1, ".yml").otherwise(".ts")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), ending).alias("path"), F.expr(CODE_TEXT).alias("text"), "doc_id")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("repo_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), ending).alias("path"), F.expr(CODE_TEXT).alias("text"), "doc_id")
 
 
 CODE_CTE = f"""
@@ -430,7 +430,7 @@ union all select repo_id, path, 'export' from pf0 where domain like 'PROM%'"""
 
 
 def r13_search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), F.col("doc_id").alias("path"), "text")
+    rows = spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("repo_id"), F.col("doc_id").alias("path"), "text")
     return c.search_lines(rows, "THEN")
 
 

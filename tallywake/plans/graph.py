@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallywake.functions import paths as P
 from tallywake.functions.fixed_values import LANGUAGE_CODES
 from tallywake.operators import graph as g
-from tallywake.plans.tables import table
+from tallywake.plans.tables import spread, table
 
 # The same expressions run on both engines: a path for every part.
 FOLDER = """case p_type when 'ECONOMY' then 'src/services/' when 'LARGE' then 'src/app/api/' when 'MEDIUM' then 'tests/'
@@ -28,7 +28,7 @@ SPECIAL_SQL = """case p_partkey % 10 when 0 then 'package.json' when 1 then '.en
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's path, plus a root-level special name per part under its brand."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     rows = part.select(F.col("p_partkey").alias("id"), F.expr(PATH_SQL).alias("path"), (F.col("p_size") * 10).alias("changed_lines"))
     special = part.select((-F.col("p_partkey") - 1).alias("id"), F.expr(SPECIAL_SQL).alias("path"), F.lit(0).alias("changed_lines"))
     return rows.unionByName(special)
@@ -189,7 +189,7 @@ imports as (select distinct repo_id, path as src, unnest([s1, s2, s3]) as specif
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     named = part.select(
         F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 500).alias("repo_id"), F.expr(PATH_SQL).alias("path")
     )

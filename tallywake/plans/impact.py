@@ -9,7 +9,7 @@ from tallywake.functions import fixed_values as fixed
 from tallywake.functions import paths as P
 from tallywake.operators import impact as m
 from tallywake.operators import terms as t
-from tallywake.plans.tables import table
+from tallywake.plans.tables import spread, table
 
 # A document is a file: its lines are symbols, its first word an export and part of its path.
 DOC_PATH = """concat(case lang when 'en' then 'src/services/' when 'fr' then 'scripts/' when 'de' then 'tests/' else 'docs/' end,
@@ -21,7 +21,7 @@ REQUEST_TEXT = """concat(text, case item_id % 4 when 0 then ' fix login sessions
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("repo_id"), F.expr(DOC_PATH).alias("path"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.col("source").alias("repo_id"), F.expr(DOC_PATH).alias("path"), "text")
     line_type = lambda i: F.when(i % 2 == 0, "method").otherwise("function")
     symbols = F.transform(F.split("text", "\n"), lambda line, i: F.struct(line.alias("name"), line_type(i).alias("type")))
     p = F.col("path")
@@ -154,7 +154,7 @@ A23_SQL = f"with {FILES_CTE}, {TERMS_CTE}, {FREQ_CTE} select * from freq"
 
 
 def p7_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text").unionByName(
         doc_requests(spark, sf_dir).select((F.col("request_id") + 100_000_000).alias("doc_id"), "text")
     )
     return docs.select("doc_id", F.array_join(t.concepts(F.col("text")), "|").alias("concepts"))

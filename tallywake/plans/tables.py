@@ -24,6 +24,16 @@ def epoch_ms(name: str) -> Column:
     return F.expr(f"cast(floor({micros} * 1000) as bigint)")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few splits one partition per core before costly row work.
+
+    A table of any size has far more splits than cores and is left as it is, so
+    nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 # Orders are changes; returned line items are their repairs.
 CHANGES_CTE = """
 repairs as (

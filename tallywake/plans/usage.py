@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywake.operators import usage as u
-from tallywake.plans.tables import epoch_ms, sql_proportion, table
+from tallywake.plans.tables import epoch_ms, spread, sql_proportion, table
 from tallywake.sources import logs
 
 FLOOR = 30
@@ -30,7 +30,7 @@ usage as (select event_id as seq, epoch_us(ts) // 1000 as ts, k, {USAGE_SQL} fro
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("seq"),
         epoch_ms("ts").alias("ts"),
         k.alias("k"),
