@@ -57,9 +57,14 @@ DECLARATIONS = {
 }
 
 
-def read_source_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """files(repo_id, path, length, text) below a folder; the name and size filters reach the scan."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def read_source_files(spark: SparkSession, root: str, repo_id: str, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """files(repo_id, path, length, text) below a folder; the size filter reaches the scan.
+
+    Spark's file listing skips names that start with a dot, so dotted folders
+    to be read (``.github``, ``.husky``) are named in ``hidden``.
+    """
+    roots = [root, *[f"{root.rstrip('/')}/{name}" for name in hidden]]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
     shown = F.regexp_replace("path", r"^[a-z0-9]+:/{0,3}", "/")
     relative = F.regexp_replace(shown, "^.*?" + root.strip("/").replace(".", r"\.") + "/", "")
     name = P.basename(F.col("rel"))
