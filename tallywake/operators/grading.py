@@ -478,3 +478,15 @@ def assign_arm(unit: Sequence[Column], salt: str, share: float = 0.5, arms: tupl
     text = F.concat_ws(":", F.lit(salt), *[c.cast("string") for c in unit])
     bucket = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / 4294967296.0
     return F.when(bucket < share, arms[0]).otherwise(arms[1])
+
+
+def code_file_counts(commit_files: DataFrame) -> DataFrame:
+    """Per change how many files are no documents, and whether all are documents by the looser rule.
+
+    commit_files(repo_id, sha, path). A change without code files cannot be
+    graded; requests use the looser ``docs_only``.
+    """
+    from tallywake.functions import paths as P
+
+    known = P.with_path_facts(commit_files, {"_doc": P.is_doc(F.col("path")), "_like": P.is_doc_like(F.col("path"))})
+    return known.groupBy("repo_id", "sha").agg(F.count_if(~F.col("_doc")).alias("code_files"), F.min("_like").alias("docs_only"))

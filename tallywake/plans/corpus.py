@@ -484,6 +484,74 @@ def a38_request_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.request_modules(doc_requests(spark, sf_dir), doc_files(spark, sf_dir))
 
 
+def p9_docs_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths_ = table(spark, sf_dir, "part").select("p_partkey", F.expr(PATH_SQL).alias("path"))
+    rows = table(spark, sf_dir, "lineitem").join(paths_, F.col("l_partkey") == F.col("p_partkey")).select(F.lit(0).alias("repo_id"), F.col("l_orderkey").alias("sha"), "path")
+    return g.code_file_counts(rows)
+
+
+P9_SQL = f"""with {PATHS_CTE} select 0 as repo_id, l_orderkey as sha, count(*) filter (not is_doc) as code_files, bool_and(regexp_matches(path, '(?i)(\\.(md|mdx|markdown|txt|rst|adoc)$|^docs?/)')) as docs_only
+from lineitem join kinds on id = l_partkey group by 2"""
+
+
+def s19_eval_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One corpus per source: its documents are cases and risk labels."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.col("doc_id").cast("string")
+    case = F.struct(name.alias("name"), F.col("text").alias("query"), F.array(name).alias("expectedPrimary"), F.array().cast("array<string>").alias("expectedAnyOf"), (F.col("doc_id") % 3 == 0).alias("knownGap"))
+    risk = F.struct(name.alias("name"), F.lit("query").alias("mode"), F.col("lang").alias("query"), F.lit(None).cast("string").alias("path"), F.array(F.col("lang")).alias("expectedConcepts"))
+    corpora = docs.groupBy(F.col("source").alias("corpus_id")).agg(F.to_json(F.struct(F.lit(4).alias("k"), F.collect_list(case).alias("retrieval"), F.collect_list(risk).alias("risk"))).alias("value"))
+    cases, labels, _ = sc.eval_corpus(corpora)
+    left = cases.groupBy("corpus_id", "k").agg(F.count("*").alias("cases"), F.count_if("knownGap").alias("gaps"), F.sum(F.length("query")).alias("chars"))
+    right = labels.groupBy("corpus_id").agg(F.count("*").alias("labels"), F.count_if(F.array_contains("expectedConcepts", "en")).alias("english"))
+    return left.join(right, "corpus_id")
+
+
+S19_SQL = "select source as corpus_id, 4 as k, count(*) as cases, count(*) filter (doc_id % 3 = 0) as gaps, cast(sum(length(text)) as bigint) as chars, count(*) as labels, count(*) filter (lang = 'en') as english from documents group by 1"
+
+
+def symbol_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files that define makeThing functions; some are registries, some export what they define."""
+    n = F.col("p_partkey")
+    make = F.concat(F.lit("makeThing"), (n % 300).cast("string"))
+    return table(spark, sf_dir, "part").select(
+        F.floor(n / 500).alias("repo_id"), F.concat(F.lit("src/m"), n.cast("string"), F.lit(".ts")).alias("path"), F.when(n % 10 == 3, "test").otherwise("source").alias("kind"), F.lit(False).alias("is_vendor"),
+        F.array(F.struct(make.alias("name"), F.when(n % 7 == 0, "heading").otherwise("function").alias("type")), F.struct(F.lit("setup").alias("name"), F.lit("function").alias("type"))).alias("symbols"),
+        F.when(n % 2 == 0, F.array(make)).otherwise(F.array().cast("array<string>")).alias("exports"), n.alias("n"), make.alias("make"),
+    )
+
+
+def j8_named_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywake.operators.impact import named_symbols
+
+    files = symbol_files(spark, sf_dir)
+    requests = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), F.floor(F.col("p_partkey") / 500).alias("repo_id"), F.concat(F.lit("please call makeThing"), (F.col("p_partkey") % 290).cast("string"), F.lit(" in setup of m.ts")).alias("text"))
+    degrees = files.select("repo_id", "path", (F.col("n") % 3).alias("importers"))
+    return named_symbols(requests, files, degrees).select("request_id", "repo_id", "path", "literal", "rule")
+
+
+J8S_SQL = """with f as (select p_partkey as n, p_partkey // 500 as repo_id, 'src/m' || p_partkey || '.ts' as path, 'makeThing' || (p_partkey % 300) as make from part where p_partkey % 10 <> 3 and p_partkey % 7 <> 0),
+few as (select repo_id, make from f group by 1, 2 having count(*) <= 3)
+select p_partkey as request_id, f.repo_id, f.path, f.make as literal, case when f.n % 2 = 0 and f.n % 3 > 0 then 'symbol' else 'definer' end as rule
+from part join f on f.repo_id = p_partkey // 500 and f.make = 'makeThing' || (p_partkey % 290) join few on few.repo_id = f.repo_id and few.make = f.make"""
+
+
+def j8_implementers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registries name run_thing_N and call makeThingN and setup of the modules they import."""
+    from tallywake.operators.impact import implementers
+
+    files = symbol_files(spark, sf_dir)
+    number = (F.col("n") % 300).cast("string")
+    name = F.concat(F.lit("run_thing_"), number)
+    registry = files.where("n % 4 = 1").select("repo_id", "path", name.alias("name"), F.array("make", F.lit("setup")).alias("calls"))
+    exports = files.select("repo_id", "path", "kind", F.when(F.col("n") % 2 == 0, F.array("make")).otherwise(F.array(F.lit("setup"))).alias("exports"), "n")
+    base = F.col("repo_id") * 500
+    imports = files.where("n % 4 = 1").select("repo_id", F.col("path").alias("src"), F.explode(F.array(F.col("n") + 300, F.col("n") - 300, F.col("n") + 1, F.col("n") + 2)).alias("m")).where((F.col("m") >= base) & (F.col("m") < base + 500))
+    imports = imports.select("repo_id", "src", F.concat(F.lit("src/m"), F.col("m").cast("string"), F.lit(".ts")).alias("dst"))
+    asked = registry.select(F.regexp_extract("path", "([0-9]+)", 1).cast("bigint").alias("request_id"), "repo_id", F.col("name").alias("literal"))
+    return implementers(asked, registry, imports, exports).select("request_id", "repo_id", "path", "literal", "via")
+
+
 QUERIES = {
     "s9_read_history": (s9_read_history, S9_SQL),
     "s10_read_hunks": (s10_read_hunks, S10_SQL),
@@ -513,4 +581,8 @@ QUERIES = {
     "p13_intent": (p13_intent, P13_SQL),
     "a38_scope_terms": (a38_scope_terms, A38_SQL),
     "a38_request_modules": (a38_request_modules, None),
+    "p9_docs_only": (p9_docs_only, P9_SQL),
+    "s19_eval_corpus": (s19_eval_corpus, S19_SQL),
+    "j8_named_symbols": (j8_named_symbols, J8S_SQL),
+    "j8_implementers": (j8_implementers, None),
 }

@@ -13,7 +13,7 @@ SAMPLE = ["a3_flag_calibration", "a15_exact_quantiles", "j16_prompts_by_hash", "
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) > 150
+    assert len(entry.queries()) >= 150
 
 
 def test_flagship_runs(spark):
