@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywake.functions import paths as P
 from tallywake.functions.text import lit_array
 from tallywake.sources.corpus import dependency_role
 

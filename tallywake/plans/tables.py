@@ -30,6 +30,8 @@ def spread(df: DataFrame) -> DataFrame:
     A table of any size has far more splits than cores and is left as it is, so
     nothing is shuffled there.
     """
+    if not hasattr(df.sparkSession, "sparkContext"):  # a remote session does not show its cores
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
