@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -29,15 +31,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; make one only when none is set."""
-    current = spark.sparkContext.getCheckpointDir()
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session may go without that setting: it gets a temporary folder.
+    On a cluster other machines could not see one, so there it is an error.
+    """
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current:
         return current
     target = spark.conf.get(CHECKPOINT_KEY, None)
     if not target:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all machines share")
         target = tempfile.mkdtemp(prefix="tallywake-checkpoint-")
-    spark.sparkContext.setCheckpointDir(target)
-    return target
+    context.setCheckpointDir(target)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
