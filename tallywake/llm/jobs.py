@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywake.llm import bpe, near_dup, packing, quality, rules, token_counts, token_file
+from tallywake.llm import bpe, near_dup, neighbours, packing, quality, rules, token_counts, token_file
 from tallywake.llm.storage import table
 
 
@@ -30,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_bpe": (op3_bpe, None),
     "op4_near_dup": (op4_near_dup, None),
     "op5_packing": (op5_packing, None),
+    "op6_neighbours": (op6_neighbours, None),
     "op7_quality": (op7_quality, None),
     "op10_rules": (op10_rules, None),
 }
