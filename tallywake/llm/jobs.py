@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywake.llm import bpe, near_dup, neighbours, packing, quality, rules, token_counts, token_file
+from tallywake.llm import bpe, licenses, near_dup, neighbours, packing, quality, rules, sharding, token_counts, token_file
 from tallywake.llm.storage import table
 
 
@@ -38,6 +38,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,5 +58,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_packing": (op5_packing, None),
     "op6_neighbours": (op6_neighbours, None),
     "op7_quality": (op7_quality, None),
+    "op8_shards": (op8_shards, sharding.oracle()),
+    "op9_licenses": (op9_licenses, licenses.oracle()),
     "op10_rules": (op10_rules, None),
 }
