@@ -236,3 +236,31 @@ SECRET_FORMATS = {
     "api key": r"\bAIza[0-9A-Za-z_-]{35}\b",
 }
 SECRET_ASSIGNMENT = r"(?i)\b(?:api[_-]?key|secret|token|passw(?:or)?d)\b\s*[:=]\s*['\"]?[0-9A-Za-z_/+=-]{16,}"
+
+# Keyword answers, as (answer, weight, words); where each starts, its largest value,
+# weights of owners and modules, the words that keep a spread local, and the least share of a level.
+OFFLINE_WEIGHTS = [
+    ("specificity", 0.8, ["figure out", "find out", "investigate", "somewhere", "something", "not sure"]),
+    ("specificity", 0.4, ["why", "broken", "wrong", "failing"]),
+    ("specificity", -0.45, ["typo", "rename", "bump", "flag", "copy", "wording", "string"]),
+    ("novelty", 0.4, ["design", "introduce", "add support", "migrate", "rework", "rearchitect"]),
+    ("novelty", -0.06, ["typo", "bump", "rename", "copy", "wording"]),
+    ("blast", 0.6, ["across", "everywhere", "refactor", "rework", "migrate"]),
+]
+OFFLINE_BASE = {"specificity": 0.6, "novelty": 0.1}
+OFFLINE_TOP = {"specificity": 2.0, "novelty": 1.0, "blast": 2.0}
+OFFLINE_SPREAD = (0.5, 0.4)
+OFFLINE_LOCAL = (0.2, ["typo", "copy", "wording", "label", "rename", "comment"])
+OFFLINE_LEAST_LEVEL = 0.03
+
+# Where a path names its domain, as (folders it begins with, place of the name, place of
+# the feature below it, ending taken off the name). A name must be there; the first row that fits counts.
+DOMAIN_PLACES = [
+    (["app/api"], 2, 3, None),
+    (["app", "pages"], 1, 2, None),
+    (["redux/apis"], 2, None, r"-apis?\.[jt]s$"),
+    (["services"], 1, None, r"-service\.[jt]s$"),
+    (["components", "lib", "utils", "schemas", "hooks", "types"], 0, 1, None),
+    (["src", "redux"], 1, 2, None),
+]
+DOMAIN_ENDINGS = [r"\.[cm]?[jt]sx?$", r"-api$", r"-apis$", r"-service$", r"[()\[\]]"]

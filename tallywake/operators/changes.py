@@ -367,11 +367,11 @@ def change_risk(enriched: DataFrame, comments: DataFrame | None = None) -> DataF
     return counted.select("change_id", score.cast("int").alias("score"), risk_level(score).alias("level"), F.array_sort(found).alias("flags"))
 
 
-def review_targets(files: DataFrame, cap: int = 100) -> DataFrame:
+def review_targets(files: DataFrame) -> DataFrame:
     """What a reviewer should open per change: routes, then symbols of the files, config and tests.
 
     files(change_id, path, kind, route, controller, http_methods array<struct<method, path>>).
-    Kept to the first ``cap`` per change and target kind, in path order.
+    ``position`` counts per change and target kind, in path order; a reader may cut there.
     """
     methods = F.transform(F.coalesce("http_methods", F.array().cast("array<struct<method:string,path:string>>")), lambda m: F.concat(
         m["method"], F.lit(" "), F.regexp_replace(F.concat(F.lit("/"), F.coalesce("controller", F.lit("")), F.lit("/"), m["path"]), "/+", "/")))
@@ -383,7 +383,7 @@ def review_targets(files: DataFrame, cap: int = 100) -> DataFrame:
     )
     each = files.select("change_id", "path", F.explode(entries).alias("e")).select("change_id", "path", "e.*").dropDuplicates(["change_id", "target", "value"])
     order = Window.partitionBy("change_id", "target").orderBy("value")
-    return each.withColumn("position", F.row_number().over(order)).where(F.col("position") <= cap).select("change_id", "target", "value", "position")
+    return each.withColumn("position", F.row_number().over(order)).select("change_id", "target", "value", "position")
 
 
 def union_comments(review_comments: DataFrame, comments: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from tallywake.functions import fixed_values as fixed
 from tallywake.functions import paths as P
 from tallywake.functions.text import lit_array
 
-MOST_FINDINGS = 40
 
 
 def _check(df: DataFrame, name: str, status: Column, details: Column) -> DataFrame:
@@ -53,12 +52,12 @@ def secret_findings(added_lines: DataFrame) -> DataFrame:
 
 
 def secret_content(changes: DataFrame, findings: DataFrame) -> DataFrame:
-    """FAIL on a known format, WARN on an assignment; at most 40 findings are reported."""
+    """FAIL on a known format, WARN on an assignment; all findings are counted."""
     counted = findings.groupBy("change_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("severity") == "FAIL").alias("bad")
     )
     n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
-    return _check(changes.join(counted, "change_id", "left"), "Secret content", F.when(bad > 0, "FAIL").when(n > 0, "WARN").otherwise("PASS"), F.least(n, F.lit(MOST_FINDINGS)))
+    return _check(changes.join(counted, "change_id", "left"), "Secret content", F.when(bad > 0, "FAIL").when(n > 0, "WARN").otherwise("PASS"), n)
 
 
 def risk_review(files: DataFrame) -> DataFrame:

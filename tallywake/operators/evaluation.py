@@ -14,7 +14,6 @@ SKIPPED_SUBJECT = r"(?i)^(merge\b|revert\b|chore\(release\)|chore\(deps(-dev)?\)
 BOT_AUTHOR = r"(?i)\[bot\]|dependabot|renovate"
 IGNORED_PATH = r"(?i)(^|/)CHANGELOG(\.[a-z]+)?$"
 DEMOTE_BELOW = 0.2
-MAX_CANDIDATES = 24
 CHARS_PER_TOKEN = 4
 
 
@@ -223,13 +222,11 @@ def token_savings(tasks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def apply_relevance(ranked: DataFrame, scores: DataFrame) -> DataFrame:
     """Files scored under 0.2 leave the list with their old rank; the rest by relevance, unscored last.
 
-    ranked(request_id, path, rank), scores(request_id, path, relevance). Only the
-    first 24 distinct candidates of a request are judged.
+    ranked(request_id, path, rank), scores(request_id, path, relevance). Every
+    distinct path of a request stays in the result, scored or not.
     """
     first = ranked.groupBy("request_id", "path").agg(F.min("rank").alias("rank"))
-    order = Window.partitionBy("request_id").orderBy("rank", "path")
-    kept = first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MAX_CANDIDATES)
-    rows = kept.join(scores, ["request_id", "path"], "left")
+    rows = first.join(scores, ["request_id", "path"], "left")
     demoted = F.coalesce(F.col("relevance") < DEMOTE_BELOW, F.lit(False))
     again = Window.partitionBy("request_id", "demoted").orderBy(F.desc_nulls_last("relevance"), "rank", "path")
     return rows.withColumn("demoted", demoted).select(

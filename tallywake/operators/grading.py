@@ -19,7 +19,6 @@ from tallywake.functions.stats import DAY_SECONDS, DEFAULT_MIN_SAMPLE
 
 BASE = "(base)"
 NO_FLAG = "(no flag)"
-MAX_RANGES_PER_FILE = 60
 LINE_BUCKET = 64
 
 
@@ -40,8 +39,7 @@ def repair_join(hunks: DataFrame, owners: DataFrame, fixes: DataFrame, changes:
     ranges of each fix; owners(repo_id, at_sha, path, from_line, to_line,
     owner_sha) say who owned the lines then. Both sides are cut at fixed line
     buckets, so the overlap test runs inside small equi-join keys and a hot file
-    spreads over many tasks. Files with more than 60 ranges in one fix carry no
-    authorship and are left out.
+    spreads over many tasks, however many ranges it has.
     """
     pairs = repair_pairs(hunks, owners)
     timed = (
@@ -55,16 +53,11 @@ def repair_join(hunks: DataFrame, owners: DataFrame, fixes: DataFrame, changes:
 
 def repair_pairs(hunks: DataFrame, owners: DataFrame) -> DataFrame:
     """Distinct (repo_id, fix_sha, owner_sha) whose line ranges overlap."""
-    too_many = (
-        hunks.groupBy("repo_id", "fix_sha", "path").agg(F.count("*").alias("ranges")).where(F.col("ranges") > MAX_RANGES_PER_FILE)
-    )
-    kept = hunks.join(too_many, ["repo_id", "fix_sha", "path"], "left_anti")
-
     def bucketed(df: DataFrame, low: str, high: str) -> DataFrame:
         spans = F.sequence(F.floor(F.col("from_line") / LINE_BUCKET), F.floor(F.col("to_line") / LINE_BUCKET))
         return df.withColumn("bucket", F.explode(spans)).withColumnsRenamed({"from_line": low, "to_line": high})
 
-    h = bucketed(kept.select("repo_id", "at_sha", "path", "fix_sha", "from_line", "to_line"), "h_from", "h_to")
+    h = bucketed(hunks.select("repo_id", "at_sha", "path", "fix_sha", "from_line", "to_line"), "h_from", "h_to")
     o = bucketed(owners.select("repo_id", "at_sha", "path", "owner_sha", "from_line", "to_line"), "o_from", "o_to")
     return (
         h.join(o, ["repo_id", "at_sha", "path", "bucket"])

@@ -424,12 +424,12 @@ def merge_diff(scored: DataFrame, changed: DataFrame, files: DataFrame) -> DataF
 def related_tests(ranked: DataFrame, files: DataFrame, top: int = 8) -> DataFrame:
     """Runnable tests sharing words with the ranked files, most shared words first.
 
-    ranked(request_id, repo_id, path) with the files' names; words of up to 20 symbols count.
+    ranked(request_id, repo_id, path) with the files' names; words of all its symbols count.
     """
     def kept(tokens: Column) -> Column:
         return F.array_distinct(F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*fixed.TEST_MATCH_STOP_TERMS)))
 
-    words_of = F.concat(T.impact_tokens(F.col("path")), T.impact_tokens(F.array_join(F.slice(_names(), 1, 20), " ")))
+    words_of = F.concat(T.impact_tokens(F.col("path")), T.impact_tokens(F.array_join(_names(), " ")))
     about = files.select("repo_id", "path", F.explode(kept(words_of)).alias("term"))
     asked = ranked.select("request_id", "repo_id", "path").join(about, ["repo_id", "path"]).select("request_id", "repo_id", "term").distinct()
     tests = files.where((F.col("kind") == "test") & P.is_runnable_test(F.col("path"))).select(

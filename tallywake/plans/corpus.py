@@ -185,14 +185,14 @@ select * from o where role is not null"""
 # ---------------------------------------------------------------- catalogue and saved documents
 def s17_upsert_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer")
-    catalog = people.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("root"), F.col("c_name").alias("name"), F.lit(0).cast("bigint").alias("files"))
+    catalog = people.select(F.col("c_custkey").alias("root"), F.col("c_name").alias("name"), F.lit(0).cast("bigint").alias("files"))
     entries = table(spark, sf_dir, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_custkey").alias("root"), F.concat(F.lit("repo "), F.col("o_orderpriority")).alias("name"), F.col("o_orderkey").alias("files"), F.col("o_orderkey").alias("seq"))
     live = people.where("c_acctbal > 0").select(F.col("c_custkey").alias("root"))
     return sc.upsert_catalog(catalog, entries, live)
 
 
 S17_SQL = """with e as (select o_custkey as root, arg_max('repo ' || o_orderpriority, o_orderkey) as name, max(o_orderkey) as files from orders where o_orderpriority <> '5-LOW' group by 1),
-n as (select c_custkey as root, c_name as name, 0 as files from customer where c_custkey % 2 = 1 and c_custkey not in (select root from e) union all select * from e)
+n as (select c_custkey as root, c_name as name, 0 as files from customer where c_custkey not in (select root from e) union all select * from e)
 select n.* from n join customer on c_custkey = root where c_acctbal > 0"""
 
 

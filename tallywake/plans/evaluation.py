@@ -23,7 +23,7 @@ def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return table(spark, sf_dir, "labels").where("quality = 1").join(docs, "doc_id").where("n_chars > 3000 and source <> 'src3'").select(F.col("source").alias("case"), F.col("doc_id").alias("path"))
+    return table(spark, sf_dir, "labels").where("quality = 1").join(docs, "doc_id").select(F.col("source").alias("case"), F.col("doc_id").alias("path"))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 METRICS_CTE = f"""
 r as (select * from (select source as c, doc_id as path, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents) where rank <= 10),
-t as (select d.source as c, doc_id as path from labels join documents d using (doc_id) where quality = 1 and n_chars > 3000 and source <> 'src3'),
+t as (select d.source as c, doc_id as path from labels join documents d using (doc_id) where quality = 1),
 cs as (select distinct source as c from documents),
 f as (select r.c, count(*) as returned, count(t.path) as hits, min(case when t.path is not null then rank end) as first from r left join t on t.c = r.c and t.path = r.path where rank <= {K} group by 1),
 w as (select c, count(*) as relevant from t group by 1),
@@ -60,14 +60,13 @@ A16B_SQL = f"with {METRICS_CTE} select count(*) as cases, count(precision) as sc
 
 
 def a17_case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = truth(spark, sf_dir).where("path % 7 = 0")
-    any_of = truth(spark, sf_dir).where("path % 2 = 0")
-    return e.case_results(cases(spark, sf_dir), rankings(spark, sf_dir), expected, any_of, K)
+    every = truth(spark, sf_dir)
+    return e.case_results(cases(spark, sf_dir), rankings(spark, sf_dir), every, every, K)
 
 
 A17_SQL = f"""with {METRICS_CTE},
-n as (select t.c, count(*) = count(r.path) as ok from t left join r on r.c = t.c and r.path = t.path and rank <= {K} where t.path % 7 = 0 group by 1),
-a as (select t.c, count(r.path) > 0 as ok from t left join r on r.c = t.c and r.path = t.path where t.path % 2 = 0 group by 1)
+n as (select t.c, count(*) = count(r.path) as ok from t left join r on r.c = t.c and r.path = t.path and rank <= {K} group by 1),
+a as (select t.c, count(r.path) > 0 as ok from t left join r on r.c = t.c and r.path = t.path group by 1)
 select cs.c as "case", cs.c = 'src5' as known_gap, coalesce(n.ok, true) and coalesce(a.ok, true) as passed from cs left join n using (c) left join a using (c)"""
 
 
@@ -242,7 +241,7 @@ def r12_apply_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R12_SQL = f"""with {READS_CTE},
-k as (select * from (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars, doc_id) as n from documents) where n <= 24),
+k as (select * from (select source, doc_id, n_chars, row_number() over (partition by source order by n_chars, doc_id) as n from documents)),
 j as (select k.source as request_id, k.doc_id as path, n_chars as old_rank, conf as relevance, coalesce(conf < 0.2, false) as demoted from k left join rd on rd.doc_id = k.doc_id)
 select *, case when not demoted then row_number() over (partition by request_id, demoted order by relevance desc nulls last, old_rank, path) end as position from j"""
 

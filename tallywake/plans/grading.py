@@ -400,12 +400,11 @@ J1_SQL = """
 with h as (select l_orderkey || ':' || l_linenumber || ':' || cast(epoch(l_shipdate) as bigint) as fix_sha, l_linestatus as at_sha, l_partkey as path,
              l_linenumber * 8 as a, l_linenumber * 8 + cast(l_quantity as bigint) as b, cast(epoch(l_shipdate) as bigint) as time
            from lineitem where l_returnflag = 'R'),
-busy as (select fix_sha, path from h group by 1, 2 having count(*) > 60),
 o as (select l_orderkey as sha, l_linestatus as at_sha, l_partkey as path, l_linenumber * 8 as a,
              l_linenumber * 8 + cast(l_quantity as bigint) as b from lineitem where l_returnflag <> 'R')
 select o.sha, min(h.time - cast(epoch(o_orderdate) as bigint)) as repaired_after
 from h join o on h.path = o.path and h.at_sha = o.at_sha and o.a <= h.b and h.a <= o.b join orders on o_orderkey = o.sha
-where h.time >= cast(epoch(o_orderdate) as bigint) and not exists (select 1 from busy where busy.fix_sha = h.fix_sha and busy.path = h.path)
+where h.time >= cast(epoch(o_orderdate) as bigint)
 group by 1
 """
 

@@ -296,14 +296,13 @@ def j5_package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("example.com/r"), F.col("repo_id").cast("string"), F.lit("/"),
                  F.when(folder.startswith("src/services"), F.regexp_replace(folder, "^src/services", "svc")).otherwise(folder)).alias("specifier"),
     )
-    only = f.where(F.col("path").endswith(".go") | F.col("path").endswith(".ts"))
-    return g.directory_edges(g.package_dirs(imports, modules, only), only)
+    return g.directory_edges(g.package_dirs(imports, modules, f), f)
 
 
 J5_SQL = f"""with {FILES_CTE},
 t as (select *, regexp_replace(path, '/[^/]*$', '') as dir,
    regexp_matches(path, '(^|/)(__tests__|test|tests|__snapshots__|snapshots)(/|$)|\\.(spec|test)\\.[jt]sx?$') as is_test from named),
-targets as (select * from t where not is_test and (path like '%.go' or path like '%.ts'))
+targets as (select * from t where not is_test)
 select a.repo_id, a.path as src, b.path as dst from t a join targets b on a.repo_id = b.repo_id and a.dir = b.dir"""
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywake.functions import fixed_values as fixed
@@ -223,7 +223,7 @@ from scored s full join gain g on g.request_id = s.request_id and g.repo_id = s.
 
 def naming_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that write out a path of their repository, in several styles."""
-    f = doc_files(spark, sf_dir).where("doc_id % 5 = 0")
+    f = doc_files(spark, sf_dir)
     tail = F.regexp_extract("path", "([^/]+)$", 1)
     style = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("`"), F.col("path"), F.lit("`,"))).when(F.col("doc_id") % 3 == 1, F.concat(tail, F.lit(":12"))).otherwise(
         F.regexp_replace("path", r"\.ts$", ".js"))
@@ -235,7 +235,7 @@ def j8_named_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 J8_SQL = f"""with {FILES_CTE},
-ask as (select doc_id as request_id, repo_id, lower(case doc_id % 3 when 0 then path when 1 then regexp_extract(path, '([^/]+)$', 1) else regexp_replace(path, '\\.ts$', '.js') end) as lit from files where doc_id % 5 = 0),
+ask as (select doc_id as request_id, repo_id, lower(case doc_id % 3 when 0 then path when 1 then regexp_extract(path, '([^/]+)$', 1) else regexp_replace(path, '\\.ts$', '.js') end) as lit from files),
 ex as (select a.request_id, a.repo_id, f.path from ask a join files f on f.repo_id = a.repo_id and (lower(f.path) = a.lit or ends_with(lower(f.path), '/' || a.lit))),
 st as (select a.request_id, a.repo_id, f.path from ask a join files f on f.repo_id = a.repo_id and
    (regexp_replace(lower(f.path), '\\.[^./]+$', '') = regexp_replace(a.lit, '\\.[^./]+$', '') or ends_with(regexp_replace(lower(f.path), '\\.[^./]+$', ''), '/' || regexp_replace(a.lit, '\\.[^./]+$', '')))),
@@ -243,16 +243,21 @@ both_forms as (select * from ex union all select * from st where request_id not
 select * from both_forms where request_id in (select request_id from both_forms group by 1 having count(*) <= 3)"""
 
 
+def turn_of(number: str) -> Column:
+    """The two requests of a repository take its files in turn."""
+    return F.floor(F.expr(number)).cast("bigint") % 2
+
+
 def w10_lift_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = doc_files(spark, sf_dir).where("doc_id % 50 = 7")
+    f = doc_files(spark, sf_dir)
     rule = F.when(F.col("doc_id") % 3 == 0, "path").when(F.col("doc_id") % 3 == 1, "symbol").otherwise("dependency")
-    pinned = doc_requests(spark, sf_dir).select("request_id", "repo_id").join(f.select("repo_id", "path", rule.alias("rule")), "repo_id")
+    pinned = doc_requests(spark, sf_dir).select("request_id", "repo_id", turn_of("request_id / 20").alias("turn")).join(f.select("repo_id", "path", rule.alias("rule"), turn_of("doc_id").alias("turn")), ["repo_id", "turn"]).drop("turn")
     out = m.lift_pinned(scored(spark, sf_dir), pinned)
     return out.select("request_id", "repo_id", "path", F.floor(F.col("score") * 1000 + 0.5).alias("milli"), "rule")
 
 
 W10_SQL = f"""with {R1_CTE},
-pin as (select r.request_id, r.repo_id, f.path, case f.doc_id % 3 when 0 then 'path' when 1 then 'symbol' else 'dependency' end as rule from requests r join files f on f.repo_id = r.repo_id where f.doc_id % 50 = 7),
+pin as (select r.request_id, r.repo_id, f.path, case f.doc_id % 3 when 0 then 'path' when 1 then 'symbol' else 'dependency' end as rule from requests r join files f on f.repo_id = r.repo_id and f.doc_id % 2 = (r.request_id // 20) % 2),
 b as (select coalesce(s.request_id, p.request_id) as request_id, coalesce(s.repo_id, p.repo_id) as repo_id, coalesce(s.path, p.path) as path, coalesce(s.score, 0) as score, p.rule
   from scored s full join pin p on p.request_id = s.request_id and p.repo_id = s.repo_id and p.path = s.path),
 c as (select request_id, coalesce(max(case when rule is null then score end), 0) as ceiling from b group by 1)
@@ -313,14 +318,14 @@ from c left join h on h.repo_id = c.repo_id and h.cat = c.cat where c.cat is nul
 
 
 def j22_merge_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = doc_files(spark, sf_dir).where("doc_id % 9 = 0")
-    changed = doc_requests(spark, sf_dir).select("request_id", "repo_id").join(
-        f.select("repo_id", F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("gone/"), F.col("path"))).alias("path")), "repo_id")
+    f = doc_files(spark, sf_dir)
+    changed = doc_requests(spark, sf_dir).select("request_id", "repo_id", turn_of("request_id / 20").alias("turn")).join(
+        f.select("repo_id", turn_of("doc_id").alias("turn"), F.when(F.col("doc_id") % 3 == 0, F.col("path")).otherwise(F.concat(F.lit("gone/"), F.col("path"))).alias("path")), ["repo_id", "turn"]).drop("turn")
     return m.merge_diff(scored(spark, sf_dir), changed, doc_files(spark, sf_dir)).select("request_id", "path", "section", "position")
 
 
 J22_SQL = f"""with {R1_CTE},
-ch as (select r.request_id, r.repo_id, case when f.doc_id % 2 = 0 then f.path else 'gone/' || f.path end as path from requests r join files f on f.repo_id = r.repo_id where f.doc_id % 9 = 0),
+ch as (select r.request_id, r.repo_id, case when f.doc_id % 3 = 0 then f.path else 'gone/' || f.path end as path from requests r join files f on f.repo_id = r.repo_id and f.doc_id % 2 = (r.request_id // 20) % 2),
 b as (select coalesce(s.request_id, c.request_id) as request_id, coalesce(s.path, c.path) as path, coalesce(s.score, 0) as score,
    case when c.path is null then 'ranked' when f.path is not null then 'changed' else 'unmapped' end as section
   from scored s full join ch c on c.request_id = s.request_id and c.repo_id = s.repo_id and c.path = s.path left join files f on f.repo_id = c.repo_id and f.path = c.path)
@@ -335,7 +340,7 @@ def j24_related_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEPT = f"length(x) > 2 and x not in {tuple(fixed.TEST_MATCH_STOP_TERMS)}"
 J24_SQL = f"""with {R1_CTE},
 top as (select * from (select *, row_number() over (partition by request_id order by score desc, repo_id, path) as n from scored) where n <= 10),
-w as (select distinct t.request_id, t.repo_id, unnest(list_filter(list_concat({sql_tokens('k.path')}, {sql_tokens("array_to_string(string_split(k.text, chr(10))[1:20], ' ')")}), lambda x: {KEPT})) as term
+w as (select distinct t.request_id, t.repo_id, unnest(list_filter(list_concat({sql_tokens('k.path')}, {sql_tokens("array_to_string(string_split(k.text, chr(10)), ' ')")}), lambda x: {KEPT})) as term
    from top t join kinds k on k.repo_id = t.repo_id and k.path = t.path),
 tt as (select repo_id, path, unnest(list_distinct(list_filter({sql_tokens('path')}, lambda x: {KEPT}))) as term from kinds where kind = 'test' and regexp_matches(path, '\\.ts$')),
 s as (select w.request_id, w.repo_id, tt.path as test, count(*) as overlap from w join tt on tt.repo_id = w.repo_id and tt.term = w.term group by 1, 2, 3)

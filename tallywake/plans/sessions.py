@@ -13,7 +13,7 @@ from tallywake.sources import transcripts as t
 FLOOR = 10
 
 EVENTS_CTE = """
-talk as (select conv_id as session_id, turn, role, text, turn * 60000 as ts, lower(substr(text, 1, 1)) as letter from conversations),
+talk as (select conv_id as session_id, turn, role, text, turn * 60000 as ts, cast(length(text) % 23 as varchar) as letter from conversations),
 ev as (
   select session_id, turn * 10 as seq, ts, case role when 'user' then 'prompt' when 'system' then 'interrupt' else 'edit' end as kind,
     case when role <> 'assistant' then text end as text, case when role = 'assistant' then letter end as file, null as tool,
@@ -25,7 +25,7 @@ turns as (select *, sum(case when kind in ('prompt', 'interrupt') then 1 else 0
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = table(spark, sf_dir, "conversations").withColumns({
-        "ts": F.col("turn") * 60000, "letter": F.lower(F.substring("text", 1, 1)), "said": F.col("role") != "assistant"
+        "ts": F.col("turn") * 60000, "letter": (F.length("text") % 23).cast("string"), "said": F.col("role") != "assistant"
     })
     spoken = talk.select(
         F.col("conv_id").alias("session_id"), (F.col("turn") * 10).alias("seq"), "ts",
@@ -91,14 +91,14 @@ group by 1, 2"""
 
 
 def w5_drop_repeated_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first letter stands for the prompt, so repeats within two minutes are common."""
-    rows = events(spark, sf_dir).withColumn("text", F.lower(F.substring("text", 1, 1)))
+    """The length of a prompt, modulo 7, stands for it, so repeats within two minutes are common."""
+    rows = events(spark, sf_dir).withColumn("text", (F.length("text") % 7).cast("string"))
     return s.drop_repeated_prompts(rows).groupBy("session_id").agg(F.count("*").alias("events"), F.sum("seq").alias("seqs"))
 
 
 # Prompts are at least a minute apart here, so a repeat within two minutes of a kept one follows it directly.
 W5_SQL = f"""with recursive {EVENTS_CTE},
-p as (select session_id, seq, ts, lower(substr(text, 1, 1)) as c, row_number() over (partition by session_id order by ts, seq) as n from ev where kind = 'prompt'),
+p as (select session_id, seq, ts, length(text) % 7 as c, row_number() over (partition by session_id order by ts, seq) as n from ev where kind = 'prompt'),
 f as (select session_id, n, seq, true as kept, c as kc, ts as kt from p where n = 1
   union all select p.session_id, p.n, p.seq, not (p.c = f.kc and p.ts - f.kt < 120000),
     case when p.c = f.kc and p.ts - f.kt < 120000 then f.kc else p.c end, case when p.c = f.kc and p.ts - f.kt < 120000 then f.kt else p.ts end
@@ -182,7 +182,7 @@ select arm, n, total, case when n >= {FLOOR} then cast(floor((d[(n - 1) // 2 + 1
 def check_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'assistant'").select(
         F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.col("turn").cast("string")).alias("decision_id"),
-        F.lit("review_gate").alias("tool"), t.prompt_hash(F.lower(F.substring("text", 1, 1))).alias("hash"),
+        F.lit("review_gate").alias("tool"), t.prompt_hash((F.length("text") % 23).cast("string")).alias("hash"),
         (F.col("turn") * 60000 + 50000 + F.col("conv_id") % 90 * 1000).alias("ts"),
         assign_arm([F.col("conv_id"), F.col("turn")], "check").alias("arm"),
     )
@@ -202,14 +202,14 @@ def a35_check_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Raw transcripts rebuilt from the table.
 def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stamp = F.concat(F.lit("2024-01-01T00:0"), F.col("turn").cast("string"), F.lit(":30Z"))
-    head = [F.when(F.col("turn") < 7, stamp).alias("timestamp"), F.col("conv_id").cast("string").alias("sessionId"), (F.col("conv_id") % 10 == 9).alias("isSidechain")]
+    stamp = F.format_string("2024-01-01T%02d:%02d:30Z", F.floor(F.col("turn") / 60), F.col("turn") % 60)
+    head = [stamp.alias("timestamp"), F.col("conv_id").cast("string").alias("sessionId"), (F.col("conv_id") % 10 == 9).alias("isSidechain")]
     user = F.to_json(F.struct(F.lit("user").alias("type"), *head, (F.col("turn") == 4).alias("isMeta"), F.struct(F.lit("user").alias("role"), F.col("text").alias("content")).alias("message")))
     n = F.length("text")
     tool = F.struct(
         F.lit("tool_use").alias("type"),
         F.when(n % 3 == 0, "Edit").when(n % 3 == 1, "mcp__x__review_gate").otherwise("Read").alias("name"),
-        F.struct(F.substring("text", 1, 3).alias("file_path"), F.substring("text", 1, 2).alias("query")).alias("input"),
+        F.struct(F.col("text").alias("file_path"), F.col("text").alias("query")).alias("input"),
     )
     bill = F.struct(n.alias("input_tokens"), (n * 2).alias("cache_read_input_tokens"), n.alias("cache_creation_input_tokens"),
                     F.struct((n * 2).alias("ephemeral_1h_input_tokens")).alias("cache_creation"), (n * 3).alias("output_tokens"))
@@ -226,10 +226,10 @@ def s7_read_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.parse_sessions(transcript_lines(spark, sf_dir)).select("session_id", "seq", "ts", "kind", "file", "tool", "hash")
 
 
-S7_SQL = """with c as (select *, length(text) as n, cast(conv_id as varchar) as session_id, (conv_id * 100 + turn) * 4096 as seq, 1704067230000 + turn * 60000 as ts from conversations where turn < 7 and conv_id % 10 <> 9)
+S7_SQL = """with c as (select *, length(text) as n, cast(conv_id as varchar) as session_id, (conv_id * 100 + turn) * 4096 as seq, 1704067230000 + turn * 60000 as ts from conversations where conv_id % 10 <> 9)
 select session_id, seq, ts, 'prompt' as kind, null as file, null as tool, substr(sha256(trim(text)), 1, 16) as hash from c where role = 'user' and turn <> 4
-union all select session_id, seq, ts, case n % 3 when 0 then 'edit' else 'check' end, case n % 3 when 0 then substr(text, 1, 3) end, case n % 3 when 1 then 'review_gate' end,
-  case n % 3 when 1 then substr(sha256(substr(text, 1, 2)), 1, 16) end from c where role = 'assistant' and n % 3 < 2
+union all select session_id, seq, ts, case n % 3 when 0 then 'edit' else 'check' end, case n % 3 when 0 then text end, case n % 3 when 1 then 'review_gate' end,
+  case n % 3 when 1 then substr(sha256(trim(text)), 1, 16) end from c where role = 'assistant' and n % 3 < 2
 union all select session_id, seq, ts, 'harness', null, null, substr(sha256('<bash-input>' || text), 1, 16) from c where role = 'system'"""
 
 
@@ -237,7 +237,7 @@ def s8_read_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.parse_usage(transcript_lines(spark, sf_dir))
 
 
-S8_SQL = """with c as (select *, length(text) as n from conversations where turn < 7 and conv_id % 10 <> 9 and role = 'assistant'),
+S8_SQL = """with c as (select *, length(text) as n from conversations where conv_id % 10 <> 9 and role = 'assistant'),
 f as (select conv_id, turn // 4 as g, arg_min(n, turn) as n, min(turn) as turn from c group by 1, 2)
 select cast(conv_id as varchar) as session_id, 'm' || conv_id || '-' || g as message_id, 1704067230000 + turn * 60000 as ts,
   cast(floor(n * 1.0::double + n * 2 * 0.1::double + n * 2.0::double + n * 3 * 5.0::double + 0.5) as bigint) as weighted from f"""

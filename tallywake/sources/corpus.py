@@ -10,8 +10,6 @@ from tallywake.functions import paths as P
 # What a source scan reads.
 SOURCE_SUFFIX = r"(?i)\.(ts|tsx|js|jsx|mjs|cjs|mts|cts|go|cs|py|java|rb|rs|hbs|handlebars|json|ya?ml|snap|md|mdx|markdown|sql|prisma)$"
 IGNORED_FOLDERS = ["node_modules", ".git", "dist", "build", "coverage", ".next", ".turbo", ".cache"]
-SOURCE_BYTES = 1024 * 1024
-LOCKFILE_BYTES = 16 * 1024 * 1024
 # Dependency files, as (name pattern, role, ecosystem, manager).
 DEPENDENCY_FILES = [
     (r"package\.json", "manifest", "node", None),
@@ -58,7 +56,7 @@ DECLARATIONS = {
 
 
 def read_source_files(spark: SparkSession, root: str, repo_id: str, hidden: tuple[str, ...] = ()) -> DataFrame:
-    """files(repo_id, path, length, text) below a folder; the size filter reaches the scan.
+    """files(repo_id, path, length, text) below a folder, of any size.
 
     Spark's file listing skips names that start with a dot, so dotted folders
     to be read (``.github``, ``.husky``) are named in ``hidden``.
@@ -69,9 +67,8 @@ def read_source_files(spark: SparkSession, root: str, repo_id: str, hidden: tupl
     relative = F.regexp_replace(shown, "^.*?" + root.strip("/").replace(".", r"\.") + "/", "")
     name = P.basename(F.col("rel"))
     lockfile = name.rlike(r"(lock|lock\.json|lock\.yaml|lockb|\.sum|shrinkwrap\.json)$")
-    kept = files.where(F.col("length") <= LOCKFILE_BYTES).withColumn("rel", relative).where(
+    kept = files.withColumn("rel", relative).where(
         (F.col("rel").rlike(SOURCE_SUFFIX) | lockfile | P.is_git_hook(F.col("rel")))
-        & (lockfile | (F.col("length") <= SOURCE_BYTES))
         & ~F.exists(P.directories(F.col("rel")), lambda d: d.isin(*IGNORED_FOLDERS))
     )
     return kept.select(F.lit(repo_id).alias("repo_id"), F.col("rel").alias("path"), "length", F.decode("content", "UTF-8").alias("text"))
@@ -207,13 +204,13 @@ def source_facts(files: DataFrame) -> DataFrame:
         facts(code, "export", "name", found(r"export\s+(?:default\s+)?(?:class|function|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)")),
         facts(code, "export", "name", F.filter(exported, lambda n: n != "")),
         *[facts(code, "symbol", kind, found(pattern)) for kind, pattern in DECLARATIONS.items()],
-        facts(F.col("end") == ".json", "symbol", "config", found(r'"([^"\\]{2,120})"\s*:')),
-        facts(F.col("end").isin(".yaml", ".yml"), "symbol", "config", found(r"^\s*([A-Za-z_$][\w$.-]{1,120})\s*:")),
+        facts(F.col("end") == ".json", "symbol", "config", found(r'"([^"\\]{2,})"\s*:')),
+        facts(F.col("end").isin(".yaml", ".yml"), "symbol", "config", found(r"^\s*([A-Za-z_$][\w$.-]+)\s*:")),
         facts(F.col("end") == ".sql", "symbol", "table", found(r'(?i)\b(?:CREATE|ALTER|DROP)\s+TABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?"?(\w+)"?')),
         facts(F.col("end") == ".sql", "symbol", "table", found(r'(?i)\b(?:UPDATE|INSERT\s+INTO|DELETE\s+FROM)\s+"?(\w+)"?')),
         facts(F.col("end") == ".sql", "symbol", "column", found(r'(?i)\b(?:ADD|DROP|ALTER|RENAME)\s+COLUMN\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?"?(\w+)"?')),
-        facts(F.col("end").isin(".md", ".mdx", ".markdown"), "symbol", "heading", F.transform(found(r"^#{1,6}[ \t]+(\S[^\n]{0,120})$"), lambda n: F.regexp_replace(F.trim(n), r"\s*#+\s*$", ""))),
-        facts(F.col("end").isin(".md", ".mdx", ".markdown"), "import", "link", F.transform(found(r"\]\(\s*(\.{0,2}/[^)\s]{1,200})\s*\)"), lambda n: F.regexp_replace(n, "#.*$", ""))),
+        facts(F.col("end").isin(".md", ".mdx", ".markdown"), "symbol", "heading", F.transform(found(r"^#{1,6}[ \t]+(\S[^\n]*)$"), lambda n: F.regexp_replace(F.trim(n), r"\s*#+\s*$", ""))),
+        facts(F.col("end").isin(".md", ".mdx", ".markdown"), "import", "link", F.transform(found(r"\]\(\s*(\.{0,2}/[^)\s]+)\s*\)"), lambda n: F.regexp_replace(n, "#.*$", ""))),
         facts(F.col("end").isin(".hbs", ".handlebars"), "symbol", "template", found(r"\{\{\s*[#/>]?\s*([A-Za-z_$][\w$.-]*)")),
         facts(F.col("end") == ".prisma", "symbol", "model", found(r"^\s*(?:model|enum|view|type)\s+([A-Za-z_]\w*)\s*\{")),
         facts(F.col("end") == ".prisma", "symbol", "field", found(r"^\s+([a-z_]\w*)\s+[A-Z]\w*(?:\[\])?\??(?:\s|$)")),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallywake.functions.slices import with_running
 
-MAX_RANGES_PER_FILE = 60
 LINES_PER_SLICE = 5_000
 
 
@@ -50,7 +49,7 @@ def parse_hunks(diffs: DataFrame, key: str = "fix_sha") -> DataFrame:
     """Pre-image ranges (key, path, from_line, to_line) of zero-context diffs(key, value).
 
     The current file is the last '+++ b/' line before a hunk header. Pure
-    insertions rewrote nothing; files with more than 60 ranges are left out.
+    insertions rewrote nothing.
     """
     lines = _diff_lines(diffs, key)
     named = F.when(F.col("text").startswith("+++ b/"), F.struct("pos", F.expr("substring(text, 7)").alias("path")))
@@ -63,8 +62,7 @@ def parse_hunks(diffs: DataFrame, key: str = "fix_sha") -> DataFrame:
         F.regexp_extract("text", header, 1).cast("int").alias("from_line"),
         F.when(count == "", 1).otherwise(count.cast("int")).alias("n"),
     ).where("n > 0")
-    busy = ranges.groupBy(key, "path").agg(F.count("*").alias("ranges")).where(F.col("ranges") > MAX_RANGES_PER_FILE)
-    return ranges.join(busy, [key, "path"], "left_anti").select(key, "path", "from_line", (F.col("from_line") + F.col("n") - 1).alias("to_line"))
+    return ranges.select(key, "path", "from_line", (F.col("from_line") + F.col("n") - 1).alias("to_line"))
 
 
 def parse_added_lines(diffs: DataFrame, key: str = "change_id") -> DataFrame:

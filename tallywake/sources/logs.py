@@ -110,7 +110,7 @@ def shared_payload(events: DataFrame) -> DataFrame:
         F.when(cmd.rlike(r"^[a-z][a-z0-9_-]{0,63}$"), cmd).otherwise("other").alias("command"),
         F.when(F.col("outcome").isin("error", "fail", "ok"), F.col("outcome")).otherwise("error").alias("outcome"),
         duration_bucket(F.col("durationMs")).alias("duration_bucket"),
-        F.when(version.rlike(r"^\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?$"), F.substring(version, 1, 32)).otherwise("0.0.0").alias("version"),
+        F.when(version.rlike(r"^\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?$"), version).otherwise("0.0.0").alias("version"),
         F.when(node.between(18, 100), node).otherwise(18).alias("node_major"),
         F.when(F.col("platform").isin("darwin", "linux", "win32"), F.col("platform")).otherwise("other").alias("platform"),
     )
