@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +51,7 @@ TEMPLATES = {
 WINDOW_SHINGLE, WINDOW_SHINGLES, STRIDE = 3, 6, 4
 #: Bands of one minimum each. A window with half of its shingles from a template misses it with
 #: probability 2^-BANDS; one that is all template never does.
-BANDS = 24
+BANDS = 16
 #: Words of the shingles that are compared exactly, and the share of a template's that must be there.
 SHINGLE, CONTAINED = 5, 0.8
 
@@ -100,23 +98,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     of ``docs`` and matching template: repeated rows match as often as they
     stand. Null, empty and very short texts match nothing; a null doc_id stays
     null; templates under five words are left out. An empty table gives no row.
-    Other columns are not looked at. Templates are a small fixed list: their
-    windows are literals of the plan.
+    Other columns are not looked at. Templates are a short list: their windows,
+    BANDS rows each, are the only thing that is broadcast.
     """
     spark = docs.sparkSession
     table = _template_table(spark, TEMPLATES if templates is None else templates)
     windows = table.select("license", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW_SHINGLE - WINDOW_SHINGLES + 1, F.lit(0)))).alias("start"))
     known = windows.select("license", *[b.alias(f"b{i}") for i, b in enumerate(_bands(_window_shingles("words", "start")))]).collect()  # bounded by the template list
-    keys = [sorted({r[f"b{i}"] for r in known if r[f"b{i}"] is not None}) for i in range(BANDS)]
-
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     cut = rows.select("row", "doc_id", "text", F.split(plain_words(F.col("text")), " ").alias("words"))
     starts = cut.select("row", "doc_id", "text", "words", F.explode(F.expr(f"sequence(0, greatest(size(words) - {WINDOW_SHINGLE}, 0), {STRIDE})")).alias("start"))
-    shingled = starts.select("row", "doc_id", "text", *[s.alias(f"s{i}") for i, s in enumerate(_window_shingles("words", "start"))])
+    # inline() keeps the hashes of a window as columns: no band recomputes them.
+    shingled = starts.select("row", "doc_id", "text", F.inline(F.array(F.struct(*[s.alias(f"s{i}") for i, s in enumerate(_window_shingles("words", "start"))]))))
     banded = _bands([F.col(f"s{i}") for i in range(WINDOW_SHINGLES)])
-    hit = shingled.where(reduce(lambda a, b: a | b, [b.isin(k) for b, k in zip(banded, keys)]))
     pointers = spark.createDataFrame([(i, r[f"b{i}"], r["license"]) for r in known for i in range(BANDS) if r[f"b{i}"] is not None], "band int, key long, license string").distinct()
-    named = hit.select("row", "doc_id", "text", F.posexplode(F.array(*banded)).alias("band", "key")).join(F.broadcast(pointers), ["band", "key"])
+    named = shingled.select("row", "doc_id", "text", F.posexplode(F.array(*banded)).alias("band", "key")).join(F.broadcast(pointers), ["band", "key"])
     retrieved = named.groupBy("row", "license").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     held = F.concat(F.lit(" "), plain_words(F.col("text")), F.lit(" "))
     matched = (

@@ -60,14 +60,14 @@ def with_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     names in ``docs`` are replaced.
     """
     added = ["shard", "shard_depth", "n_bytes", "shard_bytes"]
-    rows = docs.drop(*added).select(
-        "*",
+    kept = [c for c in docs.columns if c not in added]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         _number(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).alias("_id_hash"),
         _number(F.md5(F.monotonically_increasing_id().cast("string").cast("binary"))).alias("_row_hash"),
         F.lit("").alias("parent"),
     )
-    kept = [c for c in docs.columns if c not in added]
     done: list[DataFrame] = []
     levels = 2 * ID_BITS // DIRECTORY_BITS
     for level in range(levels):
@@ -85,10 +85,10 @@ def with_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         placed = rows.withColumn("entry", F.shiftright("bits", DIRECTORY_BITS - depth)).join(pointers, ["parent", "entry"])
         deeper = level + 1 < levels and not shards.where("full").isEmpty()
         ready = placed.where("not full") if deeper else placed
-        done.append(ready.select(*kept, "shard", F.length("shard").alias("shard_depth"), "n_bytes", "shard_bytes"))
+        done.append(ready.select("doc.*", "shard", F.length("shard").alias("shard_depth"), "n_bytes", "shard_bytes"))
         if not deeper:
             break
-        rows = placed.where("full").drop("parent", "entry", "shard_bytes", "full").withColumnRenamed("shard", "parent")
+        rows = placed.where("full").select("doc", "n_bytes", "_id_hash", "_row_hash", F.col("shard").alias("parent"))
     return reduce(DataFrame.union, done)
 
 
