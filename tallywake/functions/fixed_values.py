@@ -23,7 +23,6 @@ SURFACE_KINDS = ["route", "apiRoute", "controller"]
 CONTRACT_KINDS = ["apiClient"]
 DATA_MODEL_KINDS = ["schema"]
 DATA_MODEL_WORDS = ["prisma", "migration", "schema"]
-DATA_MODEL_FRAGMENTS = ["schema.sql", ".sql"]
 AUTH_WORDS = ["auth", "session", "jwt", "permission", "role", "password", "oauth", "sso"]
 AUTH_EXACT_WORDS = ["token"]
 MONEY_WORDS = [
@@ -137,7 +136,6 @@ RELEASE_WORDS = ["release", "changelog", "version"]
 IMPACT_WEIGHTS = {"path": 9.0, "symbol": 5.0, "route": 7.0, "export": 4.0, "import": 2.5}
 CONCEPT_BONUS = 6.0
 CONFIG_HINT_BONUS = 4.0
-DEFINER_BONUS = 30.0
 PIN_MARGIN = {"path": 20.0, "symbol": 10.0, "implements": 10.0, "dependency": 5.0}
 CONFIG_HINTS = {
     "docker": ["dockerfile", "docker-compose"],

@@ -212,10 +212,10 @@ def dependents(edges: DataFrame, starts: DataFrame, max_depth: int = 3, limit: i
 
 
 def loose_candidates(imports: DataFrame, files: DataFrame, most: int = 5) -> DataFrame:
-    """Files a specifier may loosely mean, the first ``most`` in path order.
+    """Files a specifier may loosely mean, the best ``most`` of them.
 
     A relative specifier means the files of the folder it points into; a bare
-    one the files whose name or stem is its last segment.
+    one the files named as its last segment, then those whose stem is its stem.
     """
     spec, src = F.col("specifier"), F.col("src")
     joined = P.normalize(F.concat(P.dirname(src), F.lit("/"), spec))
@@ -230,11 +230,13 @@ def loose_candidates(imports: DataFrame, files: DataFrame, most: int = 5) -> Dat
     in_folder = relative.withColumn("folder", folder).join(by_folder, ["repo_id", "folder"]).select("repo_id", "src", "specifier", "path")
 
     tail = F.substring_index(spec, "/", -1)
-    names = F.array_distinct(F.array(P.basename(F.col("path")), F.regexp_replace(P.basename(F.col("path")), r"\.[^.]+$", "")))
-    by_name = files.select("repo_id", "path", F.explode(names).alias("name"))
-    wanted = F.array_distinct(F.array(tail, F.regexp_replace(tail, r"\.[^.]+$", "")))
-    bare = imports.where(~spec.startswith(".")).select("repo_id", "src", "specifier", F.explode(wanted).alias("name"))
-    named = bare.join(by_name, ["repo_id", "name"]).select("repo_id", "src", "specifier", "path")
-    order = Window.partitionBy("repo_id", "src", "specifier").orderBy("path")
-    both = in_folder.unionByName(named).distinct()
+    def forms(name: Column) -> Column:
+        return F.posexplode(F.array(name, F.regexp_replace(name, r"\.[^.]+$", ""))).alias("kind", "name")
+
+    by_name = files.select("repo_id", "path", forms(P.basename(F.col("path"))))
+    bare = imports.where(~spec.startswith(".")).select("repo_id", "src", "specifier", forms(tail))
+    named = bare.join(by_name, ["repo_id", "kind", "name"]).select("repo_id", "src", "specifier", "path", "kind")
+    order = Window.partitionBy("repo_id", "src", "specifier").orderBy("kind", "path")
+    every = in_folder.withColumn("kind", F.lit(0)).unionByName(named)
+    both = every.groupBy("repo_id", "src", "specifier", "path").agg(F.min("kind").alias("kind"))
     return both.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywake.functions.slices import with_running
 from tallywake.session import cut_lineage
@@ -56,8 +58,8 @@ def append_records(bodies: DataFrame, tips: DataFrame | None = None) -> DataFram
     """Chain new records onto their ledgers.
 
     bodies(ledger, line from 1, fields map<string, variant>), tips(ledger, seq,
-    tip). A hash chain is sequential, so a long batch is hashed slice after
-    slice; a round handles one slice of every ledger and hands on only the tips.
+    tip). A hash covers the one before it, so a ledger is hashed in order by one
+    task; the task streams its sorted rows and keeps one hash, never a ledger.
     """
     offset = F.coalesce("seq", F.lit(0)) if tips is not None else F.lit(0)
     joined = bodies.join(tips, "ledger", "left") if tips is not None else bodies.withColumn("tip", F.lit(None).cast("string"))
@@ -66,36 +68,29 @@ def append_records(bodies: DataFrame, tips: DataFrame | None = None) -> DataFram
         F.array(F.lit("prevHash"), F.lit("seq")),
         F.array(F.parse_json(F.lit(f'"{_MARK}"')), F.parse_json(F.col("_seq").cast("string"))),
     )
-    rows = cut_lineage(
-        numbered.select(
-            "ledger", "line", F.col("_seq").alias("seq"), canonical(F.map_concat(F.map_filter("fields", lambda k, _: ~k.isin("prevHash", "seq")), added)).alias("body"),
-            F.floor((F.col("line") - 1) / LINES_PER_SLICE).alias("slice"), F.coalesce("tip", F.lit(GENESIS)).alias("first_prev"),
-        )
+    rows = numbered.select(
+        "ledger", F.col("line").cast("bigint").alias("line"), F.col("_seq").cast("bigint").alias("seq"), F.coalesce("tip", F.lit(GENESIS)).alias("first_prev"),
+        canonical(F.map_concat(F.map_filter("fields", lambda k, _: ~k.isin("prevHash", "seq")), added)).alias("body"),
     )
-    carried = rows.groupBy("ledger").agg(F.first("first_prev").alias("prev"))
-    done = None
-    last = rows.agg(F.max("slice")).first()[0]
-    for step in range(0 if last is None else int(last) + 1):
-        groups = rows.where(F.col("slice") == step).groupBy("ledger").agg(F.array_sort(F.collect_list(F.struct("line", "seq", "body"))).alias("rows"))
-        start = F.struct(F.col("prev").alias("prev"), F.array().cast("array<struct<line:bigint,seq:bigint,prev:string,hash:string,body:string>>").alias("out"))
-
-        def link(acc: Column, row: Column) -> Column:
-            body = F.replace(row["body"], F.lit(_MARK), acc["prev"])
-            return F.struct(
-                F.sha2(F.concat(acc["prev"], body), 256).alias("prev"),
-                F.concat(acc["out"], F.array(F.struct(
-                    row["line"].cast("bigint").alias("line"), row["seq"].cast("bigint").alias("seq"), acc["prev"].alias("prev"),
-                    F.sha2(F.concat(acc["prev"], body), 256).alias("hash"), body.alias("body"),
-                ))).alias("out"),
-            )
-
-        chained = cut_lineage(groups.join(carried, "ledger").select("ledger", F.aggregate("rows", start, link).alias("c")))
-        out = chained.select("ledger", F.explode("c.out").alias("r")).select("ledger", "r.*")
-        done = out if done is None else done.unionByName(out)
-        carried = chained.select("ledger", F.col("c.prev").alias("prev"))
-    if done is None:
-        return rows.select("ledger", "line", "seq", F.lit("").alias("prev"), F.lit("").alias("hash"), "body")
-    return done
+    text, number = T.StringType(), T.LongType()
+    schema = T.StructType([rows.schema["ledger"], *[T.StructField(n, t) for n, t in (("line", number), ("seq", number), ("prev", text), ("hash", text), ("body", text))]])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
+        current, last = None, ""
+        for batch in batches:
+            before, hashes, whole = [], [], []
+            for ledger, first, body in zip(*(batch.column(c).to_pylist() for c in ("ledger", "first_prev", "body"))):
+                if ledger != current:
+                    current, last = ledger, first
+                before.append(last)
+                whole.append(body.replace(_MARK, last))
+                last = sha256((last + whole[-1]).encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ledger", "line", "seq")), *(pa.array(c, pa.string()) for c in (before, hashes, whole))], names=schema.names)
+
+    return cut_lineage(rows.repartition("ledger").sortWithinPartitions("ledger", "line").mapInArrow(link, schema))
 
 
 def contract_hash(contract: Column, *, with_scope: bool = True) -> Column:

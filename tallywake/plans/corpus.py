@@ -197,7 +197,7 @@ select n.* from n join customer on c_custkey = root where c_acctbal > 0"""
 
 
 def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One saved run per order priority; its commits are that priority's orders."""
+    """One saved run per customer; its commits are that customer's orders."""
     rows = changes(spark, sf_dir)
     n = F.col("sha")
     answer = F.struct(F.struct((n % 3).cast("double").alias("score")).alias("specificity"), F.struct((n % 5 / 2.5).alias("score")).alias("blast_radius"), F.struct((n % 10 / 10).alias("noul")).alias("novelty"))
@@ -206,7 +206,7 @@ def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n % 7).cast("int").alias("candidates"), (n % 90).cast("double").alias("containment"), F.when(n % 4 == 0, F.array(F.lit("auth/security"))).otherwise(F.array().cast("array<string>")).alias("riskPaths"),
         F.col("repaired_after").alias("repairedAfter"), F.struct(answer.alias("offline")).alias("inputs"),
     )
-    runs = rows.groupBy(F.col("priority").alias("run_id")).agg(F.collect_list(commit).alias("commits"))
+    runs = rows.groupBy(F.col("repo_id").alias("run_id")).agg(F.collect_list(commit).alias("commits"))
     return runs.select("run_id", F.to_json(F.struct(F.struct(F.lit(365).alias("windowDays"), F.lit(30).alias("minSample")).alias("method"), "commits")).alias("value"))
 
 
@@ -215,7 +215,7 @@ def s18_saved_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("run_id", "window_days", "min_sample").agg(F.count("*").alias("commits"), F.sum("containment").alias("containment"), F.count("repairedAfter").alias("repaired"), F.sum(F.size("riskPaths")).alias("flags"))
 
 
-S18_SQL = f"""with {CHANGES_CTE} select priority as run_id, 365 as window_days, 30 as min_sample, count(*) as commits, sum(sha % 90)::double as containment, count(repaired_after) as repaired, count(*) filter (sha % 4 = 0) as flags from changes group by 1"""
+S18_SQL = f"""with {CHANGES_CTE} select repo_id as run_id, 365 as window_days, 30 as min_sample, count(*) as commits, sum(sha % 90)::double as containment, count(repaired_after) as repaired, count(*) filter (sha % 4 = 0) as flags from changes group by 1"""
 
 
 def a10_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -495,19 +495,26 @@ from lineitem join kinds on id = l_partkey group by 2"""
 
 
 def s19_eval_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One corpus per source: its documents are cases and risk labels."""
-    docs = table(spark, sf_dir, "documents")
-    name = F.col("doc_id").cast("string")
-    case = F.struct(name.alias("name"), F.col("text").alias("query"), F.array(name).alias("expectedPrimary"), F.array().cast("array<string>").alias("expectedAnyOf"), (F.col("doc_id") % 3 == 0).alias("knownGap"))
-    risk = F.struct(name.alias("name"), F.lit("query").alias("mode"), F.col("lang").alias("query"), F.lit(None).cast("string").alias("path"), F.array(F.col("lang")).alias("expectedConcepts"))
-    corpora = docs.groupBy(F.col("source").alias("corpus_id")).agg(F.to_json(F.struct(F.lit(4).alias("k"), F.collect_list(case).alias("retrieval"), F.collect_list(risk).alias("risk"))).alias("value"))
+    """One corpus per document: its lines are cases and risk labels."""
+    lines = F.split("text", "\n")
+
+    def case(line, i):
+        name = i.cast("string")
+        return F.struct(name.alias("name"), line.alias("query"), F.array(name).alias("expectedPrimary"), F.array().cast("array<string>").alias("expectedAnyOf"), (i % 3 == 0).alias("knownGap"))
+
+    def risk(line, i):
+        return F.struct(i.cast("string").alias("name"), F.lit("query").alias("mode"), F.col("lang").alias("query"), F.lit(None).cast("string").alias("path"), F.array(F.col("lang")).alias("expectedConcepts"))
+
+    value = F.to_json(F.struct(F.lit(4).alias("k"), F.transform(lines, case).alias("retrieval"), F.transform(lines, risk).alias("risk")))
+    corpora = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("corpus_id"), value.alias("value"))
     cases, labels, _ = sc.eval_corpus(corpora)
     left = cases.groupBy("corpus_id", "k").agg(F.count("*").alias("cases"), F.count_if("knownGap").alias("gaps"), F.sum(F.length("query")).alias("chars"))
     right = labels.groupBy("corpus_id").agg(F.count("*").alias("labels"), F.count_if(F.array_contains("expectedConcepts", "en")).alias("english"))
     return left.join(right, "corpus_id")
 
 
-S19_SQL = "select source as corpus_id, 4 as k, count(*) as cases, count(*) filter (doc_id % 3 = 0) as gaps, cast(sum(length(text)) as bigint) as chars, count(*) as labels, count(*) filter (lang = 'en') as english from documents group by 1"
+S19_SQL = """with d as (select doc_id, lang, string_split(text, chr(10)) as l from documents)
+select doc_id as corpus_id, 4 as k, len(l) as cases, (len(l) + 2) // 3 as gaps, cast(list_sum(list_transform(l, lambda x: length(x))) as bigint) as chars, len(l) as labels, case when lang = 'en' then len(l) else 0 end as english from d"""
 
 
 def symbol_files(spark: SparkSession, sf_dir: str) -> DataFrame:

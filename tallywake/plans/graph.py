@@ -315,10 +315,11 @@ J6_SQL = f"""with {FILES_CTE},
 rel as (select repo_id, src, specifier, regexp_replace(regexp_replace(specifier, '^(\\.\\./)+', ''), '/[^/]+$', '') as folder from imports where specifier like '.%'),
 bare as (select repo_id, src, specifier, regexp_extract(specifier, '([^/]+)$', 1) as tail from imports where specifier not like '.%'),
 nm as (select repo_id, path, regexp_extract(path, '([^/]+)$', 1) as base from named),
-hits as (select r.repo_id, r.src, r.specifier, f.path from rel r join named f on f.repo_id = r.repo_id and starts_with(f.path, r.folder || '/')
-   union select b.repo_id, b.src, b.specifier, f.path from bare b join nm f on f.repo_id = b.repo_id
-     and (f.base in (b.tail, regexp_replace(b.tail, '\\.[^.]+$', '')) or regexp_replace(f.base, '\\.[^.]+$', '') in (b.tail, regexp_replace(b.tail, '\\.[^.]+$', ''))))
-select * from (select *, row_number() over (partition by repo_id, src, specifier order by path) as position from hits) where position <= 5"""
+every as (select r.repo_id, r.src, r.specifier, f.path, 0 as kind from rel r join named f on f.repo_id = r.repo_id and starts_with(f.path, r.folder || '/')
+  union all select b.repo_id, b.src, b.specifier, f.path, case when f.base = b.tail then 0 else 1 end from bare b join nm f on f.repo_id = b.repo_id
+     and (f.base = b.tail or regexp_replace(f.base, '\\.[^.]+$', '') = regexp_replace(b.tail, '\\.[^.]+$', ''))),
+hits as (select repo_id, src, specifier, path, min(kind) as kind from every group by all)
+select * exclude (kind) from (select *, row_number() over (partition by repo_id, src, specifier order by kind, path) as position from hits) where position <= 5"""
 
 
 def g2_build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywake.functions import paths as P
@@ -230,16 +230,13 @@ def data_access(files: DataFrame) -> DataFrame:
     # Cutting the text at each literal gives the text before it: lines add up along the pieces.
     pieces = F.split("text", SQL_LITERAL)
     newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    numbered = F.aggregate(
-        F.transform(literals, lambda s, i: F.struct(s.alias("s"), F.get(pieces, i).alias("before"))),
-        F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<s:string,line:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["line"] + newlines(x["before"]) + newlines(x["s"])).cast("int").alias("line"),
-            F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), (acc["line"] + newlines(x["before"])).cast("int").alias("line")))).alias("out"),
-        ),
-    )["out"]
+    found = F.transform(literals, lambda s, i: F.struct(s.alias("s"), F.get(pieces, i).alias("before")))
+    each = files.withColumn("_file", F.monotonically_increasing_id()).select("_file", "repo_id", "path", F.posexplode(found).alias("i", "l"))
+    above = Window.partitionBy("_file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    own, before = newlines(F.col("l.s")), newlines(F.col("l.before"))
+    numbered = each.withColumn("line", (1 + F.sum(before + own).over(above) - own).cast("int"))
     body = F.trim(F.regexp_replace(F.regexp_replace("l.s", r'^(@"|"""|["\'`])', ""), r'("""|["\'`])$', ""))
-    sql = files.select("repo_id", "path", F.explode(numbered).alias("l")).withColumn("q", body).where(F.col("q").rlike(SQL_VERB) & F.col("q").rlike(SQL_STRUCTURE))
+    sql = numbered.withColumn("q", body).where(F.col("q").rlike(SQL_VERB) & F.col("q").rlike(SQL_STRUCTURE))
     op = F.regexp_extract(verb(F.col("q")), r"^(\w+)", 1)
     table = (
         F.when(op.isin("SELECT", "DELETE"), F.regexp_extract("q", r"(?i)\bFROM\s+([A-Za-z_][\w.]*)", 1))
@@ -248,7 +245,7 @@ def data_access(files: DataFrame) -> DataFrame:
         .when(op.isin("CREATE", "DROP", "ALTER", "TRUNCATE"), F.regexp_extract("q", r"(?i)\bTABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?([A-Za-z_][\w.]*)", 1))
         .when(op == "MERGE", F.regexp_extract("q", r"(?i)\bINTO\s+([A-Za-z_][\w.]*)", 1))
     )
-    in_sql = sql.select("repo_id", "path", F.lit("sql").alias("source"), op.alias("op"), F.when(table != "", table).alias("table"), F.col("l.line").alias("line"))
+    in_sql = sql.select("repo_id", "path", F.lit("sql").alias("source"), op.alias("op"), F.when(table != "", table).alias("table"), "line")
     lines = files.select("repo_id", "path", F.posexplode(F.split("text", "\n")).alias("pos", "t")).where(F.col("t").rlike(ORM_CALL))
     calls = F.arrays_zip(F.regexp_extract_all("t", F.lit(ORM_CALL), 1).alias("table"), F.regexp_extract_all("t", F.lit(ORM_CALL), 2).alias("op"))
     in_orm = lines.select("repo_id", "path", (F.col("pos") + 1).alias("line"), F.explode(calls).alias("c")).select(

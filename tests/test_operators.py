@@ -326,9 +326,9 @@ def test_eval_corpus_parts(spark):
 def test_registry_names_lead_to_the_modules_they_call(spark):
     from tallywake.operators.impact import implementers
 
-    named = spark.createDataFrame([(1, "r", "convergence_score")], "request_id int, repo_id string, literal string")
-    registry = spark.createDataFrame([("r", "src/mcp.ts", "convergence_score", ["generateConvergence", "contextPaths"]), ("r", "tests/fixtures/mcp.ts", "convergence_score", ["generateConvergence"])], "repo_id string, path string, name string, calls array<string>")
-    imports = spark.createDataFrame([("r", "src/mcp.ts", "src/converge.ts"), ("r", "src/mcp.ts", "src/paths.ts"), ("r", "tests/fixtures/mcp.ts", "src/other.ts")], "repo_id string, src string, dst string")
-    files = spark.createDataFrame([("r", "src/converge.ts", "source", ["generateConvergence"]), ("r", "src/paths.ts", "source", ["contextPaths"]), ("r", "src/other.ts", "source", ["generateConvergence"])], "repo_id string, path string, kind string, exports array<string>")
+    named = spark.createDataFrame([(1, "r", "order_total")], "request_id int, repo_id string, literal string")
+    registry = spark.createDataFrame([("r", "src/tools.ts", "order_total", ["sumOrder", "orderLines"]), ("r", "tests/fixtures/tools.ts", "order_total", ["sumOrder"])], "repo_id string, path string, name string, calls array<string>")
+    imports = spark.createDataFrame([("r", "src/tools.ts", "src/order.ts"), ("r", "src/tools.ts", "src/lines.ts"), ("r", "tests/fixtures/tools.ts", "src/other.ts")], "repo_id string, src string, dst string")
+    files = spark.createDataFrame([("r", "src/order.ts", "source", ["sumOrder"]), ("r", "src/lines.ts", "source", ["orderLines"]), ("r", "src/other.ts", "source", ["sumOrder"])], "repo_id string, path string, kind string, exports array<string>")
     got = [(r.path, r.via) for r in implementers(named, registry, imports, files).collect()]
-    assert got == [("src/converge.ts", "src/mcp.ts")]
+    assert got == [("src/order.ts", "src/tools.ts")]
