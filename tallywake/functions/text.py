@@ -41,14 +41,3 @@ def singular(word: Column) -> Column:
         .when(word.endswith("s"), word.substr(F.lit(1), n - 1))
         .otherwise(word)
     )
-
-
-def tokens_without(text: Column, stop_words: Sequence[str], min_length: int = 2) -> Column:
-    """Words minus stop words and very short ones, repeats kept."""
-    return F.filter(words(text), lambda w: (F.length(w) >= min_length) & ~w.isin(*stop_words))
-
-
-def contains_run(tokens: Column, run: Sequence[str]) -> Column:
-    """The words appear next to each other, in order, as whole tokens."""
-    joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    return joined.contains(" " + " ".join(run) + " ")
