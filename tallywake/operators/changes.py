@@ -370,14 +370,18 @@ def change_risk(enriched: DataFrame, comments: DataFrame | None = None) -> DataF
 def review_targets(files: DataFrame) -> DataFrame:
     """What a reviewer should open per change: routes, then symbols of the files, config and tests.
 
-    files(change_id, path, kind, route, controller, http_methods array<struct<method, path>>).
+    files(change_id, path, kind, route, controller, http_methods array<struct<method, path>>,
+    symbols array<struct<type, name>>). A file with a route of its own is that route; others
+    are their methods.
     ``position`` counts per change and target kind, in path order; a reader may cut there.
     """
     methods = F.transform(F.coalesce("http_methods", F.array().cast("array<struct<method:string,path:string>>")), lambda m: F.concat(
         m["method"], F.lit(" "), F.regexp_replace(F.concat(F.lit("/"), F.coalesce("controller", F.lit("")), F.lit("/"), m["path"]), "/+", "/")))
-    routes = F.concat(F.array_compact(F.array(F.col("route"))), methods)
+    routes = F.when(F.col("route").isNotNull(), F.array("route")).otherwise(methods)
+    symbols = F.coalesce("symbols", F.array().cast("array<struct<type:string,name:string>>"))
     entries = F.concat(
         F.transform(routes, lambda r: F.struct(F.lit("route").alias("target"), r.alias("value"))),
+        F.transform(symbols, lambda s: F.struct(F.lit("symbol").alias("target"), F.concat_ws(" ", s["type"], s["name"]).alias("value"))),
         F.when(F.col("kind") == "config", F.array(F.struct(F.lit("config").alias("target"), F.col("path").alias("value")))).otherwise(F.array().cast("array<struct<target:string,value:string>>")),
         F.when(F.col("kind") == "test", F.array(F.struct(F.lit("test").alias("target"), F.col("path").alias("value")))).otherwise(F.array().cast("array<struct<target:string,value:string>>")),
     )

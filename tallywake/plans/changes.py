@@ -238,12 +238,14 @@ def p22_review_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kind": P.kind(F.col("path")), "route": P.route(F.col("path")), "controller": F.when(F.col("path").endswith(".controller.ts"), F.lit("shop/")),
         "http_methods": F.when(F.col("path").endswith(".controller.ts"), F.array(F.struct(F.lit("GET").alias("method"), F.concat(F.lit("/items/"), F.col("l_linenumber").cast("string")).alias("path")))),
     })
-    return c.review_targets(rows)
+    symbol = F.struct(F.lit("function").alias("type"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("name"))
+    return c.review_targets(rows.withColumn("symbols", F.when(F.col("path").endswith(".ts"), F.array(symbol))))
 
 
 P22_SQL = f"""with {ITEMS_CTE},
 e as (select distinct change_id, 'route' as target, 'GET /shop/items/' || l_linenumber as value from items where path like '%.controller.ts'
   union select change_id, 'route', regexp_replace(regexp_replace(path, '^src/app', ''), '/(page|layout|route)\\.[cm]?[jt]sx?$', '') from items where path like 'src/app/%' and regexp_matches(path, '/(page|layout|route)\\.[cm]?[jt]sx?$')
+  union select change_id, 'symbol', 'function f' || l_linenumber from items where path like '%.ts'
   union select change_id, kind, i.path from items i join kinds k on k.path = i.path and k.id >= 0 where kind in ('config', 'test')),
 o as (select *, row_number() over (partition by change_id, target order by value) as position from e) select * from o"""
 

@@ -9,6 +9,10 @@ from tallywake.functions import paths as P
 
 # What a source scan reads.
 SOURCE_SUFFIX = r"(?i)\.(ts|tsx|js|jsx|mjs|cjs|mts|cts|go|cs|py|java|rb|rs|hbs|handlebars|json|ya?ml|snap|md|mdx|markdown|sql|prisma)$"
+NO_SOURCE = ["package.json", "package-lock.json", "tsconfig.json"]
+SQL_SOURCE = r"(?i)(^|/)migrations?/|(^|/)(schema|structure)\.sql$"
+FLAG_SNAPSHOT = r"(?i)(^|/)(feature[-_]?flags?|flags?|config)/([^/]+/)*\.snapshot$"
+IGNORED_FILE = r"(?i)(^|/)(\.DS_Store|\.eslintcache|\.env|\.env\.[^/]*)$|\.(log|tsbuildinfo|pem|key|crt|p12|gz|tar)$"
 IGNORED_FOLDERS = ["node_modules", ".git", "dist", "build", "coverage", ".next", ".turbo", ".cache"]
 # Dependency files, as (name pattern, role, ecosystem, manager).
 DEPENDENCY_FILES = [
@@ -67,8 +71,10 @@ def read_source_files(spark: SparkSession, root: str, repo_id: str, hidden: tupl
     relative = F.regexp_replace(shown, "^.*?" + root.strip("/").replace(".", r"\.") + "/", "")
     name = P.basename(F.col("rel"))
     lockfile = name.rlike(r"(lock|lock\.json|lock\.yaml|lockb|\.sum|shrinkwrap\.json)$")
+    # SQL outside migrations is a dump or a seed; manifests and compiler settings own no change.
+    source = F.when(F.col("rel").rlike(r"(?i)\.sql$"), F.col("rel").rlike(SQL_SOURCE)).otherwise(F.col("rel").rlike(SOURCE_SUFFIX) | F.col("rel").rlike(FLAG_SNAPSHOT))
     kept = files.withColumn("rel", relative).where(
-        (F.col("rel").rlike(SOURCE_SUFFIX) | lockfile | P.is_git_hook(F.col("rel")))
+        ((source | lockfile) & ~name.isin(*NO_SOURCE) & ~F.col("rel").rlike(IGNORED_FILE) | P.is_git_hook(F.col("rel")))
         & ~F.exists(P.directories(F.col("rel")), lambda d: d.isin(*IGNORED_FOLDERS))
     )
     return kept.select(F.lit(repo_id).alias("repo_id"), F.col("rel").alias("path"), "length", F.decode("content", "UTF-8").alias("text"))

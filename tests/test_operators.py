@@ -295,12 +295,12 @@ def test_hotspots_and_modules(spark):
 
 # ---------------------------------------------------------------- sources
 def test_source_tree_scan(spark, tmp_path):
-    for name, text in {"src/a.ts": "export const a = 1", "node_modules/x/b.ts": "no", "yarn.lock": "x", "img.png": "no", ".husky/pre-commit": "run"}.items():
+    for name, text in {"src/a.ts": "export const a = 1", "node_modules/x/b.ts": "no", "yarn.lock": "x", "img.png": "no", ".husky/pre-commit": "run", "package.json": "{}", "db/dump.sql": "no", "db/migrations/1.sql": "x", "schema.sql": "x", "src/server.key": "no", "big.ts": "y" * 1_100_000}.items():
         target = tmp_path / "tree" / name
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_text(text)
     got = {r.path for r in sc.read_source_files(spark, str(tmp_path / "tree"), "r", (".husky",)).collect()}
-    assert got == {"src/a.ts", "yarn.lock", ".husky/pre-commit"}
+    assert got == {"src/a.ts", "yarn.lock", ".husky/pre-commit", "db/migrations/1.sql", "schema.sql", "big.ts"}
 
 
 def test_artifacts_from_a_folder(spark, tmp_path):
@@ -327,8 +327,8 @@ def test_registry_names_lead_to_the_modules_they_call(spark):
     from tallywake.operators.impact import implementers
 
     named = spark.createDataFrame([(1, "r", "order_total")], "request_id int, repo_id string, literal string")
-    registry = spark.createDataFrame([("r", "src/tools.ts", "order_total", ["sumOrder", "orderLines"]), ("r", "tests/fixtures/tools.ts", "order_total", ["sumOrder"])], "repo_id string, path string, name string, calls array<string>")
+    registry = spark.createDataFrame([("r", "src/tools.ts", "order_total", ["sumOrder", "taxRows"]), ("r", "tests/fixtures/tools.ts", "order_total", ["sumOrder"])], "repo_id string, path string, name string, calls array<string>")
     imports = spark.createDataFrame([("r", "src/tools.ts", "src/order.ts"), ("r", "src/tools.ts", "src/lines.ts"), ("r", "tests/fixtures/tools.ts", "src/other.ts")], "repo_id string, src string, dst string")
-    files = spark.createDataFrame([("r", "src/order.ts", "source", ["sumOrder"]), ("r", "src/lines.ts", "source", ["orderLines"]), ("r", "src/other.ts", "source", ["sumOrder"])], "repo_id string, path string, kind string, exports array<string>")
+    files = spark.createDataFrame([("r", "src/order.ts", "source", ["sumOrder"]), ("r", "src/lines.ts", "source", ["taxRows"]), ("r", "src/other.ts", "source", ["sumOrder"])], "repo_id string, path string, kind string, exports array<string>")
     got = [(r.path, r.via) for r in implementers(named, registry, imports, files).collect()]
     assert got == [("src/order.ts", "src/tools.ts")]
