@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,9 +12,22 @@ from tallywake.session import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started from.
+
+    Machines that do not have this folder get the package as they get any other
+    code, by ``--py-files`` or an image.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder, removed when the driver ends."""
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
