@@ -81,7 +81,8 @@ def _bands(shingles: list[Column]) -> list[Column]:
 
 def _template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """license, words, and the distinct exact shingles of each template; as many rows as templates."""
-    words = spark.createDataFrame(list(templates.items()), "license string, text string").select("license", F.split(plain_words(F.col("text")), " ").alias("words"))
+    given = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates.items()])
+    words = spark.range(1).select(F.inline(given)).select("license", F.split(plain_words(F.col("text")), " ").alias("words"))
     shingle = F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.array_join(F.slice("words", i + 1, SHINGLE), " "))
     return words.where(F.size("words") >= SHINGLE).select("license", "words", F.array_distinct(shingle).alias("shingles"))
 
@@ -104,14 +105,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     spark = docs.sparkSession
     table = _template_table(spark, TEMPLATES if templates is None else templates)
     windows = table.select("license", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW_SHINGLE - WINDOW_SHINGLES + 1, F.lit(0)))).alias("start"))
-    known = windows.select("license", *[b.alias(f"b{i}") for i, b in enumerate(_bands(_window_shingles("words", "start")))]).collect()  # bounded by the template list
+    pointers = windows.select("license", F.posexplode(F.array(*_bands(_window_shingles("words", "start")))).alias("band", "key")).where("key is not null").distinct()
+
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     cut = rows.select("row", "doc_id", "text", F.split(plain_words(F.col("text")), " ").alias("words"))
     starts = cut.select("row", "doc_id", "text", "words", F.explode(F.expr(f"sequence(0, greatest(size(words) - {WINDOW_SHINGLE}, 0), {STRIDE})")).alias("start"))
     # inline() keeps the hashes of a window as columns: no band recomputes them.
     shingled = starts.select("row", "doc_id", "text", F.inline(F.array(F.struct(*[s.alias(f"s{i}") for i, s in enumerate(_window_shingles("words", "start"))]))))
     banded = _bands([F.col(f"s{i}") for i in range(WINDOW_SHINGLES)])
-    pointers = spark.createDataFrame([(i, r[f"b{i}"], r["license"]) for r in known for i in range(BANDS) if r[f"b{i}"] is not None], "band int, key long, license string").distinct()
     named = shingled.select("row", "doc_id", "text", F.posexplode(F.array(*banded)).alias("band", "key")).join(F.broadcast(pointers), ["band", "key"])
     retrieved = named.groupBy("row", "license").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     held = F.concat(F.lit(" "), plain_words(F.col("text")), F.lit(" "))
