@@ -19,10 +19,10 @@ import pyarrow as pa
 
 from tallywake.llm.words import Texts, per_text, portions, words
 
-#: Words a dictionary holds before it starts anew: about 100 MB.
-DICTIONARY_WORDS = 2_000_000
+#: Words a dictionary holds before it starts anew: about 50 MB.
+DICTIONARY_WORDS = 1_000_000
 #: Bytes of text that share one look-up.
-ROUND_BYTES = 4 << 20
+ROUND_BYTES = 2 << 20
 _JOINED = 1000
 _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
