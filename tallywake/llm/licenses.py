@@ -1,8 +1,7 @@
-"""Licence notices in documents: min-hash bands over overlapping windows, then exact containment."""
+"""Licence notices in documents: an exact lookup of template shingles at every word, then exact containment."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,37 +45,18 @@ TEMPLATES = {
     ),
 }
 
-#: Words of a shingle in the windows, shingles of a window, and words between windows. A run of three
-#: shingles, the least that a notice of five words has, always lies whole in one window.
-WINDOW_SHINGLE, WINDOW_SHINGLES, STRIDE = 3, 6, 4
-#: Bands of one minimum each. A window with half of its shingles from a template misses it with
-#: probability 2^-BANDS; one that is all template never does.
-BANDS = 16
-#: Words of the shingles that are compared exactly, and the share of a template's that must be there.
+#: Words of a shingle, and the share of a template's that must be there.
 SHINGLE, CONTAINED = 5, 0.8
 
-_MASKS = np.random.default_rng(9).integers(-(2**62), 2**62, BANDS, dtype=np.int64).tolist()
-
 
 def plain_words(text: Column) -> Column:
     """ASCII letters and digits in lower case, everything else one space."""
     return F.trim(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", " ")))
 
 
-def _window_shingles(words: str, start: str) -> list[Column]:
-    """Hashes of the shingles of the window of ``words`` that begins at ``start``."""
-    return [
-        F.when(
-            F.expr(f"size({words}) >= {start} + {i + WINDOW_SHINGLE}"),
-            F.xxhash64(*[F.expr(f"get({words}, {start} + {i + k})") for k in range(WINDOW_SHINGLE)]),
-        )
-        for i in range(WINDOW_SHINGLES)
-    ]
-
-
-def _bands(shingles: list[Column]) -> list[Column]:
-    """The minimum under each band's mask; shingles past the end are null and do not count."""
-    return [F.least(*[s.bitwiseXOR(F.lit(m)) for s in shingles]) for m in _MASKS]
+def _key(words: str, start: str) -> Column:
+    """A hash of the shingle of ``words`` that begins at ``start``."""
+    return F.xxhash64(*[F.expr(f"get({words}, {start} + {k})") for k in range(SHINGLE)])
 
 
 def _template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -90,8 +70,10 @@ def _template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
     """Templates that stand in a document, word for word or nearly so.
 
-    Texts are cut into overlapping windows of eight words; a window one of whose
-    minima is that of a template window retrieves the template for its document.
+    The shingle at every word of a text is looked up, by a hash, among those of
+    the templates; one hit retrieves the template for its document. A document
+    that holds a share of a template's shingles holds one of them, so nothing is
+    missed; what a hash retrieves wrongly fails the count that follows.
     The match counts if the document holds at least ``contained`` of the
     template's distinct five-word shingles. Only DataFrame functions are used.
 
@@ -99,21 +81,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     of ``docs`` and matching template: repeated rows match as often as they
     stand. Null, empty and very short texts match nothing; a null doc_id stays
     null; templates under five words are left out. An empty table gives no row.
-    Other columns are not looked at. Templates are a short list: their windows,
-    BANDS rows each, are the only thing that is broadcast.
+    Other columns are not looked at. Templates are a short list: their shingles
+    are the only thing that is broadcast.
     """
     spark = docs.sparkSession
     table = _template_table(spark, TEMPLATES if templates is None else templates)
-    windows = table.select("license", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW_SHINGLE - WINDOW_SHINGLES + 1, F.lit(0)))).alias("start"))
-    pointers = windows.select("license", F.posexplode(F.array(*_bands(_window_shingles("words", "start")))).alias("band", "key")).where("key is not null").distinct()
+    places = table.select("license", "words", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)).alias("start"))
+    pointers = places.select("license", _key("words", "start").alias("key")).distinct()
 
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     cut = rows.select("row", "doc_id", "text", F.split(plain_words(F.col("text")), " ").alias("words"))
-    starts = cut.select("row", "doc_id", "text", "words", F.explode(F.expr(f"sequence(0, greatest(size(words) - {WINDOW_SHINGLE}, 0), {STRIDE})")).alias("start"))
-    # inline() keeps the hashes of a window as columns: no band recomputes them.
-    shingled = starts.select("row", "doc_id", "text", F.inline(F.array(F.struct(*[s.alias(f"s{i}") for i, s in enumerate(_window_shingles("words", "start"))]))))
-    banded = _bands([F.col(f"s{i}") for i in range(WINDOW_SHINGLES)])
-    named = shingled.select("row", "doc_id", "text", F.posexplode(F.array(*banded)).alias("band", "key")).join(F.broadcast(pointers), ["band", "key"])
+    starts = cut.select("row", "doc_id", "text", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))).alias("start"))
+    named = starts.select("row", "doc_id", "text", _key("words", "start").alias("key")).join(F.broadcast(pointers), "key")
     retrieved = named.groupBy("row", "license").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     held = F.concat(F.lit(" "), plain_words(F.col("text")), F.lit(" "))
     matched = (

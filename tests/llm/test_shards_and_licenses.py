@@ -65,6 +65,19 @@ def test_notices_in_any_place_and_nearly_whole(documents):
     assert licenses.scan(documents([])).count() == 0
 
 
+def test_no_context_hides_a_notice(documents):
+    # Each context stood in for the notice in every band of the min-hash that once retrieved the templates.
+    contexts = [
+        "{} ts vjyjh su zpnbhap az twubhvif iboko xijqegwq qjpf",
+        "{} sgmpggx apua wbfcd dpyo rkbh dxmna djguvnnj gzbdo hm",
+        "{} lj valily mpxqvzld comiiok tndg kvaqiy tfki jlxph netuaxr",
+        "pflgre ygbkk {} vi bpoysh wx uvql fc ibw roizaffm qfwqyv jlex",
+        "mtaays {} ky hanpnzm szxqybwr px wphbr qffdx lukeggir cb dzkqjfj",
+    ]
+    docs = documents([(n, c.format(licenses.TEMPLATES["mit-notice"])) for n, c in enumerate(contexts)])
+    assert sorted((r.doc_id, r.license) for r in licenses.scan(docs).collect()) == [(n, "mit-notice") for n in range(5)]
+
+
 def test_the_scan_runs_no_python(spark):
     plan = licenses.scan(table(spark, SF, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
