@@ -271,9 +271,10 @@ def request_scope_terms(requests: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def request_modules(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """(request_id, repo_id, directory): folders named for a request word.
+    """(request_id, repo_id, directory, n): folders named for a request word.
 
-    At most a fifth of the files, outermost only, and none when more than six.
+    At most a fifth of the files, outermost only; ``n`` is how many the request
+    names in the repository, for a reader to whom many are as good as none.
     """
     parts = F.split("path", "/")
     depths = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
@@ -303,4 +304,4 @@ def request_modules(requests: DataFrame, files: DataFrame) -> DataFrame:
     )
     outer = found.join(nested, ["request_id", "repo_id", "directory"], "left_anti")
     total = F.count("*").over(Window.partitionBy("request_id", "repo_id"))
-    return outer.withColumn("n", total).where("n <= 6").drop("n")
+    return outer.withColumn("n", total)

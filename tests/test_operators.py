@@ -293,6 +293,14 @@ def test_hotspots_and_modules(spark):
     assert [r.directory for r in t.request_modules(asked, tree).collect()] == ["src/user"]
 
 
+def test_modules_of_a_request_that_names_many_folders(spark):
+    paths = [f"src/part{i}/user/f.ts" for i in range(8)] + [f"lib/x{i}.ts" for i in range(40)]
+    tree = spark.createDataFrame([("r", p) for p in paths], "repo_id string, path string")
+    asked = spark.createDataFrame([(1, "r", "user: add a field")], "request_id int, repo_id string, text string")
+    got = {(r.directory, r.n) for r in t.request_modules(asked, tree).collect()}
+    assert got == {(f"src/part{i}/user", 8) for i in range(8)}
+
+
 # ---------------------------------------------------------------- sources
 def test_source_tree_scan(spark, tmp_path):
     for name, text in {"src/a.ts": "export const a = 1", "node_modules/x/b.ts": "no", "yarn.lock": "x", "img.png": "no", ".husky/pre-commit": "run", "package.json": "{}", "db/dump.sql": "no", "db/migrations/1.sql": "x", "schema.sql": "x", "src/server.key": "no", "big.ts": "y" * 1_100_000}.items():
