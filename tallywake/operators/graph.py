@@ -211,32 +211,49 @@ def dependents(edges: DataFrame, starts: DataFrame, max_depth: int = 3, limit: i
     return out.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit).join(totals, ["repo_id", "start_set"])
 
 
-def loose_candidates(imports: DataFrame, files: DataFrame, most: int = 5) -> DataFrame:
-    """Files a specifier may loosely mean, the best ``most`` of them.
+def loose_candidates(imports: DataFrame, files: DataFrame, most: int | None = None) -> DataFrame:
+    """Every file a specifier may loosely mean, with its ``kind`` and ``position``, or the best ``most`` of them.
 
-    A relative specifier means the files of the folder it points into; a bare
-    one the files named as its last segment, then those whose stem is its stem.
+    A relative specifier means the file of its path (kind 0), of that stem (1),
+    the index of that folder (2), and the files of the folder it points into
+    (3); a bare one the files named as its last segment (0), then those whose
+    stem is its stem (1). Positions go by kind and then path.
     """
     spec, src = F.col("specifier"), F.col("src")
     joined = P.normalize(F.concat(P.dirname(src), F.lit("/"), spec))
-    relative = imports.where(spec.startswith("."))
-    folder = F.when(joined.contains("/"), F.regexp_replace(joined, r"/[^/]+$", "")).otherwise(joined)
+    relative = imports.where(spec.startswith(".")).select("repo_id", "src", "specifier", joined.alias("joined"))
+
+    def listed(places: DataFrame, *keys: str) -> DataFrame:
+        """With a limit, no key needs more than its first ``most`` files: better kinds are joined on their own."""
+        if most is None:
+            return places
+        first = Window.partitionBy(*keys).orderBy("path")
+        return places.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
+
+    at = F.col("joined")
+    stem = F.regexp_replace("path", r"\.[^./]+$", "")
+    meant = relative.select("repo_id", "src", "specifier", F.posexplode(F.array(at, at, F.concat(at, F.lit("/index")))).alias("kind", "name"))
+    by_path = files.select("repo_id", "path", F.posexplode(F.array(F.col("path"), stem, stem)).alias("kind", "name"))
+    exact = meant.join(listed(by_path, "repo_id", "kind", "name"), ["repo_id", "kind", "name"]).select("repo_id", "src", "specifier", "path", "kind")
+
+    folder = F.when(at.contains("/"), F.regexp_replace(at, r"/[^/]+$", "")).otherwise(at)
     # A file lies under every folder above it, so it is listed once per ancestor.
     parts = P.directories(F.col("path"))
     ancestors = F.when(
         F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     ).otherwise(F.array().cast("array<string>"))
-    by_folder = files.select("repo_id", "path", F.explode(ancestors).alias("folder"))
-    in_folder = relative.withColumn("folder", folder).join(by_folder, ["repo_id", "folder"]).select("repo_id", "src", "specifier", "path")
+    by_folder = listed(files.select("repo_id", "path", F.explode(ancestors).alias("folder")), "repo_id", "folder")
+    in_folder = relative.withColumn("folder", folder).join(by_folder, ["repo_id", "folder"]).select("repo_id", "src", "specifier", "path", F.lit(3).alias("kind"))
 
     tail = F.substring_index(spec, "/", -1)
     def forms(name: Column) -> Column:
         return F.posexplode(F.array(name, F.regexp_replace(name, r"\.[^.]+$", ""))).alias("kind", "name")
 
-    by_name = files.select("repo_id", "path", forms(P.basename(F.col("path"))))
+    by_name = listed(files.select("repo_id", "path", forms(P.basename(F.col("path")))), "repo_id", "kind", "name")
     bare = imports.where(~spec.startswith(".")).select("repo_id", "src", "specifier", forms(tail))
     named = bare.join(by_name, ["repo_id", "kind", "name"]).select("repo_id", "src", "specifier", "path", "kind")
     order = Window.partitionBy("repo_id", "src", "specifier").orderBy("kind", "path")
-    every = in_folder.withColumn("kind", F.lit(0)).unionByName(named)
+    every = exact.unionByName(in_folder).unionByName(named)
     both = every.groupBy("repo_id", "src", "specifier", "path").agg(F.min("kind").alias("kind"))
-    return both.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+    ranked = both.withColumn("position", F.row_number().over(order))
+    return ranked if most is None else ranked.where(F.col("position") <= most)

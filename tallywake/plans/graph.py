@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywake.functions import paths as P
@@ -307,8 +307,12 @@ select a.repo_id, a.path as src, b.path as dst from t a join targets b on a.repo
 
 
 def j6_loose_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL ranks the files of a folder by path alone and takes five; the operator gives all, by kind."""
     f = files(spark, sf_dir)
-    return g.loose_candidates(g.import_rows(f), f).select("repo_id", "src", "specifier", "path", "position")
+    every = g.loose_candidates(g.import_rows(f), f)
+    kind = F.when(F.col("specifier").startswith("."), 0).otherwise(F.col("kind"))
+    order = Window.partitionBy("repo_id", "src", "specifier").orderBy(kind, "path")
+    return every.select("repo_id", "src", "specifier", "path", F.row_number().over(order).alias("position")).where("position <= 5")
 
 
 J6_SQL = f"""with {FILES_CTE},

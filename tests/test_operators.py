@@ -301,6 +301,22 @@ def test_modules_of_a_request_that_names_many_folders(spark):
     assert got == {(f"src/part{i}/user", 8) for i in range(8)}
 
 
+def test_loose_candidates_keep_every_file_and_rank_by_kind(spark):
+    paths = [f"src/lib/a{i}.ts" for i in range(8)] + ["src/lib/zeta.ts", "src/lib/zeta/index.ts", "src/lib/zeta/x.ts", "main.ts"] + [f"web/{i}/auth.ts" for i in range(7)]
+    files = spark.createDataFrame([("r", p) for p in paths], "repo_id string, path string")
+    asked = [("src/lib/a0.ts", "./zeta"), ("src/lib/a0.ts", "./zeta.ts"), ("web/0/auth.ts", "@/lib/auth"), ("web/0/auth.ts", "../../main")]
+    imports = spark.createDataFrame([("r", *a) for a in asked], "repo_id string, src string, specifier string")
+    of = lambda rows, spec: [(r.path, r.kind) for r in sorted(rows, key=lambda r: r.position) if r.specifier == spec]
+    got, best = graph.loose_candidates(imports, files).collect(), graph.loose_candidates(imports, files, 3).collect()
+    others = [(p, 3) for p in paths[:8]] + [("src/lib/zeta/x.ts", 3)]
+    assert of(got, "./zeta") == [("src/lib/zeta.ts", 1), ("src/lib/zeta/index.ts", 2)] + others
+    assert of(got, "./zeta.ts")[0] == ("src/lib/zeta.ts", 0) and len(of(got, "./zeta.ts")) == 11
+    assert of(got, "@/lib/auth") == [(f"web/{i}/auth.ts", 1) for i in range(7)]
+    assert of(got, "../../main") == [("main.ts", 1)]
+    for spec in ("./zeta", "./zeta.ts", "@/lib/auth", "../../main"):
+        assert of(best, spec) == of(got, spec)[:3]
+
+
 # ---------------------------------------------------------------- sources
 def test_source_tree_scan(spark, tmp_path):
     for name, text in {"src/a.ts": "export const a = 1", "node_modules/x/b.ts": "no", "yarn.lock": "x", "img.png": "no", ".husky/pre-commit": "run", "package.json": "{}", "db/dump.sql": "no", "db/migrations/1.sql": "x", "schema.sql": "x", "src/server.key": "no", "big.ts": "y" * 1_100_000}.items():
