@@ -317,6 +317,24 @@ def test_loose_candidates_keep_every_file_and_rank_by_kind(spark):
         assert of(best, spec) == of(got, spec)[:3]
 
 
+def test_hotspots_look_past_unspecific_symbols(spark):
+    rows = [(1, "r", "a.ts", n, f"common{n}", 90 - n, 0.5) for n in range(9)] + [(1, "r", "a.ts", 9, "rare", 10, 2.0)]
+    matches = spark.createDataFrame(rows, "request_id int, repo_id string, path string, symbol_no int, name string, score int, specificity double")
+    focus = matches.select("request_id", "repo_id", "path").distinct()
+    assert [r.name for r in x.hotspots(matches, focus, focus.where("false")).collect()] == ["rare"]
+    assert x.hotspots(matches, focus, focus).count() == 10
+
+
+def test_related_files_hold_all_files_alike(spark):
+    files = spark.createDataFrame([("r", f"f{i}.ts", "service", "user") for i in range(7)], "repo_id string, path string, kind string, domain string")
+    primary = spark.createDataFrame([(1, "r", "f0.ts")], "request_id int, repo_id string, path string")
+    none = files.selectExpr("1 as request_id", "repo_id", "path", "kind", "0 as score").where("false")
+    edges = files.selectExpr("repo_id", "path as src", "path as dst").where("false")
+    got = x.related_files(primary, none, edges, files)
+    assert sorted(r.path for r in got.collect()) == [f"f{i}.ts" for i in range(1, 7)]
+    assert x.related_files(primary, none, edges, files, alike=3).count() == 3
+
+
 # ---------------------------------------------------------------- sources
 def test_source_tree_scan(spark, tmp_path):
     for name, text in {"src/a.ts": "export const a = 1", "node_modules/x/b.ts": "no", "yarn.lock": "x", "img.png": "no", ".husky/pre-commit": "run", "package.json": "{}", "db/dump.sql": "no", "db/migrations/1.sql": "x", "schema.sql": "x", "src/server.key": "no", "big.ts": "y" * 1_100_000}.items():
