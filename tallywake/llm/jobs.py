@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywake.llm import bpe, licenses, near_dup, neighbours, packing, quality, rules, sharding, token_counts, token_file
+from tallywake.llm import bpe, conversation_repair, licenses, near_dup, neighbours, packing, quality, rules, sharding, token_counts, token_file
 from tallywake.llm.storage import table
 
 
@@ -50,6 +50,11 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repaired_digests(turns, conversation_repair.damage(turns))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_token_file": (op2_token_file, None),
@@ -61,4 +66,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_shards": (op8_shards, sharding.oracle()),
     "op9_licenses": (op9_licenses, licenses.oracle()),
     "op10_rules": (op10_rules, None),
+    "op13_conversations": (op13_conversations, conversation_repair.oracle()),
 }

@@ -12,11 +12,11 @@ from tallywake.session import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    _reach_workers(spark)
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _reach_workers(spark: SparkSession) -> None:
+def reach_workers(spark: SparkSession) -> None:
     """Let Python workers import this package wherever the driver was started from.
 
     Machines that do not have this folder get the package as they get any other
