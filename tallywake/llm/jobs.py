@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywake.llm import bpe, conversation_repair, licenses, near_dup, neighbours, packing, quality, rules, sharding, token_counts, token_file
+from tallywake.llm import bpe, conversation_repair, hard_negatives, licenses, near_dup, neighbours, packing, quality, rules, sharding, token_counts, token_file, warc
 from tallywake.llm.storage import table
 
 
@@ -50,6 +50,14 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.moved_labels(table(spark, sf_dir, "embeddings")))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return conversation_repair.repaired_digests(turns, conversation_repair.damage(turns))
@@ -66,5 +74,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_shards": (op8_shards, sharding.oracle()),
     "op9_licenses": (op9_licenses, licenses.oracle()),
     "op10_rules": (op10_rules, None),
+    "op11_warc": (op11_warc, warc.oracle()),
+    "op12_hard_negatives": (op12_hard_negatives, hard_negatives.oracle()),
     "op13_conversations": (op13_conversations, conversation_repair.oracle()),
 }
