@@ -1,5 +1,8 @@
 """Shards and licences against their SQL."""
 
+import random
+import re
+
 import duckdb
 import pytest
 
@@ -78,6 +81,44 @@ def test_no_context_hides_a_notice(documents):
     assert sorted((r.doc_id, r.license) for r in licenses.scan(docs).collect()) == [(n, "mit-notice") for n in range(5)]
 
 
+def looked_up(rows):
+    """(doc_id, license) by looking every shingle of a template up in the text."""
+
+    def words(text):
+        return re.sub("[^A-Za-z0-9]+", " ", text).strip().lower().split(" ")
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    out = []
+    for doc_id, text in rows:
+        held = shingles(words(text))
+        for name, template in licenses.TEMPLATES.items():
+            own = shingles(words(template))
+            if own and len(own & held) >= licenses.CONTAINED * len(own):
+                out.append((doc_id, name))
+    return sorted(out)
+
+
+def test_no_notice_is_missed_among_foreign_words(spark, documents):
+    r = random.Random(8)
+
+    def filler(n):
+        return [r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n)]
+
+    rows = []
+    for k in range(1500):
+        words = r.choice(list(licenses.TEMPLATES.values())).split()
+        if k % 3 == 0 and len(words) > 25:  # scattered: six words each among foreign ones
+            words = [w for i in range(0, len(words) - 5) for w in [*words[i : i + 6], *filler(40)]]
+        elif k % 3 == 1 and len(words) > 10:  # nearly whole
+            words[r.randrange(len(words))] = "changed"
+        rows.append((k, " ".join([*filler(r.randint(0, 60)), *words, *filler(r.randint(0, 60))])))
+    want = looked_up(rows)
+    assert len(want) > 1200
+    assert sorted((x.doc_id, x.license) for x in licenses.scan(documents(rows)).collect()) == want
+
+
 def test_the_scan_runs_no_python(spark):
     plan = licenses.scan(table(spark, SF, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
