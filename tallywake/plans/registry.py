@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["grading", "usage", "graph", "sessions", "impact", "context", "changes", "evaluation", "corpus"]
+MODULES = ["grading", "usage", "streams", "graph", "sessions", "impact", "context", "changes", "evaluation", "corpus"]
 
 Job = Callable[[SparkSession, str], DataFrame]
 

@@ -2,23 +2,23 @@
 
 Watermarks and late rows are an addition of ours: the batch jobs define the
 results, and a stream whose input has fully arrived gives the same ones. Late
-rows are counted by ``late_rows`` rather than lost silently.
+rows are counted by ``LateRows`` rather than lost silently.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import threading
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tallywake.sources.logs import normalize_events
+from tallywake.streaming.state import FailStreaks, FollowThrough, LedgerTail, use_state_store
 
 FOLLOW_UP_MINUTES = 60
-GENESIS = "0" * 64
 
 
 def _timed(events: DataFrame, delay: str) -> DataFrame:
@@ -52,11 +52,6 @@ def session_activity(events: DataFrame, gap: str = "60 minutes", delay: str = "1
     )
 
 
-def _rows(parts: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    frames = list(parts)
-    return pd.concat(frames).sort_values(order) if frames else pd.DataFrame()
-
-
 def follow_through(runs: DataFrame, window_minutes: int = FOLLOW_UP_MINUTES, delay: str = "1 hour") -> DataFrame:
     """Each alarm with the next run of its group, or without one once the window is over.
 
@@ -64,108 +59,38 @@ def follow_through(runs: DataFrame, window_minutes: int = FOLLOW_UP_MINUTES, del
     has passed them, so a row that arrives out of order is still put in its
     place. The state of a group is those rows and one open alarm.
     """
-    window_ms = window_minutes * 60_000
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, alarm = state.get if state.exists else ("[]", "")
-        held = [tuple(x) for x in _load(waiting)]
-        open_alarm = tuple(_load(alarm)) if alarm else None
-        for part in parts:
-            held.extend(zip((int(t) for t in part["ts"]), (int(s) for s in part["seq"]), part["verdict"]))
-        held.sort()
-        until = state.getCurrentWatermarkMs()
-        out = []
-        while held and held[0][0] <= until:
-            ts, seq, verdict = held.pop(0)
-            if open_alarm is not None:
-                inside = ts - open_alarm[0] <= window_ms
-                out.append((key[0], open_alarm[0], open_alarm[1], open_alarm[2], seq if inside else None, verdict if inside else None))
-                open_alarm = None
-            if verdict in ("WARN", "FAIL"):
-                open_alarm = (ts, seq, verdict)
-        if open_alarm is not None and open_alarm[0] + window_ms < until:
-            out.append((key[0], *open_alarm, None, None))
-            open_alarm = None
-        if held or open_alarm is not None:
-            state.update((_dump(held), _dump(open_alarm) if open_alarm else ""))
-            due = min([h[0] for h in held] + ([open_alarm[0] + window_ms + 1] if open_alarm else []))
-            state.setTimeoutTimestamp(max(due, until + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["repo", "ts", "seq", "verdict", "next_seq", "next_verdict"]).astype({"next_seq": "Int64"})
-
+    use_state_store(runs.sparkSession)
     keyed = _timed(runs, delay).select("repo", "ts", "seq", "verdict", "at").groupBy("repo")
-    return keyed.applyInPandasWithState(
-        step, f"repo {dict(runs.dtypes)['repo']}, ts bigint, seq bigint, verdict string, next_seq bigint, next_verdict string",
-        "waiting string, alarm string", "append", GroupStateTimeout.EventTimeTimeout,
-    )
-
-
-def _dump(value: object) -> str:
-    import json
+    schema = f"repo {dict(runs.dtypes)['repo']}, ts bigint, seq bigint, verdict string, next_seq bigint, next_verdict string"
+    return keyed.transformWithState(FollowThrough(window_minutes * 60_000), schema, "Append", "EventTime")
 
-    return json.dumps(value)
 
-
-def _load(text: str) -> list:
-    import json
-
-    return json.loads(text)
-
-
-def fail_streaks(results: DataFrame, cap: int = 3) -> DataFrame:
+def fail_streaks(results: DataFrame, cap: int = 3, delay: str = "1 hour", idle_minutes: int | None = None) -> DataFrame:
     """The running number of fails per (repo, head); any other verdict clears it.
 
-    Input must arrive in time order per key, as one process writes it.
+    Results are counted in time order once the watermark has passed them, whatever
+    order they arrive in. With ``idle_minutes`` a streak is also forgotten when
+    that long nothing came.
     """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        out = []
-        for ts, seq, verdict in _rows(parts, ["ts", "seq"])[["ts", "seq", "verdict"]].itertuples(index=False):
-            streak = streak + 1 if verdict == "FAIL" else 0
-            if streak:
-                out.append((*key, ts, seq, streak, streak >= cap))
-        if streak:
-            state.update((streak,))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["repo", "head", "ts", "seq", "consecutive_fails", "escalate"])
-
+    use_state_store(results.sparkSession)
     types = dict(results.dtypes)
-    return results.select("repo", "head", "ts", "seq", "verdict").groupBy("repo", "head").applyInPandasWithState(
-        step, f"repo {types['repo']}, head {types['head']}, ts bigint, seq bigint, consecutive_fails bigint, escalate boolean", "streak bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    keyed = _timed(results, delay).select("repo", "head", "ts", "seq", "verdict", "at").groupBy("repo", "head")
+    schema = f"repo {types['repo']}, head {types['head']}, ts bigint, seq bigint, consecutive_fails bigint, escalate boolean"
+    return keyed.transformWithState(FailStreaks(cap, None if idle_minutes is None else idle_minutes * 60_000), schema, "Append", "EventTime")
 
 
-def verify_tail(records: DataFrame) -> DataFrame:
+def verify_tail(records: DataFrame, timeout_minutes: int = 60, delay: str = "1 hour") -> DataFrame:
     """Check each record as it arrives against the last hash of its ledger.
 
-    records(ledger, seq, prev_hash, record_hash, body), where body is the
+    records(ledger, seq, prev_hash, record_hash, body, ts), where body is the
     canonical text the hash covers. Records ahead of their turn wait in the
-    state until the gap before them is filled.
+    state until the gap before them is filled, or is reported as ``lost`` when
+    the watermark is ``timeout_minutes`` past the first record behind it.
     """
-    import hashlib
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, last, waiting = state.get if state.exists else (0, GENESIS, "{}")
-        held = {int(k): v for k, v in _load(waiting).items()}
-        for part in parts:
-            for s, prev, digest, body in part[["seq", "prev_hash", "record_hash", "body"]].itertuples(index=False):
-                held[int(s)] = [prev, digest, body]
-        out = []
-        while seq + 1 in held:
-            prev, digest, body = held.pop(seq + 1)
-            valid = prev == last and hashlib.sha256((last + body).encode()).hexdigest() == digest
-            seq, last = seq + 1, digest
-            out.append((key[0], seq, digest, valid))
-        state.update((seq, last, _dump(held)))
-        yield pd.DataFrame(out, columns=["ledger", "seq", "record_hash", "valid"])
-
-    kind = dict(records.dtypes)["ledger"]
-    return records.groupBy("ledger").applyInPandasWithState(
-        step, f"ledger {kind}, seq bigint, record_hash string, valid boolean", "seq bigint, last string, waiting string", "append", GroupStateTimeout.NoTimeout
-    )
+    use_state_store(records.sparkSession)
+    keyed = _timed(records, delay).select("ledger", "seq", "prev_hash", "record_hash", "body", "ts", "at").groupBy("ledger")
+    schema = f"ledger {dict(records.dtypes)['ledger']}, seq bigint, record_hash string, valid boolean, lost bigint"
+    return keyed.transformWithState(LedgerTail(timeout_minutes * 60_000), schema, "Append", "EventTime")
 
 
 def write_events(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -182,6 +107,39 @@ def merge_batches(events: DataFrame, checkpoint: str, merge: Callable[[DataFrame
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows a stateful stream dropped for coming after the watermark, over its recent progress."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p.get("stateOperators", []))
+class LateRows(StreamingQueryListener):
+    """Rows that stateful streams dropped for coming after the watermark, added up over each query's life.
+
+    Add it with ``spark.streams.addListener`` before the queries start. Spark counts
+    a windowed aggregate's rows after their partial aggregation.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def total(self, query: StreamingQuery, wait_seconds: float = 30) -> int:
+        """Late rows of a query; of one that has stopped, with all its progress."""
+        if not query.isActive:
+            self.ended.setdefault(str(query.runId), threading.Event()).wait(wait_seconds)
+        return self.dropped.get(str(query.id), 0)
+
+
+def count_late_rows(spark: SparkSession) -> LateRows:
+    """A listener that counts for the queries that start from now on."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    return listener

@@ -61,18 +61,46 @@ def test_follow_through_matches_batch(spark, tmp_path):
     assert got.exceptAll(want).isEmpty()
 
 
-def test_fail_streaks_match_batch(spark, tmp_path):
+def in_files(spark, schema, path):
+    """Writes rows as one more file of a stream's source, and opens the stream."""
+    def write(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(path)
+
+    write()
+    return write, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_fail_streaks_match_batch_on_late_input(spark, tmp_path):
     df = runs(spark).select("repo", "head", "ts", "seq", "verdict")
-    # One file: results of a head arrive in the order they were written.
+    last = df.agg(F.max("ts")).first()[0]
     path = str(tmp_path / "streaks")
-    df.coalesce(1).sortWithinPartitions("ts", "seq").write.parquet(path)
-    stream = spark.readStream.schema(df.schema).parquet(path)
-    run(jobs.fail_streaks(stream, 2), "streaks")
+    # Files in the order of a hash: most results of a head arrive out of order.
+    df.repartition(4, F.xxhash64("seq")).write.parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = jobs.fail_streaks(stream, 2, "40 days").writeStream.format("memory").queryName("streaks").outputMode("append").start()
+    query.processAllAvailable()
+    for n in (1, 2):
+        spark.createDataFrame([(-1, -1, last + n * 1200 * HOUR, -n, "PASS")], df.schema).write.mode("append").parquet(path)
+        query.processAllAvailable()
+    query.stop()
     got, want = spark.table("streaks"), u.fail_streaks(df, ["repo", "head"], 2)
     assert got.count() == want.count() > 0
     assert got.exceptAll(want.select(*got.columns)).isEmpty()
 
 
+def test_an_idle_streak_is_forgotten(spark, tmp_path):
+    write, stream = in_files(spark, "repo string, head string, ts bigint, seq bigint, verdict string", str(tmp_path / "idle"))
+    write(("r", "h", HOUR, 1, "FAIL"), ("r", "h", 2 * HOUR, 2, "FAIL"), ("r", "h", 6 * HOUR, 3, "FAIL"), ("r", "g", HOUR, 4, "FAIL"), ("r", "g", 2 * HOUR, 5, "PASS"), ("r", "g", 2 * HOUR, 6, "FAIL"))
+    query = jobs.fail_streaks(stream, 2, "1 hour", idle_minutes=120).writeStream.format("memory").queryName("idle").outputMode("append").start()
+    for n in (50, 60, 70):
+        query.processAllAvailable()
+        write((None, None, n * HOUR, n, None))
+    query.processAllAvailable()
+    query.stop()
+    got = sorted((r.head, r.seq, r.consecutive_fails, r.escalate) for r in spark.table("idle").collect() if r.repo)
+    assert got == [("g", 4, 1, False), ("g", 6, 1, False), ("h", 1, 1, False), ("h", 2, 2, True), ("h", 3, 1, False)]
+
+
 def test_message_ids_count_once(spark, tmp_path):
     df = spark.createDataFrame([("m1", 1000, 5), ("m1", 2000, 5), ("m2", 3000, 7)], "message_id string, ts bigint, weighted bigint")
     run(jobs.dedupe_usage(replay(spark, df, tmp_path, "dedupe")), "dedupe")
@@ -94,23 +122,58 @@ def test_sessions_close_after_a_gap(spark, tmp_path):
     assert got == [("s", 1, 0), ("s", 1, 1)]
 
 
-def test_ledger_tail_waits_for_gaps(spark, tmp_path):
+def chained(bodies, tampered=()):
     import hashlib
 
     prev, records = "0" * 64, []
-    for seq in range(1, 7):
-        body = f'{{"seq":{seq}}}'
+    for seq, body in enumerate(bodies, 1):
         digest = hashlib.sha256((prev + body).encode()).hexdigest()
-        records.append(("l", seq, prev, digest, body if seq != 4 else body + " ", seq))
+        records.append(("l", seq, prev, digest, body + " " * (seq in tampered), seq * 1000))
         prev = digest
-    schema = "ledger string, seq bigint, prev_hash string, record_hash string, body string, ts bigint"
-    path = str(tmp_path / "tail")
-    for part in ([records[0], records[2], records[1]], [records[5], records[4]], [records[3]]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return records
+
+
+LEDGER = "ledger string, seq bigint, prev_hash string, record_hash string, body string, ts bigint"
+
+
+def test_ledger_tail_waits_for_gaps(spark, tmp_path):
+    records = chained([f'{{"seq":{n}}}' for n in range(1, 7)], {4})
+    write, stream = in_files(spark, LEDGER, str(tmp_path / "tail"))
+    for part in ([records[0], records[2], records[1]], [records[5], records[4]], [records[3], records[0]]):
+        write(*part)
     run(jobs.verify_tail(stream), "tail")
-    got = {r.seq: r.valid for r in spark.table("tail").collect()}
-    assert got == {1: True, 2: True, 3: True, 4: False, 5: True, 6: True}
+    got = {r.seq: (r.valid, r.lost) for r in spark.table("tail").collect()}
+    assert got == {1: (True, 0), 2: (True, 0), 3: (True, 0), 4: (False, 0), 5: (True, 0), 6: (True, 0)}
+
+
+def test_lost_records_are_reported_after_the_timeout(spark, tmp_path):
+    records = chained([f'{{"seq":{n}}}' for n in range(1, 9)])
+    write, stream = in_files(spark, LEDGER, str(tmp_path / "lost"))
+    write(records[0], records[3], records[4], records[7])  # 2, 3 and 6, 7 never come
+    query = jobs.verify_tail(stream, timeout_minutes=60, delay="1 minute").writeStream.format("memory").queryName("lost").outputMode("append").start()
+    query.processAllAvailable()
+    assert [r.seq for r in spark.table("lost").collect()] == [1]
+    for n in (10, 20):
+        write(("other", None, None, None, None, n * HOUR))
+        query.processAllAvailable()
+    query.stop()
+    got = sorted((r.seq, r.valid, r.lost, r.record_hash is None) for r in spark.table("lost").collect())
+    assert got == [(1, True, 0, False), (2, False, 2, True), (4, False, 0, False), (5, True, 0, False), (6, False, 2, True), (8, False, 0, False)]
+
+
+def test_late_rows_are_counted_over_the_whole_life(spark, tmp_path):
+    write, stream = in_files(spark, "repo string, ts bigint, seq bigint, verdict string", str(tmp_path / "late"))
+    counter = jobs.count_late_rows(spark)
+    query = jobs.follow_through(stream, 60, "1 hour").writeStream.format("memory").queryName("late").outputMode("append").start()
+    for n in range(4):  # each hundred hours on, one row that is on time and two that are not
+        write(("r", (n + 1) * 100 * HOUR, n, "PASS"))
+        query.processAllAvailable()
+        write(("r", n * HOUR, 10 + n, "FAIL"), ("s", n * HOUR, 20 + n, "FAIL"))
+        query.processAllAvailable()
+    query.stop()
+    assert counter.total(query) == 8
+    spark.streams.removeListener(counter)
+    assert spark.table("late").count() == 0
 
 
 def test_event_sink_appends_by_day(spark, tmp_path):
