@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import types as T
 
 # Columns whose names the operators use themselves.
-CLASHING = ["n_tokens", "n_bytes", "node", "key", "comp", "root", "group", "row", "part", "start", "shard", "parent", "bits", "kept", "score", "words", "license", "quality", "block", "rank"]
+CLASHING = ["n_tokens", "n_bytes", "node", "key", "comp", "root", "group", "row", "part", "start", "shard", "parent", "bits", "kept", "score", "words", "license", "quality", "block", "rank", "x.y"]
 
 LONG = "word " * 40_000 + "x" * 300_000
 

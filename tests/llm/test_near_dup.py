@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tallywake.llm import near_dup
@@ -79,10 +80,36 @@ def test_large_mixed_buckets_are_split(documents, monkeypatch):
     rows = copies()
     want = brute_force(rows, 2)
     assert result(documents(rows), 2) == want
-    monkeypatch.setattr(near_dup, "SPLIT_WORK", 3)
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
     assert result(documents(rows), 2) == want
 
 
+def test_sets_with_one_number_are_told_apart(documents, monkeypatch):
+    rows = [*copies()[:60], *AWKWARD]
+    want = brute_force(rows, 2)
+    numbers = near_dup.set_number
+    monkeypatch.setattr(near_dup, "set_number", lambda s: numbers(s) % 5)
+    assert result(documents(rows), 2) == want
+
+
+@pytest.mark.parametrize(("small", "large", "most"), [(4, 5, 1.6e-5), (8, 10, 1.6e-5), (20, 25, 1.6e-5), (64, 80, 1.6e-5)])
+def test_pairs_at_the_line_share_a_band(small, large, most):
+    rng, missed, n = np.random.default_rng(small), 0, 3000
+    low = near_dup._least_agreement(80, near_dup.BANDS * near_dup.ROWS, near_dup.SKETCH_BITS)
+    hidden = 0
+    for _ in range(n):
+        b = rng.integers(0, 2**64, large, dtype=np.uint64)
+        a = b[:small]
+        ends = [near_dup.ends(x) for x in (a, b)]
+        keys = [near_dup.band_keys(x, e) for x, e in zip((a, b), ends)]
+        shared = min(map(len, keys))
+        missed += not (keys[0][:shared] == keys[1][:shared]).any()
+        x, y = (near_dup.sketch(e, near_dup.SKETCH_BITS) for e in ends)
+        agree = 64 * near_dup.SKETCH_WORDS - sum(bin(int(v)).count("1") for v in (x ^ y).view(np.uint64))
+        hidden += small >= near_dup.SMALL and agree < low
+    assert missed <= 2 and hidden <= 2  # far more than n * most
+
+
 def test_kept_rows_carry_all_columns(documents):
     docs = documents(AWKWARD)
     kept = near_dup.keep_one(docs, 2)
