@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallywake.llm.pieces import DICTIONARY_WORDS, ROUND_BYTES, IdTable, folded_checks, gather, text_at, tokenizer_file
+from tallywake.llm.storage import reach_workers
 from tallywake.llm.words import Texts, mix, per_text, portions, words
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
@@ -300,4 +301,5 @@ def _mapped(docs: DataFrame, path: str | None, fields: list[T.StructField], resu
             kinds = {T.BinaryType(): pa.binary(), T.StringType(): pa.string(), T.LongType(): pa.int64()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, kinds[f.dataType]) for c, f in zip(columns, fields)]], names=schema.names)
 
+    reach_workers(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywake.llm.storage import reach_workers
 from tallywake.llm.words import Statistics, portions, statistics
 
 NAMES = [f.name for f in fields(Statistics)]
@@ -34,6 +35,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             found = of_column(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[n]) for n in NAMES]], names=schema.names)
 
+    reach_workers(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -46,19 +48,21 @@ def with_columns(stats: DataFrame, judge: Judge, columns: list[T.StructField]) -
             made = judge({n: batch.column(n).to_numpy(zero_copy_only=False) for n in NAMES})
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(m) for m in made]], names=schema.names)
 
+    reach_workers(stats.sparkSession)
     return stats.mapInArrow(run, schema)
 
 
 def where_true(docs: DataFrame, judge: Judge) -> DataFrame:
-    """Rows of ``docs`` whose text ``judge`` accepts, all columns as they are."""
-
+    """Rows of ``docs`` whose text ``judge`` accepts, all columns as they are, whatever they are called."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(judge(of_column(batch.column(at)))[0]))
 
-    return docs.mapInArrow(run, docs.schema)
+    reach_workers(docs.sparkSession)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywake.llm.storage import reach_workers
+
 #: Pivots, a bounded sample of the rows, and how many of its nearest ones represent a vector.
 PIVOTS, PREFIX = 256, 64
 #: Rows of an index block and queries of a query block.
@@ -122,6 +124,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, share: float = CAN
     there is no result. Other columns are not looked at.
     """
     spark = vectors.sparkSession
+    reach_workers(spark)
     rows = usable(vectors)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * PIVOTS).collect()  # bounded: 4 * PIVOTS vectors
     if not sample:

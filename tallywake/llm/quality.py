@@ -67,6 +67,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` predicted 1, with all their columns."""
+    """Rows of ``docs`` predicted 1, with all their columns, whatever these are called.
+
+    A null or empty text is judged as a text without words, a long one whole.
+    Repeated rows stay or go together, ties do not matter, a null doc_id has no
+    label and is judged like the others. Without labels every score is 0.5 and
+    all rows stay; an empty table gives no row.
+    """
     model = fit(stored(document_statistics(docs), "statistics"), labels)
     return where_true(docs, lambda s: [model.score(_features(s)) >= THRESHOLD])

@@ -66,7 +66,7 @@ def fit(stats: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS):
     if not len(x):
         return lambda s: _verdict(None, 2.0, s)
     forest = IsolationForest.fit(x, TREES, TREE_ROWS)
-    scored = with_columns(known.drop("quality").withColumn("quality", F.col("quality")) if False else known, lambda s: [forest.score(_features(s))], [T.StructField("anomaly", T.DoubleType())])
+    scored = with_columns(known, lambda s: [forest.score(_features(s))], [T.StructField("anomaly", T.DoubleType())])
     steps = scored.where("quality = 1").groupBy(F.floor(F.col("anomaly") * _STEPS).alias("step")).count().collect()  # at most _STEPS rows
     total, above, threshold = sum(r["count"] for r in steps), 0, 2.0
     for r in sorted(steps, key=lambda r: -r["step"]):
@@ -96,5 +96,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, with all their columns."""
+    """Rows of ``docs`` that the rules keep, with all their columns, whatever these are called.
+
+    Null, empty and short texts fail the fixed limits and go; texts count whole,
+    however long. Repeated rows stay or go together, ties do not matter, a null
+    doc_id has no label and is judged like the others. An empty table gives no row.
+    """
     return where_true(docs, fit(stored(document_statistics(docs), "statistics"), labels))

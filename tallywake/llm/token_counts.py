@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallywake.llm.pieces import tokenizer_file, word_pieces
+from tallywake.llm.storage import reach_workers
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:
@@ -40,4 +41,5 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
             n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(n_tokens, pa.int64()), pa.array(np.asarray(n_tokens > limit))], names=schema.names)
 
+    reach_workers(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)

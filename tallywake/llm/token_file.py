@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywake.llm.pieces import tokenizer_file, word_pieces
-from tallywake.llm.storage import new_folder
+from tallywake.llm.storage import new_folder, reach_workers
 
 #: Bits that one directory entry covers.
 BLOCK = 512
@@ -159,6 +159,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if held:
             yield segment()
 
+    reach_workers(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
 
@@ -193,6 +194,7 @@ def read_tokens(spark: SparkSession, path: str, id_type: T.DataType | None = Non
                 columns = [doc_ids, [part] * len(sizes), (places[:-1] + start).tolist(), sizes, [zlib.crc32(s) for s in spans], *([spans] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
+    reach_workers(spark)
     stored = spark.read.schema(_file_schema(id_type)).parquet(path)
     found = stored.mapInArrow(run, schema)
     # One row per file: what the files before it hold.
