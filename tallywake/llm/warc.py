@@ -245,16 +245,17 @@ def transactions(rows: DataFrame) -> DataFrame:
     main record that stands in several files, the one of the first path. Records of
     other types, and those without the ids that tell where they belong, take no part.
     """
-    columns = [c for c in rows.columns if c not in ("concurrent_to", "type")]
+    own = [c for c in rows.columns if c != "concurrent_to"]
+    kind = F.col("type")
+    main = kind.isin(*MAIN)
+    capture = F.when(main, F.col("record_id")).when(kind.isin("request", "metadata"), F.col("concurrent_to"))
 
-    def one(kinds: tuple[str, ...], key: str, name: str) -> DataFrame:
-        first = F.min_by(F.struct("type", *columns), F.struct("record_id", "path", "at")).alias(name)
-        return rows.where(F.col("type").isin(*kinds)).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("capture_id")).agg(first)
+    def first(wanted: Column, name: str) -> Column:
+        return F.min_by(F.struct(*own), F.when(wanted, F.struct("record_id", "path", "at"))).alias(name)
 
-    joined = one(MAIN, "record_id", "main")
-    for kind in ("request", "metadata"):
-        joined = joined.join(one((kind,), "concurrent_to", kind), "capture_id", "full")
-    return joined
+    # All three kinds meet under the identifier in one shuffle.
+    keyed = rows.withColumn("capture_id", capture).where("capture_id is not null")
+    return keyed.groupBy("capture_id").agg(first(main, "main"), first(kind == "request", "request"), first(kind == "metadata", "metadata"))
 
 
 def _field(text: Column, name: str) -> Column:
@@ -334,7 +335,8 @@ def round_trip(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     # base32 to hexadecimal: five bits a letter, 160 in all.
     bits = F.transform(F.split(F.regexp_extract("declared_digest", "^sha1:([A-Z2-7]{32})$", 1), ""), lambda c: F.lpad(F.bin(F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), c).cast("long") - 1), 5, "0"))
     declared = F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.lpad(F.conv(F.substring(F.array_join(bits, ""), i * 16 + 1, F.lit(16)), 2, 16), 4, "0")), ""))
-    measured = rows.select(
+    # The archives are read once: the narrow rows serve the captures and the responses that revisits name.
+    narrow = rows.select(
         "path",
         "at",
         "record_id",
@@ -346,7 +348,7 @@ def round_trip(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         F.when(response, F.octet_length("payload")).otherwise(_field(F.col("http_head"), "Content-Length").cast("int")).cast("long").alias("payload_bytes"),
         F.when(F.col("type") == "metadata", F.col("payload")).alias("payload"),
     )
-    named = _named(transactions(measured))
+    named = _named(transactions(stored(narrow, "records")))
     return named.select(
         "page_id",
         F.col("main.payload_bytes").alias("payload_bytes"),
