@@ -5,18 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywake.functions.slices import with_running
 from tallywake.session import cut_lineage
+from tallywake.sources.lines import numbered_lines
 
 GENESIS = "0" * 64
 LINES_PER_SLICE = 10_000
 _MARK = "@@previous@@"
 
 
+def read_ledger_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """lines(ledger, line, value) of JSON-lines ledgers, one file each, in file order; lines count from 1."""
+    return numbered_lines(spark, path).select(F.col("file").alias("ledger"), (F.col("line") + 1).alias("line"), "value")
+
+
 def parse_ledger(lines: DataFrame) -> DataFrame:
     """records(ledger, line, body variant) from lines(ledger, line, value); bad JSON is an error."""
     return lines.where(F.trim("value") != "").select("ledger", "line", F.parse_json("value").alias("record"))

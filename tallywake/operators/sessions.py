@@ -9,6 +9,7 @@ are numbered over slices of time, and everything after that joins on
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -109,53 +110,57 @@ def drop_repeated_prompts(events: DataFrame) -> DataFrame:
     """Drop a prompt equal to the last kept prompt of its session within two minutes.
 
     The state along a session is just the last kept prompt, so each hour of a
-    session is folded on its own, and the state it ends with is handed to the
-    next hour until nothing changes.
+    session is folded on its own. An hour that ends with a prompt kept in its last
+    two minutes hands it to the next hour, which is folded again; from then on only
+    hours whose last kept prompt changed are followed.
     """
-    prompts = _sliced(events.where("kind = 'prompt'")).select("session_id", "_slice", "ts", "seq", F.sha2("text", 256).alias("text_hash"))
-    hours = cut_lineage(
-        prompts.groupBy("session_id", "_slice").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "text_hash"))).alias("rows"))
-    )
+    keys = ["session_id", "_slice"]
+    prompts = _sliced(events.where("kind = 'prompt'")).select(*keys, "ts", "seq", F.sha2("text", 256).alias("text_hash"))
+    hours = cut_lineage(prompts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "text_hash"))).alias("rows")))
     state = "struct<ts:bigint,text_hash:string>"
 
-    def fold(carried: DataFrame) -> DataFrame:
-        empty = F.struct(F.col("last").alias("last"), F.array().cast("array<bigint>").alias("dropped"))
-
-        def step(acc: Column, row: Column) -> Column:
-            last = acc["last"]
-            repeat = F.coalesce((last["text_hash"] == row["text_hash"]) & (row["ts"] - last["ts"] < REPEAT_MS), F.lit(False))
-            kept = F.struct(row["ts"].alias("ts"), row["text_hash"].alias("text_hash"))
-            return F.struct(
-                F.when(repeat, last).otherwise(kept).cast(state).alias("last"),
-                F.when(repeat, F.concat(acc["dropped"], F.array(row["seq"]))).otherwise(acc["dropped"]).alias("dropped"),
-            )
-
-        return hours.join(carried, ["session_id", "_slice"], "left").select(
-            "session_id", "_slice", F.aggregate("rows", empty, step).alias("out")
+    def step(acc: Column, row: Column) -> Column:
+        last = acc["last"]
+        repeat = F.coalesce((last["text_hash"] == row["text_hash"]) & (row["ts"] - last["ts"] < REPEAT_MS), F.lit(False))
+        kept = F.struct(row["ts"].alias("ts"), row["text_hash"].alias("text_hash"))
+        return F.struct(
+            F.when(repeat, last).otherwise(kept).cast(state).alias("last"),
+            F.when(repeat, F.concat(acc["dropped"], F.array(row["seq"]))).otherwise(acc["dropped"]).alias("dropped"),
         )
 
-    # Every prompt sees at most the hour before it, so a carry moves one hour on.
-    carried = hours.where("false").select("session_id", "_slice", F.lit(None).cast(state).alias("last"))
+    def fold(carried: DataFrame, number: int) -> DataFrame:
+        empty = F.struct(F.col("last").alias("last"), F.array().cast("array<bigint>").alias("dropped"))
+        return cut_lineage(carried.select(*keys, F.aggregate("rows", empty, step).alias("out"), F.lit(number).alias("round")))
+
+    done = [fold(hours.withColumn("last", F.lit(None).cast(state)), 0)]
+    near = F.col("out.last.ts") >= (F.col("_slice") + 1) * HOUR_MS - REPEAT_MS
+    changed = done[0].where(near)
     while True:
-        folded = cut_lineage(fold(carried))
-        handed = folded.select("session_id", (F.col("_slice") + 1).alias("_slice"), F.col("out.last").alias("last")).join(
-            hours.select("session_id", "_slice"), ["session_id", "_slice"], "left_semi"
-        )
-        if handed.exceptAll(carried).isEmpty():
+        handed = changed.select("session_id", (F.col("_slice") + 1).alias("_slice"), F.when(near, F.col("out.last")).alias("last"))
+        fresh = fold(hours.join(handed, keys), len(done))
+        before = _latest(done, keys, "out").select(*keys, F.col("out.last").alias("before"))
+        changed = fresh.join(before, keys).where(~F.col("out.last").eqNullSafe(F.col("before"))).drop("before")
+        done.append(fresh)
+        if changed.isEmpty():
             break
-        carried = cut_lineage(handed)
-    dropped = folded.select("session_id", F.explode("out.dropped").alias("seq"))
+    dropped = _latest(done, keys, "out").select("session_id", F.explode("out.dropped").alias("seq"))
     return events.join(dropped, ["session_id", "seq"], "left_anti")
 
 
+def _latest(done: list[DataFrame], keys: Sequence[str], value: str) -> DataFrame:
+    """The result of each slice's last round."""
+    return reduce(DataFrame.union, done).groupBy(*keys).agg(F.max_by(value, "round").alias(value))
+
+
 def nearest_calls(decisions: DataFrame, calls: DataFrame, keys: Sequence[str] = ("tool", "hash"), window_ms: int = JOIN_WINDOW_MS) -> DataFrame:
     """In time order, each decision takes the closest unused call of its key within the window.
 
     decisions(keys..., decision_id, ts), calls(keys..., call_id, ts). Returns
     (decision_id, call_id) for joined decisions. A key is cut into slices one
     window long; a slice sees the calls of its neighbours and the calls that
-    decisions of the two slices before it took. Slices are matched in parallel
-    and again until no slice changes, which is the first-come result.
+    decisions of the two slices before it took. Slices are matched in parallel;
+    then only those behind a slice that changed are matched again, until none
+    does, which is the first-come result.
     """
     keys = list(keys)
     at = F.floor(F.col("ts") / window_ms)
@@ -165,7 +170,8 @@ def nearest_calls(decisions: DataFrame, calls: DataFrame, keys: Sequence[str] =
     rows = cut_lineage(d.unionByName(c.join(busy, [*keys, "_slice"], "left_semi")))
     group = [*keys, "_slice"]
     types = dict(decisions.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", _slice bigint, decision_id {types['decision_id']}, call_id {dict(calls.dtypes)['call_id']}"
+    pair = f"decision_id: {types['decision_id']}, call_id: {dict(calls.dtypes)['call_id']}"
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", _slice bigint, pairs array<struct<{pair}>>"
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
         taken = set(part.loc[part["_call"] == 2, "_id"])
@@ -197,19 +203,24 @@ def nearest_calls(decisions: DataFrame, calls: DataFrame, keys: Sequence[str] =
                 pick = min(gaps)[1]
                 left[pick], right[pick] = pick - 1, pick + 1
                 out.append((decision, ids[pick]))
-        head = [part.iloc[0][k] for k in group]
-        return pd.DataFrame([(*head, a, b) for a, b in out], columns=[*group, "decision_id", "call_id"])
+        pairs = [{"decision_id": a, "call_id": b} for a, b in out]
+        return pd.DataFrame([(*(part.iloc[0][k] for k in group), pairs)], columns=[*group, "pairs"])
+
+    def matched(part: DataFrame, number: int) -> DataFrame:
+        return cut_lineage(part.groupBy(*group).applyInPandas(match, schema).withColumn("round", F.lit(number)))
 
-    matched = rows.where("false").select(*group, F.col("_id").alias("decision_id"), F.col("_id").alias("call_id"))
+    done = [matched(rows, 0)]
+    changed = done[0].where(F.size("pairs") > 0)
+    behind = F.explode(F.array(F.col("_slice") + 1, F.col("_slice") + 2)).alias("_slice")
     while True:
-        taken = matched.select(
-            *keys, F.explode(F.array(F.col("_slice") + 1, F.col("_slice") + 2)).alias("_slice"), F.lit(2).alias("_call"),
-            F.col("call_id").alias("_id"), F.lit(0).cast("bigint").alias("ts"),
-        ).join(busy, [*keys, "_slice"], "left_semi")
-        fresh = cut_lineage(rows.unionByName(taken).groupBy(*group).applyInPandas(match, schema))
-        if fresh.exceptAll(matched).isEmpty() and matched.exceptAll(fresh).isEmpty():
-            return fresh.select("decision_id", "call_id")
-        matched = fresh
+        todo = cut_lineage(changed.select(*keys, behind).distinct().join(busy, group, "left_semi"))
+        latest = _latest(done, group, "pairs")
+        taken = latest.select(*keys, behind, "pairs").join(todo, group, "left_semi").select(*group, F.lit(2).alias("_call"), F.explode("pairs.call_id").alias("_id"), F.lit(0).cast("bigint").alias("ts"))
+        fresh = matched(rows.join(todo, group, "left_semi").unionByName(taken), len(done))
+        changed = fresh.join(latest.withColumnRenamed("pairs", "before"), group).where(~F.col("pairs").eqNullSafe(F.col("before"))).drop("before")
+        done.append(fresh)
+        if changed.isEmpty():
+            return _latest(done, group, "pairs").select(F.explode("pairs").alias("p")).select("p.decision_id", "p.call_id")
 
 
 def prompts_by_hash(records: DataFrame, events: DataFrame, window_ms: int = JOIN_WINDOW_MS) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallywake.operators import evaluation as e
 from tallywake.operators import ledger as l
-from tallywake.plans.tables import sql_round3, table
+from tallywake.plans.tables import as_text_files, sql_round3, table
+from tallywake.sources.lines import numbered_lines
 
 K = 5
 
@@ -294,12 +295,16 @@ select o_custkey as ledger, count(*) as records, count(*) filter (n * 7 + o_cust
 
 
 def s4_read_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = l.parse_ledger(ledger_lines(spark, sf_dir))
+    """All ledgers one after the other in some files; every line is found under its number."""
+    folder = as_text_files(ledger_lines(spark, sf_dir), ["ledger", "line"])
+    lines = numbered_lines(spark, folder).select("file", F.col("number").alias("ledger"), "line", "value")
+    rows = l.parse_ledger(lines)
     return rows.groupBy(F.variant_get("record", "$.verdict", "string").alias("verdict"), F.variant_get("record", "$.riskFlags[1]", "string").alias("flag")).agg(
-        F.count("*").alias("records"), F.sum(F.variant_get("record", "$.pr", "bigint")).alias("prs"))
+        F.count("*").alias("records"), F.sum(F.variant_get("record", "$.pr", "bigint")).alias("prs"), F.sum("ledger").alias("numbers"), F.sum(F.col("ledger") * F.variant_get("record", "$.seq", "bigint")).alias("weighted"))
 
 
-S4_SQL = "select o_orderstatus as verdict, o_orderpriority as flag, count(*) as records, cast(sum(o_orderkey) as bigint) as prs from orders group by 1, 2"
+S4_SQL = """with o as (select *, row_number() over (order by o_custkey, o_orderkey) - 1 as number, row_number() over (partition by o_custkey order by o_orderkey) as n from orders)
+select o_orderstatus as verdict, o_orderpriority as flag, count(*) as records, cast(sum(o_orderkey) as bigint) as prs, cast(sum(number) as bigint) as numbers, cast(sum(number * n) as bigint) as weighted from o group by 1, 2"""
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

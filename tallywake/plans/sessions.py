@@ -7,36 +7,41 @@ from pyspark.sql import functions as F
 
 from tallywake.operators import sessions as s
 from tallywake.operators.grading import assign_arm
-from tallywake.plans.tables import sql_proportion, table
+from tallywake.plans.tables import as_text_files, sql_proportion, table
 from tallywake.sources import transcripts as t
+from tallywake.sources.lines import numbered_lines
 
 FLOOR = 10
 
+# Two rows in five are said again 65 seconds later; an edit's file and a check's request are the whole text.
 EVENTS_CTE = """
-talk as (select conv_id as session_id, turn, role, text, turn * 60000 as ts, cast(length(text) % 23 as varchar) as letter from conversations),
+talk as (select conv_id as session_id, role, text, turn * 60000 as ts, turn * 10 as seq from conversations
+  union all select conv_id, role, text, (turn + 1) * 60000 + 5000, (turn + 1) * 10 + 5 from conversations where (conv_id + turn) % 5 < 2),
 ev as (
-  select session_id, turn * 10 as seq, ts, case role when 'user' then 'prompt' when 'system' then 'interrupt' else 'edit' end as kind,
-    case when role <> 'assistant' then text end as text, case when role = 'assistant' then letter end as file, null as tool,
+  select session_id, seq, ts, case role when 'user' then 'prompt' when 'system' then 'interrupt' else 'edit' end as kind,
+    case when role <> 'assistant' then text end as text, case when role = 'assistant' then text end as file, null as tool,
     case when role <> 'assistant' then substr(sha256(text), 1, 16) end as hash from talk
-  union all select session_id, turn * 10 + 1, ts + 20000, 'check', null, null, 'review_gate', substr(sha256(letter), 1, 16) from talk where role = 'assistant'),
+  union all select session_id, seq + 1, ts + 20000, 'check', null, null, 'review_gate', substr(sha256(text), 1, 16) from talk where role = 'assistant'),
 turns as (select *, sum(case when kind in ('prompt', 'interrupt') then 1 else 0 end) over (partition by session_id order by ts, seq) as turn from ev)
 """
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = table(spark, sf_dir, "conversations").withColumns({
-        "ts": F.col("turn") * 60000, "letter": (F.length("text") % 23).cast("string"), "said": F.col("role") != "assistant"
+    turn = F.col("turn")
+    said_again = F.when((F.col("conv_id") + turn) % 5 < 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    talk = table(spark, sf_dir, "conversations").withColumn("copy", F.explode(said_again)).withColumns({
+        "ts": (turn + F.col("copy")) * 60000 + F.col("copy") * 5000, "seq": (turn + F.col("copy")) * 10 + F.col("copy") * 5, "said": F.col("role") != "assistant"
     })
     spoken = talk.select(
-        F.col("conv_id").alias("session_id"), (F.col("turn") * 10).alias("seq"), "ts",
+        F.col("conv_id").alias("session_id"), "seq", "ts",
         F.when(F.col("role") == "user", "prompt").when(F.col("role") == "system", "interrupt").otherwise("edit").alias("kind"),
-        F.when(F.col("said"), F.col("text")).alias("text"), F.when(~F.col("said"), F.col("letter")).alias("file"),
+        F.when(F.col("said"), F.col("text")).alias("text"), F.when(~F.col("said"), F.col("text")).alias("file"),
         F.lit(None).cast("string").alias("tool"), F.when(F.col("said"), t.prompt_hash(F.col("text"))).alias("hash"),
     )
     checks = talk.where("not said").select(
-        F.col("conv_id").alias("session_id"), (F.col("turn") * 10 + 1).alias("seq"), (F.col("ts") + 20000).alias("ts"), F.lit("check").alias("kind"),
+        F.col("conv_id").alias("session_id"), (F.col("seq") + 1).alias("seq"), (F.col("ts") + 20000).alias("ts"), F.lit("check").alias("kind"),
         F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("file"), F.lit("review_gate").alias("tool"),
-        t.prompt_hash(F.col("letter")).alias("hash"),
+        t.prompt_hash(F.col("text")).alias("hash"),
     )
     return spoken.unionByName(checks)
 
@@ -91,14 +96,11 @@ group by 1, 2"""
 
 
 def w5_drop_repeated_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The length of a prompt, modulo 7, stands for it, so repeats within two minutes are common."""
-    rows = events(spark, sf_dir).withColumn("text", (F.length("text") % 7).cast("string"))
-    return s.drop_repeated_prompts(rows).groupBy("session_id").agg(F.count("*").alias("events"), F.sum("seq").alias("seqs"))
+    return s.drop_repeated_prompts(events(spark, sf_dir)).groupBy("session_id").agg(F.count("*").alias("events"), F.sum("seq").alias("seqs"))
 
 
-# Prompts are at least a minute apart here, so a repeat within two minutes of a kept one follows it directly.
 W5_SQL = f"""with recursive {EVENTS_CTE},
-p as (select session_id, seq, ts, length(text) % 7 as c, row_number() over (partition by session_id order by ts, seq) as n from ev where kind = 'prompt'),
+p as (select session_id, seq, ts, text as c, row_number() over (partition by session_id order by ts, seq) as n from ev where kind = 'prompt'),
 f as (select session_id, n, seq, true as kept, c as kc, ts as kt from p where n = 1
   union all select p.session_id, p.n, p.seq, not (p.c = f.kc and p.ts - f.kt < 120000),
     case when p.c = f.kc and p.ts - f.kt < 120000 then f.kc else p.c end, case when p.c = f.kc and p.ts - f.kt < 120000 then f.kt else p.ts end
@@ -182,7 +184,7 @@ select arm, n, total, case when n >= {FLOOR} then cast(floor((d[(n - 1) // 2 + 1
 def check_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'assistant'").select(
         F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.col("turn").cast("string")).alias("decision_id"),
-        F.lit("review_gate").alias("tool"), t.prompt_hash((F.length("text") % 23).cast("string")).alias("hash"),
+        F.lit("review_gate").alias("tool"), t.prompt_hash(F.col("text")).alias("hash"),
         (F.col("turn") * 60000 + 50000 + F.col("conv_id") % 90 * 1000).alias("ts"),
         assign_arm([F.col("conv_id"), F.col("turn")], "check").alias("arm"),
     )
@@ -217,16 +219,20 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("-"), F.floor(F.col("turn") / 4).cast("string")).alias("id"), F.array(tool).alias("content"), bill.alias("usage")).alias("message")))
     queue = F.to_json(F.struct(F.lit("queue-operation").alias("type"), *head, F.lit("enqueue").alias("operation"), F.concat(F.lit("<bash-input>"), F.col("text")).alias("content")))
     line = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", reply).otherwise(queue)
-    return table(spark, sf_dir, "conversations").select(
-        line.alias("value"), (F.col("conv_id") * 100 + F.col("turn")).alias("line")
-    )
+    return table(spark, sf_dir, "conversations").select(line.alias("value"), "conv_id", "turn")
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as files, read back under their numbers."""
+    return numbered_lines(spark, as_text_files(transcript_lines(spark, sf_dir), ["conv_id", "turn"])).select("value", F.col("number").alias("line"))
 
 
 def s7_read_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.parse_sessions(transcript_lines(spark, sf_dir)).select("session_id", "seq", "ts", "kind", "file", "tool", "hash")
+    return t.parse_sessions(transcripts(spark, sf_dir)).select("session_id", "seq", "ts", "kind", "file", "tool", "hash")
 
 
-S7_SQL = """with c as (select *, length(text) as n, cast(conv_id as varchar) as session_id, (conv_id * 100 + turn) * 4096 as seq, 1704067230000 + turn * 60000 as ts from conversations where conv_id % 10 <> 9)
+S7_SQL = """with a as (select *, row_number() over (order by conv_id, turn) - 1 as line from conversations),
+c as (select *, length(text) as n, cast(conv_id as varchar) as session_id, line * 1048576 as seq, 1704067230000 + turn * 60000 as ts from a where conv_id % 10 <> 9)
 select session_id, seq, ts, 'prompt' as kind, null as file, null as tool, substr(sha256(trim(text)), 1, 16) as hash from c where role = 'user' and turn <> 4
 union all select session_id, seq, ts, case n % 3 when 0 then 'edit' else 'check' end, case n % 3 when 0 then text end, case n % 3 when 1 then 'review_gate' end,
   case n % 3 when 1 then substr(sha256(trim(text)), 1, 16) end from c where role = 'assistant' and n % 3 < 2
@@ -234,7 +240,7 @@ union all select session_id, seq, ts, 'harness', null, null, substr(sha256('<bas
 
 
 def s8_read_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.parse_usage(transcript_lines(spark, sf_dir))
+    return t.parse_usage(transcripts(spark, sf_dir))
 
 
 S8_SQL = """with c as (select *, length(text) as n from conversations where conv_id % 10 <> 9 and role = 'assistant'),

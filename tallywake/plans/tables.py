@@ -6,14 +6,25 @@ query and its SQL start from the same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywake.session import ensure_checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_text_files(lines: DataFrame, order: list[str]) -> str:
+    """Write the column ``value`` as text files whose names follow ``order``; returns the folder, in the shared one."""
+    folder = f"{ensure_checkpoint_dir(lines.sparkSession)}/lines-{uuid.uuid4().hex}"
+    lines.repartitionByRange(4, *order).sortWithinPartitions(*order).select("value").write.text(folder)
+    return folder
+
+
 def epoch_s(name: str) -> Column:
     """Whole seconds since 1970 of a zone-less timestamp, whatever the session zone."""
     return F.expr(f"cast(cast(({name} - timestamp_ntz'1970-01-01 00:00:00') as interval second) as bigint)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywake.sources.lines import numbered_lines
+
 # Tools that edit files, tools that are checks, and what opens a prompt nobody typed.
 EDIT_TOOLS = ["Edit", "Write", "MultiEdit", "NotebookEdit", "str_replace_based_edit_tool"]
 CHECK_TOOL = r"(?:^|__)(convergence_score|review_gate)$"
@@ -15,12 +17,14 @@ REMINDERS = r"^(?:<system-reminder>[\s\S]*?</system-reminder>\s*)+"
 BILLED = {"input": 1.0, "cache_read": 0.1, "cache_write_5m": 1.25, "cache_write_1h": 2.0, "output": 5.0}
 
 
+#: Places that a line's blocks may take in ``seq``.
+LINE_BITS = 20
+
+
 def read_transcript_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of every transcript at most one folder deep, with file and line order."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text([path, f"{path}/*"])
-    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn(
-        "line", F.monotonically_increasing_id()
-    )
+    """Lines of every transcript at most one folder deep: value, file and line, a number over all files in path order."""
+    lines = numbered_lines(spark, f"{path}/*", "*.jsonl")  # files here, and those of the folders here
+    return lines.select("value", "file", F.col("number").alias("line"))
 
 
 def prompt_hash(text: Column) -> Column:
@@ -120,7 +124,7 @@ def parse_sessions(lines: DataFrame) -> DataFrame:
         )
     )
     both = calls.unionByName(prompts)
-    return both.withColumn("seq", F.col("seq.line") * 4096 + F.col("seq.pos"))
+    return both.withColumn("seq", F.shiftleft("seq.line", LINE_BITS) + F.col("seq.pos"))
 
 
 def _count(doc: Column, path: str) -> Column:
