@@ -233,7 +233,9 @@ SECRET_FORMATS = {
     "chat token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
     "api key": r"\bAIza[0-9A-Za-z_-]{35}\b",
 }
-SECRET_ASSIGNMENT = r"(?i)\b(?:api[_-]?key|secret|token|passw(?:or)?d)\b\s*[:=]\s*['\"]?[0-9A-Za-z_/+=-]{16,}"
+SECRET_ASSIGNMENT = r"(?i)\b(?:api[_-]?key|secret|token|passw(?:or)?d)\b\s*[:=]\s*['\"]?([0-9A-Za-z_/+=-]{16,})"
+# Bits a character from which an assigned word is taken for a credential; words and repeated letters have fewer.
+SECRET_ENTROPY = 3.25
 
 # Keyword answers, as (answer, weight, words); where each starts, its largest value,
 # weights of owners and modules, the words that keep a spread local, and the least share of a level.

@@ -41,3 +41,13 @@ def singular(word: Column) -> Column:
         .when(word.endswith("s"), word.substr(F.lit(1), n - 1))
         .otherwise(word)
     )
+
+
+def entropy(word: Column) -> Column:
+    """Shannon entropy of the characters of a word, in bits a character; 0 for an empty one."""
+    letters = F.regexp_extract_all(word, F.lit("([\\s\\S])"))
+    size = F.size(letters)
+    weighed = F.aggregate(
+        F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)).cast("double")), F.lit(0.0), lambda acc, n: acc + n * F.log2(n)
+    )
+    return F.when(size > 0, F.log2(size.cast("double")) - weighed / size).otherwise(0.0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallywake.functions import fixed_values as fixed
 from tallywake.functions import paths as P
-from tallywake.functions.text import lit_array
+from tallywake.functions.text import entropy, lit_array
 
 
 
@@ -35,18 +35,42 @@ def secret_paths(files: DataFrame) -> DataFrame:
     return _check(counted, "Secret paths", F.when(F.col("n") > 0, "FAIL").otherwise("PASS"), F.col("n"))
 
 
-def secret_findings(added_lines: DataFrame) -> DataFrame:
-    """(change_id, path, line, format, severity) for added lines that hold a credential.
+def scanned_lines(files: DataFrame, added_lines: DataFrame) -> DataFrame:
+    """The lines to look for credentials in: (change_id, path, line, text, whole).
 
-    Templates only fail on a known format; an assignment that looks like one warns.
+    files(change_id, path, content); added_lines(change_id, path, line, text) of the
+    files whose added lines are known. Only these are looked at there; of a file
+    that has none the whole content is, and ``whole`` says so. Lines count from 0.
+    """
+    key = ["change_id", "path"]
+    known = added_lines.select(*key).distinct()
+    lines = files.join(known, key, "left_anti").select(*key, F.posexplode(F.split("content", "\n")).alias("line", "text"))
+    return added_lines.select(*key, "line", "text", F.lit(False).alias("whole")).unionByName(lines.withColumn("whole", F.lit(True)))
+
+
+def secret_coverage(files: DataFrame, added_lines: DataFrame) -> DataFrame:
+    """Per change how many files were scanned, how many of them whole, and how many had no content to scan."""
+    known = added_lines.select("change_id", "path").distinct().withColumn("_known", F.lit(True))
+    there = F.col("content").isNotNull() | F.col("_known").isNotNull()
+    return files.join(known, ["change_id", "path"], "left").groupBy("change_id").agg(
+        F.count_if(there).alias("scanned"), F.count_if(F.col("content").isNotNull() & F.col("_known").isNull()).alias("whole_files"), F.count_if(~there).alias("unavailable")
+    )
+
+
+def secret_findings(lines: DataFrame) -> DataFrame:
+    """(change_id, path, line, format, severity) for lines that hold a credential.
+
+    Templates only fail on a known format. A word of high entropy that is assigned
+    to a name like that of a credential warns; a word of few letters does not.
     """
     text = F.col("text")
     formats = [F.when(text.rlike(pattern), F.struct(F.lit(name).alias("format"), F.lit("FAIL").alias("severity"))) for name, pattern in fixed.SECRET_FORMATS.items()]
+    words = F.regexp_extract_all(text, F.lit(fixed.SECRET_ASSIGNMENT))
     assigned = F.when(
-        text.rlike(fixed.SECRET_ASSIGNMENT) & ~P.is_template(F.col("path")),
+        text.rlike(fixed.SECRET_ASSIGNMENT) & ~P.is_template(F.col("path")) & F.exists(words, lambda w: entropy(w) >= fixed.SECRET_ENTROPY),
         F.struct(F.lit("credential assignment").alias("format"), F.lit("WARN").alias("severity")),
     )
-    return added_lines.select("change_id", "path", "line", F.explode(F.array_compact(F.array(*formats, assigned))).alias("f")).select(
+    return lines.select("change_id", "path", "line", F.explode(F.array_compact(F.array(*formats, assigned))).alias("f")).select(
         "change_id", "path", "line", "f.format", "f.severity"
     )
 

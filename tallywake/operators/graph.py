@@ -211,12 +211,12 @@ def dependents(edges: DataFrame, starts: DataFrame, max_depth: int = 3, limit: i
     return out.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit).join(totals, ["repo_id", "start_set"])
 
 
-def loose_candidates(imports: DataFrame, files: DataFrame, most: int | None = None) -> DataFrame:
+def loose_candidates(imports: DataFrame, files: DataFrame, most: int | None = None, folders: bool = True) -> DataFrame:
     """Every file a specifier may loosely mean, with its ``kind`` and ``position``, or the best ``most`` of them.
 
     A relative specifier means the file of its path (kind 0), of that stem (1),
     the index of that folder (2), and the files of the folder it points into
-    (3); a bare one the files named as its last segment (0), then those whose
+    (3), which are left out without ``folders``; a bare one the files named as its last segment (0), then those whose
     stem is its stem (1). Positions go by kind and then path.
     """
     spec, src = F.col("specifier"), F.col("src")
@@ -253,7 +253,8 @@ def loose_candidates(imports: DataFrame, files: DataFrame, most: int | None = No
     bare = imports.where(~spec.startswith(".")).select("repo_id", "src", "specifier", forms(tail))
     named = bare.join(by_name, ["repo_id", "kind", "name"]).select("repo_id", "src", "specifier", "path", "kind")
     order = Window.partitionBy("repo_id", "src", "specifier").orderBy("kind", "path")
-    every = exact.unionByName(in_folder).unionByName(named)
+    every = exact.unionByName(named)
+    every = every.unionByName(in_folder) if folders else every
     both = every.groupBy("repo_id", "src", "specifier", "path").agg(F.min("kind").alias("kind"))
     ranked = both.withColumn("position", F.row_number().over(order))
     return ranked if most is None else ranked.where(F.col("position") <= most)

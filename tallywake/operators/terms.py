@@ -15,7 +15,6 @@ from tallywake.functions import fixed_values as fixed
 from tallywake.functions import paths as P
 from tallywake.functions.text import lit_array, singular, words
 
-SMALL_CORPUS = 12
 
 
 def impact_tokens(text: Column) -> Column:
@@ -76,11 +75,11 @@ def concepts(text: Column) -> Column:
 
 
 # ---------------------------------------------------------------- document frequency
-def damping(df: Column, total: Column) -> Column:
-    """A term on a large share of files says little about any of them."""
+def damping(df: Column, total: Column, smallest: int = 0) -> Column:
+    """A term on a large share of files says little about any of them; nothing is damped below ``smallest`` files."""
     ratio = df / total
     return (
-        F.when((total < SMALL_CORPUS) | (F.coalesce(df, F.lit(0)) == 0), 1.0)
+        F.when((total < smallest) | (F.coalesce(df, F.lit(0)) == 0), 1.0)
         .when(ratio <= 0.02, 1.4)
         .when(ratio <= 0.06, 1.0)
         .when(ratio <= 0.15, 0.55)

@@ -326,6 +326,23 @@ hits as (select repo_id, src, specifier, path, min(kind) as kind from every grou
 select * exclude (kind) from (select *, row_number() over (partition by repo_id, src, specifier order by kind, path) as position from hits) where position <= 5"""
 
 
+def j6_exact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file that a specifier names by path, stem, index or last segment, without those merely in its folder."""
+    f = files(spark, sf_dir)
+    return g.loose_candidates(g.import_rows(f), f, folders=False)
+
+
+J6X_SQL = f"""with {FILES_CTE},
+rel as (select repo_id, src, specifier, regexp_replace(specifier, '^(\\.\\./)+', '') as j from imports where specifier like '.%'),
+bare as (select repo_id, src, specifier, regexp_extract(specifier, '([^/]+)$', 1) as tail from imports where specifier not like '.%'),
+nm as (select repo_id, path, regexp_extract(path, '([^/]+)$', 1) as base, regexp_replace(path, '\\.[^./]+$', '') as stem from named),
+every as (select r.repo_id, r.src, r.specifier, f.path, case when f.path = r.j then 0 when f.stem = r.j then 1 else 2 end as kind from rel r join nm f on f.repo_id = r.repo_id and (f.path = r.j or f.stem = r.j or f.stem = r.j || '/index')
+  union all select b.repo_id, b.src, b.specifier, f.path, case when f.base = b.tail then 0 else 1 end from bare b join nm f on f.repo_id = b.repo_id
+     and (f.base = b.tail or regexp_replace(f.base, '\\.[^.]+$', '') = regexp_replace(b.tail, '\\.[^.]+$', ''))),
+hits as (select repo_id, src, specifier, path, min(kind) as kind from every group by all)
+select *, row_number() over (partition by repo_id, src, specifier order by kind, path) as position from hits"""
+
+
 def g2_build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir)
 
@@ -391,6 +408,7 @@ QUERIES = {
     "j4_inferred_edges": (j4_inferred_edges, J4_SQL),
     "j5_package_edges": (j5_package_edges, J5_SQL),
     "j6_loose_candidates": (j6_loose_candidates, J6_SQL),
+    "j6_exact_candidates": (j6_exact_candidates, J6X_SQL),
     "g2_build_edges": (g2_build_edges, G2_SQL),
     "g2_edge_counts": (g2_edge_counts, G2C_SQL),
     "g3_specific_edges": (g3_specific_edges, G3_SQL),

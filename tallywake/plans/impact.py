@@ -78,7 +78,7 @@ FREQ_CTE = f"""
 fterms as (select distinct repo_id, path, unnest({sql_tokens("concat_ws(' ', path, kind, domain, export, text)")}) as term from kinds),
 df as (select f.repo_id, f.term, count(*) as df from fterms f where (f.repo_id, f.term) in (select (repo_id, term) from wanted) group by 1, 2),
 totals as (select repo_id, count(*) as total from kinds group by 1),
-freq as (select repo_id, term, df, total, case when total < 12 then 1.0 when df * 1.0 / total <= 0.02 then 1.4 when df * 1.0 / total <= 0.06 then 1.0
+freq as (select repo_id, term, df, total, case when df * 1.0 / total <= 0.02 then 1.4 when df * 1.0 / total <= 0.06 then 1.0
     when df * 1.0 / total <= 0.15 then 0.55 else 0.2 end::double as factor from df join totals using (repo_id))
 """
 CONCEPTS = list(fixed.CONCEPT_WORDS)
