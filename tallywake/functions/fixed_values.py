@@ -264,3 +264,30 @@ DOMAIN_PLACES = [
     (["src", "redux"], 1, 2, None),
 ]
 DOMAIN_ENDINGS = [r"\.[cm]?[jt]sx?$", r"-api$", r"-apis$", r"-service$", r"[()\[\]]"]
+
+# Facts of a line of source text, as (file endings, fact, type, pattern of the name).
+# No endings: every file that is not one of the artefacts below.
+ARTEFACT_ENDINGS = [".json", ".yaml", ".yml", ".sql", ".md", ".mdx", ".markdown", ".hbs", ".handlebars", ".prisma"]
+FACT_PATTERNS = [
+    ([], "import", "module", r"^\s*(?:import|export)\s+(?:type\s+)?(?:.+?\s+from\s+)?['\"]([^'\"]+)['\"]"),
+    ([], "import", "module", r"\b(?:require|import)\(\s*['\"]([^'\"]+)['\"]\s*\)"),
+    ([], "export", "name", r"export\s+(?:default\s+)?(?:class|function|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)"),
+    ([".json"], "symbol", "config", r'"([^"\\]{2,})"\s*:'),
+    ([".yaml", ".yml"], "symbol", "config", r"^\s*([A-Za-z_$][\w$.-]+)\s*:"),
+    ([".sql"], "symbol", "table", r'(?i)\b(?:CREATE|ALTER|DROP)\s+TABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?"?(\w+)"?'),
+    ([".sql"], "symbol", "table", r'(?i)\b(?:UPDATE|INSERT\s+INTO|DELETE\s+FROM)\s+"?(\w+)"?'),
+    ([".sql"], "symbol", "column", r'(?i)\b(?:ADD|DROP|ALTER|RENAME)\s+COLUMN\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?"?(\w+)"?'),
+    ([".sql"], "symbol", "column", r'(?i)\bSET\s+"?(\w+)"?\s*='),
+    ([".md", ".mdx", ".markdown"], "symbol", "heading", r"^#{1,6}[ \t]+(\S[^\n]*)$"),
+    ([".md", ".mdx", ".markdown"], "import", "link", r"\]\(\s*(\.{0,2}/[^)\s]+)\s*\)"),
+    ([".hbs", ".handlebars"], "symbol", "template", r"\{\{\s*[#/>]?\s*([A-Za-z_$][\w$.-]*)"),
+    ([".hbs", ".handlebars"], "import", "partial", r"\{\{\s{0,2}>\s*([A-Za-z_$][\w$.-]*)"),
+    ([".prisma"], "symbol", "model", r"^\s*(?:model|view|type)\s+([A-Za-z_]\w*)\s*\{"),
+    ([".prisma"], "symbol", "enum", r"^\s*enum\s+([A-Za-z_]\w*)\s*\{"),
+    ([".prisma"], "symbol", "field", r"^\s+([a-z_]\w*)\s+[A-Z]\w*(?:\[\])?\??(?:\s|$)"),
+]
+# What is taken off the end of a name, by type.
+FACT_ENDINGS = {"heading": r"\s*#+\s*$", "link": "#.*$"}
+# A list of exported names opens and closes; front matter stands between two lines of dashes, as keys and short values.
+EXPORT_OPENS, EXPORT_CLOSES, EXPORT_RENAMED = r"export\s*\{", r"\}", r"(^|\s+)as\s+.*$"
+FRONT_MATTER, FRONT_KEY, FRONT_VALUE, FRONT_VALUE_LENGTH = "---", r"^([A-Za-z_][\w.-]*)\s*:", r"^[A-Za-z_][\w.-]*\s*:[ \t]*([^>|\s][^\n]*)$", 80

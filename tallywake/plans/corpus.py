@@ -332,9 +332,44 @@ f as (select repo_id, path, line, 'import' as fact, 'module' as type, {_rx(chr(9
   union all select repo_id, path, line, 'export', 'name', {_rx(r'export\s+(?:default\s+)?(?:class|function|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)')} from cl where path like '%.ts'
   union all select repo_id, path, line, 'export', 'name', trim(regexp_replace(trim(unnest(string_split({_rx(r'export\s*\{\s*([^}]+)\s*\}')[7:-1]}[1], ','))), '\\s+as\\s+.*$', '')) from cl where path like '%.ts' and regexp_matches(t, 'export\\s*\\{{\\s*([^}}]+)\\s*\\}}')
   union all {_DECL}
-  union all select repo_id, path, line, 'symbol', 'config', {_rx(r'^\s*([A-Za-z_$][\w$.-]{1,120})\s*:')} from cl where path like '%.yml'
-  union all select repo_id, path, line, 'symbol', 'heading', regexp_replace(trim({_rx(r'^#{1,6}[ \t]+(\S[^\n]{0,120})$')}), '\\s*#+\\s*$', '') from cl where path like '%.md'
-  union all select repo_id, path, line, 'import', 'link', regexp_replace({_rx(r'\]\(\s*(\.{0,2}/[^)\s]{1,200})\s*\)')}, '#.*$', '') from cl where path like '%.md')
+  union all select repo_id, path, line, 'symbol', 'config', {_rx(r'^\s*([A-Za-z_$][\w$.-]+)\s*:')} from cl where path like '%.yml'
+  union all select repo_id, path, line, 'symbol', 'heading', regexp_replace(trim({_rx(r'^#{1,6}[ \t]+(\S[^\n]*)$')}), '\\s*#+\\s*$', '') from cl where path like '%.md'
+  union all select repo_id, path, line, 'import', 'link', regexp_replace({_rx(r'\]\(\s*(\.{0,2}/[^)\s]+)\s*\)')}, '#.*$', '') from cl where path like '%.md')
+select repo_id, path, fact, type, name, min(line) as line from f where name <> '' group by 1, 2, 3, 4, 5"""
+
+
+# Artefacts: a list of exports over lines, front matter, SQL, templates and a schema, with the document's own text behind.
+ARTEFACT_TEXT = r"""concat(case doc_id % 5
+  when 0 then concat('const x = 1; export {', chr(10), '  alpha', cast(doc_id % 4 as varchar(9)), ',', chr(10), '  beta as gamma, // note', chr(10), '  delta', chr(10), '} from "./z"', chr(10), 'export { one, two as three }')
+  when 1 then concat('---', chr(10), 'name: skill-', cast(doc_id % 50 as varchar(9)), chr(10), '# no heading', chr(10), 'description: >-', chr(10), '  folded', chr(10), '---', chr(10), '# Title ', cast(doc_id % 3 as varchar(9)), ' ##')
+  when 2 then concat('UPDATE t', cast(doc_id % 7 as varchar(9)), ' SET col', cast(doc_id % 3 as varchar(9)), ' = 1;', chr(10), 'create table if not exists u', cast(doc_id % 4 as varchar(9)), ' (a int);')
+  when 3 then concat('{{> partial', cast(doc_id % 6 as varchar(9)), '}}', chr(10), '{{#if ready}} {{ title }}')
+  else concat('enum Kind', cast(doc_id % 5 as varchar(9)), ' {', chr(10), '  RED', chr(10), '}', chr(10), 'model User', cast(doc_id % 4 as varchar(9)), ' {', chr(10), '  id Int') end,
+  chr(10), translate(text, '{}#:', '    '))"""
+ARTEFACT_ENDING = "case doc_id % 5 when 0 then '.ts' when 1 then '.md' when 2 then '.sql' when 3 then '.hbs' else '.prisma' end"
+
+
+def p19_facts_over_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("repo_id"), F.expr(f"concat('a', cast(doc_id as varchar(19)), {ARTEFACT_ENDING})").alias("path"), F.expr(ARTEFACT_TEXT).alias("text"))
+    kept = sc.source_facts(rows)
+    return kept.where((F.col("type").isin("name", "frontmatter", "column", "partial", "enum", "model", "heading")))
+
+
+def _artefact_rx(pattern: str) -> str:
+    return f"unnest(regexp_extract_all(t, '{pattern.replace(chr(39), chr(39) * 2)}', 1))"
+
+
+P19X_SQL = f"""with a as (select source as repo_id, 'a' || doc_id || {ARTEFACT_ENDING} as path, doc_id, string_split({ARTEFACT_TEXT}, chr(10)) as ls from documents),
+al as (select repo_id, path, doc_id, unnest(ls) as t, generate_subscripts(ls, 1) as line from a),
+f as (select repo_id, path, line, 'export' as fact, 'name' as type, {_artefact_rx(r'export\s+(?:default\s+)?(?:class|function|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)')} as name from al where path like '%.ts'
+  union all select repo_id, path, n.l, 'export', 'name', n.x from a, unnest([{{'l': 2, 'x': 'alpha' || (doc_id % 4)}}, {{'l': 3, 'x': 'beta'}}, {{'l': 4, 'x': 'delta'}}, {{'l': 6, 'x': 'one'}}, {{'l': 6, 'x': 'two'}}]) u(n) where path like '%.ts'
+  union all select repo_id, path, n.l, 'symbol', 'frontmatter', n.x from a, unnest([{{'l': 2, 'x': 'name'}}, {{'l': 2, 'x': 'skill-' || (doc_id % 50)}}, {{'l': 4, 'x': 'description'}}]) u(n) where path like '%.md'
+  union all select repo_id, path, 7, 'symbol', 'heading', 'Title ' || (doc_id % 3) from a where path like '%.md'
+  union all select repo_id, path, line, 'symbol', 'column', {_artefact_rx(r'(?i)\b(?:ADD|DROP|ALTER|RENAME)\s+COLUMN\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?"?(\w+)"?')} from al where path like '%.sql'
+  union all select repo_id, path, line, 'symbol', 'column', {_artefact_rx(r'(?i)\bSET\s+"?(\w+)"?\s*=')} from al where path like '%.sql'
+  union all select repo_id, path, 1, 'import', 'partial', 'partial' || (doc_id % 6) from a where path like '%.hbs'
+  union all select repo_id, path, 1, 'symbol', 'enum', 'Kind' || (doc_id % 5) from a where path like '%.prisma'
+  union all select repo_id, path, 4, 'symbol', 'model', 'User' || (doc_id % 4) from a where path like '%.prisma')
 select repo_id, path, fact, type, name, min(line) as line from f where name <> '' group by 1, 2, 3, 4, 5"""
 
 
@@ -575,6 +610,7 @@ QUERIES = {
     "p17_offline_answers": (p17_offline_answers, P17_SQL),
     "p18_experience_score": (p18_experience_score, P18_SQL),
     "p19_source_facts": (p19_source_facts, P19_SQL),
+    "p19_facts_over_lines": (p19_facts_over_lines, P19X_SQL),
     "p20_data_access": (p20_data_access, P20_SQL),
     "a26_data_access_report": (a26_data_access_report, A26_SQL),
     "a26_data_access_by_file": (a26_data_access_by_file, A26F_SQL),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallywake.functions import fixed_values as fixed
 from tallywake.functions import paths as P
+from tallywake.functions.slices import with_running
 
 # What a source scan reads.
 SOURCE_SUFFIX = r"(?i)\.(ts|tsx|js|jsx|mjs|cjs|mts|cts|go|cs|py|java|rb|rs|hbs|handlebars|json|ya?ml|snap|md|mdx|markdown|sql|prisma)$"
@@ -186,43 +188,88 @@ def eval_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 # ---------------------------------------------------------------- facts from text
+#: Lines of a slice, in which a state is carried along a file.
+SLICE_LINES = 4096
+_FACT = "array<struct<fact:string,type:string,name:string>>"
+
+
+def _ending(path: str) -> Column:
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+
+
+def _facts(rule: Column, fact: str, kind: str, names: Column) -> Column:
+    made = F.transform(names, lambda n: F.struct(F.lit(fact).alias("fact"), F.lit(kind).alias("type"), n.alias("name")))
+    return F.when(rule, made).otherwise(F.array().cast(_FACT))
+
+
+def _exported(listed: Column) -> Column:
+    """The names of a part of an export list."""
+    named = F.transform(F.split(listed, ","), lambda s: F.trim(F.regexp_replace(F.trim(s), fixed.EXPORT_RENAMED, "")))
+    return F.filter(named, lambda n: (n != "") & ~n.startswith("//"))
+
+
 def source_facts(files: DataFrame) -> DataFrame:
     """(repo_id, path, fact, type, name, line) of imports, exports, declarations and artefact names.
 
     Work is per line, so a fact's line number is the line's place; the first
-    line of a name counts. files(repo_id, path, text).
+    line of a name counts. files(repo_id, path, text). Export lists over several
+    lines and front matter depend on the lines before; only files that have one go
+    through ``_over_lines``.
     """
-    end = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    lines = files.select("repo_id", "path", end.alias("end"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    code = ~F.col("end").isin(".json", ".yaml", ".yml", ".sql", ".md", ".mdx", ".markdown", ".hbs", ".handlebars", ".prisma")
-    found = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), 1)
+    lines = files.select("repo_id", "path", _ending("path").alias("end"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    code = ~F.col("end").isin(fixed.ARTEFACT_ENDINGS)
+    whole = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(fixed.EXPORT_OPENS + r"\s*([^}]+)\s*" + fixed.EXPORT_CLOSES), 1), _exported))
+    parts = [_facts(code, "export", "name", whole), *[_facts(code, "symbol", kind, F.regexp_extract_all("text", F.lit(pattern), 1)) for kind, pattern in DECLARATIONS.items()]]
+    for endings, fact, kind, pattern in fixed.FACT_PATTERNS:
+        names = F.regexp_extract_all("text", F.lit(pattern), 1)
+        if kind in fixed.FACT_ENDINGS:
+            names = _cut(names, fixed.FACT_ENDINGS[kind])
+        parts.append(_facts(F.col("end").isin(endings) if endings else code, fact, kind, names))
+    each = lines.select("repo_id", "path", (F.col("pos") + 1).alias("line"), F.explode(F.concat(*parts)).alias("f")).select("repo_id", "path", "line", "f.*")
+    every = each.unionByName(_over_lines(files)).where("name <> ''")
+    # What looks like a heading inside front matter is a comment there.
+    inside = _front_matter(files).withColumn("type", F.lit("heading"))
+    kept = every.join(inside.select("repo_id", "path", "line", "type"), ["repo_id", "path", "line", "type"], "left_anti")
+    return kept.groupBy("repo_id", "path", "fact", "type", "name").agg(F.min("line").alias("line"))
 
-    def facts(rule: Column, fact: str, kind: str, names: Column) -> Column:
-        made = F.transform(names, lambda n: F.struct(F.lit(fact).alias("fact"), F.lit(kind).alias("type"), n.alias("name")))
-        return F.when(rule, made).otherwise(F.array().cast("array<struct<fact:string,type:string,name:string>>"))
 
-    exported = F.transform(
-        F.flatten(F.transform(found(r"export\s*\{\s*([^}]+)\s*\}"), lambda g: F.split(g, ","))), lambda s: F.trim(F.regexp_replace(F.trim(s), r"\s+as\s+.*$", ""))
-    )
-    parts = [
-        facts(code, "import", "module", found(r"^\s*(?:import|export)\s+(?:type\s+)?(?:.+?\s+from\s+)?['\"]([^'\"]+)['\"]")),
-        facts(code, "import", "module", found(r"\b(?:require|import)\(\s*['\"]([^'\"]+)['\"]\s*\)")),
-        facts(code, "export", "name", found(r"export\s+(?:default\s+)?(?:class|function|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)")),
-        facts(code, "export", "name", F.filter(exported, lambda n: n != "")),
-        *[facts(code, "symbol", kind, found(pattern)) for kind, pattern in DECLARATIONS.items()],
-        facts(F.col("end") == ".json", "symbol", "config", found(r'"([^"\\]{2,})"\s*:')),
-        facts(F.col("end").isin(".yaml", ".yml"), "symbol", "config", found(r"^\s*([A-Za-z_$][\w$.-]+)\s*:")),
-        facts(F.col("end") == ".sql", "symbol", "table", found(r'(?i)\b(?:CREATE|ALTER|DROP)\s+TABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?"?(\w+)"?')),
-        facts(F.col("end") == ".sql", "symbol", "table", found(r'(?i)\b(?:UPDATE|INSERT\s+INTO|DELETE\s+FROM)\s+"?(\w+)"?')),
-        facts(F.col("end") == ".sql", "symbol", "column", found(r'(?i)\b(?:ADD|DROP|ALTER|RENAME)\s+COLUMN\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?"?(\w+)"?')),
-        facts(F.col("end").isin(".md", ".mdx", ".markdown"), "symbol", "heading", F.transform(found(r"^#{1,6}[ \t]+(\S[^\n]*)$"), lambda n: F.regexp_replace(F.trim(n), r"\s*#+\s*$", ""))),
-        facts(F.col("end").isin(".md", ".mdx", ".markdown"), "import", "link", F.transform(found(r"\]\(\s*(\.{0,2}/[^)\s]+)\s*\)"), lambda n: F.regexp_replace(n, "#.*$", ""))),
-        facts(F.col("end").isin(".hbs", ".handlebars"), "symbol", "template", found(r"\{\{\s*[#/>]?\s*([A-Za-z_$][\w$.-]*)")),
-        facts(F.col("end") == ".prisma", "symbol", "model", found(r"^\s*(?:model|enum|view|type)\s+([A-Za-z_]\w*)\s*\{")),
-        facts(F.col("end") == ".prisma", "symbol", "field", found(r"^\s+([a-z_]\w*)\s+[A-Z]\w*(?:\[\])?\??(?:\s|$)")),
-    ]
-    each = lines.select("repo_id", "path", (F.col("pos") + 1).alias("line"), F.explode(F.concat(*parts)).alias("f")).select("repo_id", "path", "line", "f.*")
-    return each.where("name <> ''").groupBy("repo_id", "path", "fact", "type", "name").agg(F.min("line").alias("line"))
+def _cut(names: Column, ending: str) -> Column:
+    return F.transform(names, lambda n: F.regexp_replace(F.trim(n), ending, ""))
+
+
+def _front_matter(files: DataFrame) -> DataFrame:
+    """(repo_id, path, line, text) of the lines between the first line of dashes, at the very beginning, and the next."""
+    marked = F.col("text").startswith(fixed.FRONT_MATTER + "\n") & _ending("path").isin(".md", ".mdx", ".markdown")
+    lines = files.where(marked).select("repo_id", "path", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where("pos > 0")
+    ends = lines.where(F.col("text").startswith(fixed.FRONT_MATTER)).groupBy("repo_id", "path").agg(F.min("pos").alias("end"))
+    return lines.join(ends, ["repo_id", "path"]).where("pos < end").select("repo_id", "path", (F.col("pos") + 1).alias("line"), "text")
+
+
+def _over_lines(files: DataFrame) -> DataFrame:
+    """Facts that depend on earlier lines: names of export lists over several lines, keys and values of front matter.
+
+    A line opens a list, closes one or does neither, whatever the lines before it
+    are; a line lies in a list if the last line that did either opened one. So the
+    state along a file is a running maximum, carried over slices of lines.
+    """
+    keys = ["repo_id", "path"]
+    spans = F.col("text").rlike(fixed.EXPORT_OPENS + r"[^}]*\n") & ~_ending("path").isin(fixed.ARTEFACT_ENDINGS)
+    lines = files.where(spans).select(*keys, F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    after = F.regexp_extract("text", rf"(?:.*){fixed.EXPORT_OPENS}([^}}]*)$", 1)
+    opens, closes = F.col("text").rlike(rf"{fixed.EXPORT_OPENS}[^}}]*$"), F.col("text").rlike(fixed.EXPORT_CLOSES)
+    # A list that nothing closes is none: names count up to the last line that closes one.
+    last = F.max(F.when(closes, F.col("pos")))
+    lines = lines.join(lines.groupBy(*keys).agg(last.alias("_closed")), keys)
+    event = F.when(opens, F.struct("pos", F.lit(True).alias("open"))).when(closes, F.struct("pos", F.lit(False).alias("open")))
+    carried = with_running(lines.withColumn("_slice", F.floor(F.col("pos") / SLICE_LINES)), keys, "_slice", ["pos"], maxima={"_last": event}, include_current=False)
+    before = F.when(F.coalesce(F.col("_last.open"), F.lit(False)) & (F.col("pos") <= F.col("_closed")), _exported(F.regexp_extract("text", r"^([^}]*)", 1))).otherwise(F.array().cast("array<string>"))
+    behind = F.when(opens & (F.col("pos") < F.col("_closed")), _exported(after)).otherwise(F.array().cast("array<string>"))
+    listed = carried.select(*keys, (F.col("pos") + 1).alias("line"), F.explode(F.concat(before, behind)).alias("name"))
+    exports = listed.select(*keys, "line", F.lit("export").alias("fact"), F.lit("name").alias("type"), "name")
+    value = F.trim(F.regexp_extract("text", fixed.FRONT_VALUE, 1))
+    named = F.array(F.regexp_extract("text", fixed.FRONT_KEY, 1), F.when(F.length(value) <= fixed.FRONT_VALUE_LENGTH, value).otherwise(""))
+    front = _front_matter(files).select(*keys, "line", F.lit("symbol").alias("fact"), F.lit("frontmatter").alias("type"), F.explode(named).alias("name"))
+    return exports.unionByName(front)
 
 
 def data_access(files: DataFrame) -> DataFrame:
