@@ -14,8 +14,8 @@ from tallywake.llm.storage import reach_workers
 
 #: Pivots, a bounded sample of the rows, and how many of its nearest ones represent a vector.
 PIVOTS, PREFIX = 256, 64
-#: Rows of an index block and queries of a query block.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
+#: Rows of an index block and queries of a query block: rows are copied, and indexed again, once for so many queries.
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 16_384
 #: Share of a block's distinct vectors, and the least number of them, that are reranked.
 CANDIDATE_SHARE, CANDIDATES_LEAST = 0.15, 512
 
