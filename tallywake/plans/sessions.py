@@ -19,9 +19,9 @@ talk as (select conv_id as session_id, role, text, turn * 60000 as ts, turn * 10
   union all select conv_id, role, text, (turn + 1) * 60000 + 5000, (turn + 1) * 10 + 5 from conversations where (conv_id + turn) % 5 < 2),
 ev as (
   select session_id, seq, ts, case role when 'user' then 'prompt' when 'system' then 'interrupt' else 'edit' end as kind,
-    case when role <> 'assistant' then text end as text, case when role = 'assistant' then text end as file, null as tool,
+    case when role <> 'assistant' then text else null::varchar end as text, case when role = 'assistant' then text else null::varchar end as file, null::varchar as tool,
     case when role <> 'assistant' then substr(sha256(text), 1, 16) end as hash from talk
-  union all select session_id, seq + 1, ts + 20000, 'check', null, null, 'review_gate', substr(sha256(text), 1, 16) from talk where role = 'assistant'),
+  union all select session_id, seq + 1, ts + 20000, 'check', null::varchar, null::varchar, 'review_gate', substr(sha256(text), 1, 16) from talk where role = 'assistant'),
 turns as (select *, sum(case when kind in ('prompt', 'interrupt') then 1 else 0 end) over (partition by session_id order by ts, seq) as turn from ev)
 """
 
@@ -197,11 +197,41 @@ def j15_nearest_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.nearest_calls(check_decisions(spark, sf_dir), calls)
 
 
+# Decision by decision of a key: the nearest call that none before took; of calls equally near the earlier one, of
+# simultaneous ones the last before and the first after.
+J15_CTE = EVENTS_CTE + """,
+calls as (select *, lpad(cast(session_id as varchar), {width}, '0') || '/' || lpad(cast(seq as varchar), 20, '0') as call_id from ev where kind = 'check'),
+cs as (select *, row_number() over (partition by hash order by ts, call_id) as place from calls),
+ds as (select *, row_number() over (partition by hash order by ts, decision_id) as n from (
+  select lpad(cast(conv_id as varchar), 12, '0') || '-' || turn as decision_id, conv_id, turn, substr(sha256(text), 1, 16) as hash, turn * 60000 + 50000 + conv_id % 90 * 1000 as ts
+  from conversations where role = 'assistant')),
+taken(hash, n, decision_id, call_id, used) as (
+  select hash, 0, null::varchar, null::varchar, []::varchar[] from (select distinct hash from ds)
+  union all
+  select hash, n, decision_id, call_id, case when call_id is null then used else list_append(used, call_id) end from (
+    select t.hash, d.n, d.decision_id, t.used, arg_min(c.call_id, (abs(c.ts - d.ts), (c.ts >= d.ts)::int, case when c.ts < d.ts then -c.place else c.place end)) as call_id
+    from taken t join ds d on d.hash = t.hash and d.n = t.n + 1
+    left join cs c on c.hash = d.hash and abs(c.ts - d.ts) < 600000 and not list_contains(t.used, c.call_id)
+    group by t.hash, d.n, d.decision_id, t.used)),
+joined as (select decision_id, call_id from taken where call_id is not null)"""
+J15_SQL = f"""with recursive {J15_CTE.replace('{width}', '12')} select * from joined"""
+
+
 def a35_check_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.grade_checks(check_decisions(spark, sf_dir), events(spark, sf_dir), 2.5)
     return s.outcome_rates(rows, "arm", FLOOR)
 
 
+A35K_SQL = f"""with recursive {OUTCOME_CTE.replace(EVENTS_CTE, J15_CTE.replace("lpad(cast(session_id as varchar), {width}, '0')", "cast(session_id as varchar)"))},
+pr as (select session_id, seq, last_value(case when kind = 'prompt' then seq end ignore nulls) over (partition by session_id order by ts, seq rows between unbounded preceding and 1 preceding) as prompt_seq, kind from ev),
+gr as (select c.session_id, p.prompt_seq, arg_min(case when ('0x' || substr(sha256('check:' || d.conv_id || ':' || d.turn), 1, 8))::bigint / 4294967296.0 < 0.5 then 'shown' else 'withheld' end, (d.ts, d.decision_id)) as arm
+  from joined j join ds d using (decision_id) join calls c on c.call_id = j.call_id join pr p on p.session_id = c.session_id and p.seq = c.seq and p.kind = 'check' where p.prompt_seq is not null group by 1, 2),
+oc as (select gr.arm, o.* from gr join outcomes o on o.session_id = gr.session_id and o.seq = gr.prompt_seq),
+c as (select arm, count(*) as prompts, count(*) filter (follow_up) as graded, count(*) filter (corrected) as corrected, count(reworked) as editing, count(*) filter (reworked) as reworked from oc group by 1),
+m as (select arm, prompts, 'corrected' as measure, corrected as hits, graded as n from c union all select arm, prompts, 'reworked', reworked, editing from c)
+select *, {sql_proportion('hits', 'n', FLOOR)} from m"""
+
+
 # Raw transcripts rebuilt from the table.
 def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.format_string("2024-01-01T%02d:%02d:30Z", F.floor(F.col("turn") / 60), F.col("turn") % 60)
@@ -252,14 +282,14 @@ select cast(conv_id as varchar) as session_id, 'm' || conv_id || '-' || g as mes
 QUERIES = {
     "w3_prompt_outcomes": (w3_prompt_outcomes, W3_SQL),
     "w5_drop_repeated_prompts": (w5_drop_repeated_prompts, W5_SQL),
-    "j15_nearest_calls": (j15_nearest_calls, None),
+    "j15_nearest_calls": (j15_nearest_calls, J15_SQL),
     "j16_prompts_by_hash": (j16_prompts_by_hash, J16_SQL),
     "j17_checks_with_prompt": (j17_checks_with_prompt, J17_SQL),
     "j18_turn_tokens": (j18_turn_tokens, J18_SQL),
     "j20_agent_calls": (j20_agent_calls, J20_SQL),
     "a35_outcome_rates": (a35_outcome_rates, A35_SQL),
     "a35_billed_summary": (a35_billed_summary, A35B_SQL),
-    "a35_check_outcomes": (a35_check_outcomes, None),
+    "a35_check_outcomes": (a35_check_outcomes, A35K_SQL),
     "s7_read_sessions": (s7_read_sessions, S7_SQL),
     "s8_read_usage": (s8_read_usage, S8_SQL),
 }
