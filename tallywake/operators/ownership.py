@@ -46,50 +46,68 @@ def pattern_regex(pattern: Column) -> Column:
 def match_owners(files: DataFrame, rules: DataFrame) -> DataFrame:
     """files(..., repo_id, path) with the owners and number of the last rule that matches.
 
-    A repository's rules are one short document, so they travel as one array to
-    its files; no file is paired with every rule.
+    A plain rule is posted under one key: the folder it covers, the path it is, or
+    the ending it asks for. A path looks its own folders and endings up, so what it
+    costs does not grow with the plain rules. Only rules with other wildcards are
+    tested one by one, as one array per repository, last first.
     """
-    compiled = rules.withColumn("test", _rule_test(F.col("pattern")))
-    per_repo = compiled.groupBy("repo_id").agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct("rule_no", "test", "owners")))).alias("_rules")
-    )
-    slashed = F.concat(F.lit("/"), F.col("_clean"))
-
-    def matches(test: Column) -> Column:
-        mode, text = test["mode"], test["text"]
-        return (
-            F.when(mode == "end", F.endswith(slashed, text))
-            .when(mode == "under", F.contains(slashed, text))
-            .when(mode == "from", F.startswith(slashed, text))
-            .when(mode == "is", slashed == text)
-            .otherwise(F.regexp_like(F.col("_clean"), text))
-        )
-
-    # Rules come last first; once one matched, the others are not tested.
-    none = F.lit(None).cast("struct<rule_no:int,test:struct<mode:string,text:string>,owners:array<string>>")
-    hit = F.aggregate("_rules", none, lambda found, r: F.when(found.isNotNull(), found).when(matches(r["test"]), r))
-    joined = files.withColumn("_clean", P.normalize(P.forward(F.col("path")))).join(per_repo, "repo_id", "left")
-    return joined.withColumn("_hit", hit).select(
+    tested = rules.withColumn("test", _rule_test(F.col("pattern")))
+    # A generator of one row: the clean path is made once, not wherever it is used.
+    named = files.select("repo_id", "path").distinct().select("repo_id", "path", F.explode(F.array(P.normalize(P.forward(F.col("path"))))).alias("_clean"))
+    posted = tested.where("test.mode <> 'regex'").groupBy("repo_id", F.col("test.mode").alias("mode"), F.col("test.text").alias("text")).agg(F.max_by(F.struct("rule_no", "owners"), "rule_no").alias("hit"))
+    looked_up = named.select("repo_id", "path", F.explode(_path_keys(F.col("_clean"))).alias("k")).select("repo_id", "path", "k.mode", "k.text")
+    plain = looked_up.join(posted, ["repo_id", "mode", "text"]).select("repo_id", "path", "hit")
+
+    wild = tested.where("test.mode = 'regex'").groupBy("repo_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("rule_no", F.col("test.text").alias("text"), "owners")))).alias("_rules"))
+    none = F.lit(None).cast("struct<rule_no:int,text:string,owners:array<string>>")
+    first = F.aggregate("_rules", none, lambda found, r: F.when(found.isNotNull(), found).when(F.regexp_like(F.col("_clean"), r["text"]), r))
+    by_pattern = named.join(wild, "repo_id").withColumn("_f", first).where("_f is not null").select("repo_id", "path", F.struct("_f.rule_no", "_f.owners").alias("hit"))
+
+    last = plain.unionByName(by_pattern).groupBy("repo_id", "path").agg(F.max_by("hit", "hit.rule_no").alias("_hit"))
+    return files.join(last, ["repo_id", "path"], "left").select(
         *files.columns, F.coalesce(F.col("_hit.owners"), F.array().cast("array<string>")).alias("owners"), F.col("_hit.rule_no").alias("rule_no")
     )
 
 
+def _path_keys(path: Column) -> Column:
+    """Every key under which a plain rule for a path may be posted: (mode, text) as ``_rule_test`` makes them."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    n = F.size(folders)
+    key = lambda mode, text: F.struct(F.lit(mode).alias("mode"), text.alias("text"))
+    empty = F.array().cast("array<struct<mode:string,text:string>>")
+
+    def joined(start: Column, count: Column) -> Column:
+        return F.concat(F.lit("/"), F.array_join(F.slice(folders, start, count), "/"), F.lit("/"))
+
+    counts = F.sequence(F.lit(1), n)
+    leading = F.when(n > 0, F.transform(counts, lambda i: key("from", joined(F.lit(1), i)))).otherwise(empty)
+    # Every run of folders, by where it starts and how long it is.
+    inner = F.when(n > 0, F.flatten(F.transform(counts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: key("under", joined(i, k)))))).otherwise(empty)
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: key("end", F.concat(F.lit("/"), F.array_join(F.slice(parts, i, F.size(parts)), "/"))))
+    dotted = F.split(F.element_at(parts, -1), r"\.")
+    endings = F.when(
+        F.size(dotted) > 1, F.transform(F.sequence(F.lit(2), F.size(dotted)), lambda i: key("end", F.concat(F.lit("."), F.array_join(F.slice(dotted, i, F.size(dotted)), "."))))
+    ).otherwise(empty)
+    return F.array_distinct(F.concat(F.array(key("is", F.concat(F.lit("/"), path))), leading, inner, tails, endings))
+
+
 def _rule_test(pattern: Column) -> Column:
-    """How to test a pattern against '/path': by plain text where it holds no wildcard, else by its expression."""
+    """What a pattern asks of '/path': a key where it holds no wildcard or begins with ``*.``, else its expression."""
     slashed = F.translate(F.trim(pattern), "\\", "/")
     body = F.regexp_replace(slashed, r"^/|/$", "")
     folder = F.regexp_replace(body, r"/\*\*$", "")
     into = slashed.endswith("/") | body.endswith("/**")
     anchored = slashed.startswith("/") & (body.contains("/") | slashed.endswith("/"))
     plain = ~folder.rlike(r"[*?]")
-    suffix = body.rlike(r"^\*[^*?/]+$") & ~into
+    suffix = body.rlike(r"^\*\.[^*?/]+$") & ~into
     test = lambda mode, text: F.struct(F.lit(mode).alias("mode"), text.alias("text"))
     return (
         F.when(plain & into & anchored, test("from", F.concat(F.lit("/"), folder, F.lit("/"))))
         .when(plain & into, test("under", F.concat(F.lit("/"), folder, F.lit("/"))))
         .when(plain & anchored, test("is", F.concat(F.lit("/"), body)))
         .when(plain, test("end", F.concat(F.lit("/"), body)))
-        .when(suffix, test("end", F.expr("substring(regexp_replace(translate(trim(pattern), '\\\\', '/'), '^/|/$', ''), 2)")))
+        .when(suffix, test("end", F.substring(body, 2, 1 << 20)))
         .otherwise(test("regex", pattern_regex(pattern)))
     )
 

@@ -519,6 +519,19 @@ def a38_request_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.request_modules(doc_requests(spark, sf_dir), doc_files(spark, sf_dir))
 
 
+# No request of the given tables names a tracked path, so all its words count.
+A38M_SQL = f"""with {DOC_FILES_CTE},
+a as (select distinct request_id, repo_id, unnest({sql_scope('text')}) as term from requests),
+di as (select repo_id, array_to_string(string_split(path, '/')[1:d], '/') as directory from files, unnest(range(1, len(string_split(path, '/')))) u(d)),
+sz as (select repo_id, count(*) as f from files group by 1),
+fo as (select repo_id, directory, lower(regexp_extract(directory, '([^/]+)$', 1)) as name from (select repo_id, directory, count(*) as held from di group by 1, 2) join sz using (repo_id)
+  where held <= f * 0.2 and lower(regexp_extract(directory, '([^/]+)$', 1)) not in {tuple(fixed.TREE_NAMES)} and not starts_with(lower(regexp_extract(directory, '([^/]+)$', 1)), '.')),
+hits as (select a.request_id, a.repo_id, x.directory from (select repo_id, directory, unnest({sql_scope('name')}) as term from fo) x join a using (repo_id, term)
+  intersect select a.request_id, a.repo_id, x.directory from (select repo_id, directory, unnest({sql_scope("regexp_replace(name, '[^a-z0-9]+', '', 'g')")}) as term from fo) x join a using (repo_id, term)),
+ou as (select * from hits h where not exists (select 1 from hits u where u.request_id = h.request_id and u.repo_id = h.repo_id and starts_with(h.directory, u.directory || '/')))
+select *, count(*) over (partition by request_id, repo_id) as n from ou"""
+
+
 def p9_docs_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths_ = table(spark, sf_dir, "part").select("p_partkey", F.expr(PATH_SQL).alias("path"))
     rows = table(spark, sf_dir, "lineitem").join(paths_, F.col("l_partkey") == F.col("p_partkey")).select(F.lit(0).alias("repo_id"), F.col("l_orderkey").alias("sha"), "path")
@@ -623,7 +636,7 @@ QUERIES = {
     "r13_search_lines": (r13_search_lines, R13_SQL),
     "p13_intent": (p13_intent, P13_SQL),
     "a38_scope_terms": (a38_scope_terms, A38_SQL),
-    "a38_request_modules": (a38_request_modules, None),
+    "a38_request_modules": (a38_request_modules, A38M_SQL),
     "p9_docs_only": (p9_docs_only, P9_SQL),
     "s19_eval_corpus": (s19_eval_corpus, S19_SQL),
     "j8_named_symbols": (j8_named_symbols, J8S_SQL),
