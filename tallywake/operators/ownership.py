@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywake.functions import paths as P
-from tallywake.functions.text import lit_array
+from tallywake.functions.text import let, lit_array
 
 LOCATIONS = [".github/CODEOWNERS", "CODEOWNERS", "docs/CODEOWNERS"]
 
@@ -52,16 +52,15 @@ def match_owners(files: DataFrame, rules: DataFrame) -> DataFrame:
     tested one by one, as one array per repository, last first.
     """
     tested = rules.withColumn("test", _rule_test(F.col("pattern")))
-    # A generator of one row: the clean path is made once, not wherever it is used.
-    named = files.select("repo_id", "path").distinct().select("repo_id", "path", F.explode(F.array(P.normalize(P.forward(F.col("path"))))).alias("_clean"))
+    named, clean = files.select("repo_id", "path").distinct(), P.normalize(P.forward(F.col("path")))
     posted = tested.where("test.mode <> 'regex'").groupBy("repo_id", F.col("test.mode").alias("mode"), F.col("test.text").alias("text")).agg(F.max_by(F.struct("rule_no", "owners"), "rule_no").alias("hit"))
-    looked_up = named.select("repo_id", "path", F.explode(_path_keys(F.col("_clean"))).alias("k")).select("repo_id", "path", "k.mode", "k.text")
+    looked_up = named.select("repo_id", "path", F.explode_outer(let(clean, _path_keys)).alias("k")).select("repo_id", "path", "k.mode", "k.text")
     plain = looked_up.join(posted, ["repo_id", "mode", "text"]).select("repo_id", "path", "hit")
 
     wild = tested.where("test.mode = 'regex'").groupBy("repo_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("rule_no", F.col("test.text").alias("text"), "owners")))).alias("_rules"))
     none = F.lit(None).cast("struct<rule_no:int,text:string,owners:array<string>>")
     first = F.aggregate("_rules", none, lambda found, r: F.when(found.isNotNull(), found).when(F.regexp_like(F.col("_clean"), r["text"]), r))
-    by_pattern = named.join(wild, "repo_id").withColumn("_f", first).where("_f is not null").select("repo_id", "path", F.struct("_f.rule_no", "_f.owners").alias("hit"))
+    by_pattern = named.withColumn("_clean", clean).join(wild, "repo_id").withColumn("_f", first).where("_f is not null").select("repo_id", "path", F.struct("_f.rule_no", "_f.owners").alias("hit"))
 
     last = plain.unionByName(by_pattern).groupBy("repo_id", "path").agg(F.max_by("hit", "hit.rule_no").alias("_hit"))
     return files.join(last, ["repo_id", "path"], "left").select(

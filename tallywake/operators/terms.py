@@ -87,7 +87,7 @@ def damping(df: Column, total: Column, smallest: int = 0) -> Column:
     )
 
 
-def document_frequency(file_terms: DataFrame, wanted: DataFrame, files: DataFrame, keys: Sequence[str] = ("repo_id",)) -> DataFrame:
+def document_frequency(file_terms: DataFrame, wanted: DataFrame, files: DataFrame, keys: Sequence[str] = ("repo_id",), smallest: int = 0) -> DataFrame:
     """(keys..., term, df, total, factor) for the wanted terms only.
 
     file_terms(keys..., repo_id, path, term) are distinct per file; the wanted terms
@@ -101,7 +101,7 @@ def document_frequency(file_terms: DataFrame, wanted: DataFrame, files: DataFram
         sized = counted.join(totals, keys)
     else:
         sized = counted.withColumn("total", files.agg(F.count("*")).scalar())
-    return sized.withColumn("factor", damping(F.col("df"), F.col("total")))
+    return sized.withColumn("factor", damping(F.col("df"), F.col("total"), smallest))
 
 
 # ---------------------------------------------------------------- intent

@@ -274,7 +274,7 @@ def test_context_scores_by_hand(spark):
         ("r", "tests/refund.test.ts", "test", "tests", [], []), ("r", "src/types.ts", "source", "src", [("Refund", "interface", 1, [])], []), ("r", "src/none.ts", "source", "src", [], []),
     ])
     requests = spark.createDataFrame([(1, "r", "create refund")], "request_id int, repo_id string, text string")
-    got = {r.path: r.score for r in x.context_scores(requests, files).collect()}
+    got = {r.path: r.score for r in x.context_scores(requests, files, smallest=12).collect()}
     # service: path 8, domain exact 10, export 8 + 8, symbol two words 18 + 24, topic domain 30
     assert got["src/refund/refund-service.ts"] == 8 + 10 + 16 + 42 + 30
     # test: path 8 at 70%; types: one weak word 9 at 40%
@@ -285,7 +285,8 @@ def test_hotspots_and_modules(spark):
     files = context_files(spark, [("r", "src/refund/a.ts", "service", "refund", [("createRefund", "method", 3, []), ("misc", "method", 9, [])], [])])
     requests = spark.createDataFrame([(1, "r", "create refund")], "request_id int, repo_id string, text string")
     tokens = x.request_tokens(requests)
-    matches = x.symbol_matches(tokens, files, x._factors(files, tokens))
+    terms = x.term_table(files)
+    matches = x.symbol_matches(tokens, terms, files, x._factors(x.file_words(terms), tokens, files, smallest=12))
     focus = files.select(F.lit(1).alias("request_id"), "repo_id", "path")
     assert [r.name for r in x.hotspots(matches, focus, focus).collect()] == ["createRefund"]
     tree = spark.createDataFrame([("r", f"src/user/f{i}.ts") for i in range(3)] + [("r", f"lib/x{i}.ts") for i in range(30)] + [("r", "src/user/user/deep.ts")], "repo_id string, path string")
