@@ -141,16 +141,25 @@ def _least_agreement(percent: int, ends_kept: int, bits: int) -> int:
     return int(ends_kept * mean - 4.5 * (ends_kept * spread) ** 0.5)
 
 
+def _sized(percent: int) -> Column:
+    """Sizes of nodes x and y leave a similarity of ``percent`` possible."""
+    return 100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")
+
+
 def _alike(percent: int) -> Column:
-    """Sizes and sketches of nodes x and y leave a similarity of ``percent`` possible; sketches of small sets say little."""
-    small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
-    return (100 * small >= percent * large) & ((small < SMALL) | (_agreement() >= _least_agreement(percent, BANDS * ROWS, SKETCH_BITS)))
+    """Sizes and sketches of nodes x and y do."""
+    return _sized(percent) & (_agreement() >= _least_agreement(percent, BANDS * ROWS, SKETCH_BITS))
 
 
 def _finely_alike(percent: int) -> Column:
-    """The same by the finer sketches, which nodes of small sets do without."""
+    """Nodes x and y are as similar as that, as far as sketches can tell; of two small sets the shingles themselves can."""
     agree = F.aggregate(F.zip_with("x.fine", "y.fine", lambda a, b: 64 - F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
-    return (F.least("x.n_shingles", "y.n_shingles") < SMALL) | (agree >= _least_agreement(percent, 2 * FINE_PERMUTATIONS, FINE_BITS))
+    small = F.greatest("x.n_shingles", "y.n_shingles") < SMALL
+    mixed = F.least("x.n_shingles", "y.n_shingles") < SMALL
+    common = F.size(F.array_intersect("x.fine", "y.fine"))
+    exactly = (100 + percent) * common >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+    finely = F.when(mixed, True).otherwise(agree >= _least_agreement(percent, 2 * FINE_PERMUTATIONS, FINE_BITS))
+    return _sized(percent) & F.when(small, exactly).otherwise(_alike(percent) & finely)
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -167,11 +176,11 @@ def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> D
 
 
 def _fine_sketches(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """node, fine: the finer sketch of each wanted node."""
+    """node, fine: the finer sketch of each wanted node; of a small set, its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(ends(s, _FINE_MULTIPLIERS), FINE_BITS) for p in portions(batch.column(1)) for s in shingle_sets(p, size)]
+            found = [s.view(np.int64) if len(s) < SMALL else sketch(ends(s, _FINE_MULTIPLIERS), FINE_BITS) for p in portions(batch.column(1)) for s in shingle_sets(p, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "fine"])
 
     return _texts(wanted, nodes, docs, size).mapInArrow(run, "node long, fine array<long>")
@@ -222,7 +231,7 @@ def _cross_pairs(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, size: in
 
     Heavily edited copies of a large group reach none of its members, though they
     are close to many. Finer sketches of these members keep most such pairs from
-    being formed.
+    being formed, and small sets are compared by their shingles at once.
     """
     parts = buckets.groupBy("key", "comp").agg(F.count("*").alias("n"))
     per_key = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main")).where("main.n < n")
@@ -237,7 +246,7 @@ def _cross_pairs(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, size: in
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by"))
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     first = F.expr(f"not exists(sequence(0, {BANDS + SMALL_BANDS - 2}), i -> i < x.at and get(x.bands, i) = get(y.bands, i))")
-    pairs = x.join(y, met & (F.col("x.comp") != F.col("y.comp")) & once & _alike(percent) & _finely_alike(percent) & first)
+    pairs = x.join(y, met & (F.col("x.comp") != F.col("y.comp")) & once & _finely_alike(percent) & first)
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -263,8 +272,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """Groups of documents whose shingle sets reach a Jaccard similarity of ``percent`` / 100.
 
     A pair at similarity 0.8 shares no band with probability 1.6e-5 at most, and
-    each of the two sketches, which sets of fewer than SMALL shingles do without,
-    hides it with 4e-6 at most; nothing else is left out.
+    each of the two sketches hides it with 4e-6 at most. Pairs of sets of fewer
+    than SMALL shingles do without sketches. Nothing else is left out.
 
     Words are runs of bytes other than ASCII white space, with A-Z lower-cased; a
     set is the distinct runs of ``shingle_words`` words, or the whole sequence of
