@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywake.llm.storage import reach_workers
+from tallywake.llm.storage import reach_workers, release_dictionaries
 from tallywake.llm.words import Statistics, portions, statistics
 
 NAMES = [f.name for f in fields(Statistics)]
@@ -31,6 +31,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(n, T.LongType()) for n in NAMES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_dictionaries()
         for batch in batches:
             found = of_column(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[n]) for n in NAMES]], names=schema.names)

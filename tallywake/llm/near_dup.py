@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywake.llm.components import components
-from tallywake.llm.storage import reach_workers, stored
+from tallywake.llm.storage import reach_workers, release_dictionaries, stored
 from tallywake.llm.words import _WINDOW_STEPS, Texts, Words, mix, portions, windows, words
 
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8^7)^48, about 1.2e-5, if its sets are large.
@@ -104,6 +104,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_dictionaries()
         for batch in batches:
             sizes, nodes, checks, bands, sketches = [], [], [], [], []
             for texts in portions(batch.column(1)):
@@ -179,6 +180,7 @@ def _fine_sketches(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: i
     """node, fine: the finer sketch of each wanted node; of a small set, its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_dictionaries()
         for batch in batches:
             found = [s.view(np.int64) if len(s) < SMALL else sketch(ends(s, _FINE_MULTIPLIERS), FINE_BITS) for p in portions(batch.column(1)) for s in shingle_sets(p, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "fine"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 from pathlib import Path
 
@@ -28,6 +29,13 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def release_dictionaries() -> None:
+    """Let go of the word dictionaries that earlier tasks left in this worker: tasks without tokens have other uses for the memory."""
+    for module in ("tallywake.llm.pieces", "tallywake.llm.bpe"):
+        if module in sys.modules:
+            sys.modules[module]._kept.clear()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder, removed when the driver ends."""
     reach_workers(spark)
