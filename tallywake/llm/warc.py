@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import io
 import re
 import uuid
 import zlib
@@ -175,12 +176,10 @@ def records(stream, name: str = "") -> Iterator[Record]:
 
 def _open(path: str):
     store, at = _filesystem(path)
+    with store.open_input_file(at) as head:
+        packed = head.read(2) == b"\x1f\x8b"
     raw = store.open_input_stream(at, compression=None, buffer_size=1 << 20)
-    if store.open_input_file(at).read(2) == b"\x1f\x8b":
-        return gzip.GzipFile(fileobj=raw)
-    import io
-
-    return io.BufferedReader(raw)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw, 1 << 18)
 
 
 _RECORDS = T.StructType(
@@ -313,10 +312,10 @@ def _named(captures: DataFrame) -> DataFrame:
     page = _field(about, "page-id").cast("long")
     rows = captures.where("main is not null").withColumn("page_id", page)
     targets = rows.where("main.type = 'response'").select(F.col("capture_id").alias("_target"), F.col("page_id").alias("refers_to"))
-    # Most rows refer to nothing: only those that do meet a target.
+    # Only revisits meet a target: the many rows that refer to nothing would share one key.
     revisit = F.col("main.type") == "revisit"
-    refers = F.when(revisit, F.col("main.refers_to"))
-    return rows.withColumn("_target", refers).join(targets, "_target", "left").drop("_target")
+    resolved = rows.where(revisit).withColumn("_target", F.col("main.refers_to")).join(targets, "_target", "left").select(*rows.columns, "refers_to")
+    return resolved.union(rows.where(~revisit).withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def round_trip(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
