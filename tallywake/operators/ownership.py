@@ -51,10 +51,10 @@ def match_owners(files: DataFrame, rules: DataFrame) -> DataFrame:
     costs does not grow with the plain rules. Only rules with other wildcards are
     tested one by one, as one array per repository, last first.
     """
-    tested = rules.withColumn("test", _rule_test(F.col("pattern")))
+    tested = rules.withColumn("test", let(F.col("pattern"), _rule_test))
     named, clean = files.select("repo_id", "path").distinct(), P.normalize(P.forward(F.col("path")))
     posted = tested.where("test.mode <> 'regex'").groupBy("repo_id", F.col("test.mode").alias("mode"), F.col("test.text").alias("text")).agg(F.max_by(F.struct("rule_no", "owners"), "rule_no").alias("hit"))
-    looked_up = named.select("repo_id", "path", F.explode_outer(let(clean, _path_keys)).alias("k")).select("repo_id", "path", "k.mode", "k.text")
+    looked_up = named.select("repo_id", "path", F.explode(let(clean, _path_keys)).alias("k")).select("repo_id", "path", "k.mode", "k.text")
     plain = looked_up.join(posted, ["repo_id", "mode", "text"]).select("repo_id", "path", "hit")
 
     wild = tested.where("test.mode = 'regex'").groupBy("repo_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("rule_no", F.col("test.text").alias("text"), "owners")))).alias("_rules"))
