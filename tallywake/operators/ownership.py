@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywake.functions import paths as P
 from tallywake.functions.text import let, lit_array
+from tallywake.session import shuffled
 
 LOCATIONS = [".github/CODEOWNERS", "CODEOWNERS", "docs/CODEOWNERS"]
 
@@ -55,15 +56,15 @@ def match_owners(files: DataFrame, rules: DataFrame) -> DataFrame:
     named, clean = files.select("repo_id", "path").distinct(), P.normalize(P.forward(F.col("path")))
     posted = tested.where("test.mode <> 'regex'").groupBy("repo_id", F.col("test.mode").alias("mode"), F.col("test.text").alias("text")).agg(F.max_by(F.struct("rule_no", "owners"), "rule_no").alias("hit"))
     looked_up = named.select("repo_id", "path", F.explode(let(clean, _path_keys)).alias("k")).select("repo_id", "path", "k.mode", "k.text")
-    plain = looked_up.join(posted, ["repo_id", "mode", "text"]).select("repo_id", "path", "hit")
+    plain = looked_up.join(shuffled(posted), ["repo_id", "mode", "text"]).select("repo_id", "path", "hit")
 
     wild = tested.where("test.mode = 'regex'").groupBy("repo_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("rule_no", F.col("test.text").alias("text"), "owners")))).alias("_rules"))
     none = F.lit(None).cast("struct<rule_no:int,text:string,owners:array<string>>")
     first = F.aggregate("_rules", none, lambda found, r: F.when(found.isNotNull(), found).when(F.regexp_like(F.col("_clean"), r["text"]), r))
-    by_pattern = named.withColumn("_clean", clean).join(wild, "repo_id").withColumn("_f", first).where("_f is not null").select("repo_id", "path", F.struct("_f.rule_no", "_f.owners").alias("hit"))
+    by_pattern = named.withColumn("_clean", clean).join(shuffled(wild), "repo_id").withColumn("_f", first).where("_f is not null").select("repo_id", "path", F.struct("_f.rule_no", "_f.owners").alias("hit"))
 
     last = plain.unionByName(by_pattern).groupBy("repo_id", "path").agg(F.max_by("hit", "hit.rule_no").alias("_hit"))
-    return files.join(last, ["repo_id", "path"], "left").select(
+    return files.join(shuffled(last), ["repo_id", "path"], "left").select(
         *files.columns, F.coalesce(F.col("_hit.owners"), F.array().cast("array<string>")).alias("owners"), F.col("_hit.rule_no").alias("rule_no")
     )
 
@@ -135,7 +136,7 @@ def approval_status(owned: DataFrame, approved: DataFrame, members: DataFrame) -
     })
     teams_ok = members.select("org", "slug", F.lower("login").alias("login")).join(approved, "login").select("change_id", "org", "slug").distinct().withColumn("team_ok", F.lit(True))
     yes = approved.withColumn("user_ok", F.lit(True))
-    joined = marked.join(yes, ["change_id", "login"], "left").join(teams_ok, ["change_id", "org", "slug"], "left")
+    joined = marked.join(shuffled(yes), ["change_id", "login"], "left").join(shuffled(teams_ok), ["change_id", "org", "slug"], "left")
     facts = joined.groupBy("change_id", "path").agg(
         F.bool_or(F.coalesce("user_ok", "team_ok", F.lit(False))).alias("ok"),
         F.bool_or("external").alias("external"),

@@ -12,13 +12,14 @@ from tallywake.operators import checks as k
 from tallywake.operators import ownership as o
 from tallywake.plans.graph import PATH_SQL, PATHS_CTE
 from tallywake.plans.tables import spread, table
+from tallywake.session import shuffled, written
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item: its change, its path, and the path of the item after it in the order."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.expr(PATH_SQL).alias("path"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("change_id"))
-    rows = spread(table(spark, sf_dir, "lineitem")).join(orders, "l_orderkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = spread(table(spark, sf_dir, "lineitem")).join(shuffled(orders), "l_orderkey").join(shuffled(part), F.col("l_partkey") == F.col("p_partkey"))
     after = rows.groupBy("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber")).agg(F.min("path").alias("next_path"))
     return rows.join(after, ["l_orderkey", "l_linenumber"], "left")
 
@@ -325,7 +326,7 @@ J13_SQL = f"with {J13_CTE} select repo_id, path, array_to_string(owners, ' ') as
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("change_id"))
     state = F.when(F.col("l_returnflag") == "A", "approved").when(F.col("l_returnflag") == "R", "CHANGES_REQUESTED").otherwise("COMMENTED")
-    return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return table(spark, sf_dir, "lineitem").join(shuffled(orders), F.col("l_orderkey") == F.col("o_orderkey")).select(
         "change_id", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"), F.concat(F.lit("User"), (F.col("l_suppkey") % 9).cast("string")).alias("login"), state.alias("state"))
 
 
@@ -346,10 +347,10 @@ A36_SQL = f"with {REVIEW_CTE} select * from ok"
 def approval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     owned = owned_paths(spark, sf_dir)
     mine = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("change_id")).join(
-        table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")), "l_orderkey").select("change_id", "p_partkey").distinct()
+        shuffled(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"))), "l_orderkey").select("change_id", "p_partkey").distinct()
     members = table(spark, sf_dir, "supplier").select(
         F.lit("org").alias("org"), F.concat(F.lit("team"), (F.col("s_suppkey") % 3).cast("string")).alias("slug"), F.concat(F.lit("user"), (F.col("s_nationkey") % 4 + 5).cast("string")).alias("login")).distinct()
-    return o.approval_status(mine.join(owned, "p_partkey").select("change_id", "path", "owners"), o.approvals(reviews(spark, sf_dir)), members)
+    return o.approval_status(mine.join(shuffled(owned), "p_partkey").select("change_id", "path", "owners"), o.approvals(reviews(spark, sf_dir)), members)
 
 
 def j14_owner_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +375,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallywake.plans.graph import SPECIAL_SQL
 
     part = table(spark, sf_dir, "part").select("p_partkey", F.expr(PATH_SQL).alias("a"), F.expr(SPECIAL_SQL).alias("b"))
-    rows = spread(table(spark, sf_dir, "lineitem")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = spread(table(spark, sf_dir, "lineitem")).join(shuffled(part), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(F.col("l_orderkey").alias("change_id"), F.when(F.col("l_quantity") % 10 == 0, F.col("b")).otherwise(F.col("a")).alias("path"), "l_linenumber")
 
 
