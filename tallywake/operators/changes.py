@@ -16,7 +16,7 @@ from tallywake.functions.stats import round_int
 from tallywake.functions.text import lit_array
 from tallywake.operators import graph
 from tallywake.operators import terms as T
-from tallywake.session import cut_lineage
+from tallywake.session import cut_lineage, shuffled, written
 
 KEY = ["change_id", "path"]
 
@@ -112,9 +112,20 @@ def tests_covering(tests: DataFrame, sources: DataFrame) -> DataFrame:
     plain = named.where("not generic").groupBy("change_id", "stem").agg(F.min("path").alias("anchor"))
     homes = F.array(F.col("folder"), *[P.normalize(F.concat(F.col("folder"), F.lit(f"/{d}"))) for d in ("__tests__", "test", "tests")])
     near = named.where("generic").select("change_id", "stem", F.explode(homes).alias("folder"), "path").groupBy("change_id", "stem", "folder").agg(F.min("path").alias("anchor"))
-    keys = tests.select(*KEY, P.dirname(F.col("path")).alias("folder"), F.explode(_cover_keys_of_test(F.col("path"))).alias("k")).select(*KEY, "folder", "k.*").distinct()
-    wide = keys.join(plain, ["change_id", "stem"]).select(*KEY, "anchor")
-    close = keys.where("not suffixed").join(near, ["change_id", "stem", "folder"]).select(*KEY, "anchor")
+    return _first_covered(_cover_rows(tests), plain, near)
+
+
+def _cover_rows(tests: DataFrame) -> DataFrame:
+    """(change_id, path, folder, stem, suffixed, generic): the stems each test may cover."""
+    return tests.select(*KEY, P.dirname(F.col("path")).alias("folder"), F.explode(_cover_keys_of_test(F.col("path"))).alias("k")).select(
+        *KEY, "folder", "k.*", F.col("k.stem").isin(*fixed.GENERIC_STEMS).alias("generic")
+    )
+
+
+def _first_covered(keys: DataFrame, plain: DataFrame, near: DataFrame) -> DataFrame:
+    """The first source per test: a telling stem anywhere in the change, a generic one only beside the test."""
+    wide = keys.where("not generic").select(*KEY, "stem").join(shuffled(plain), ["change_id", "stem"]).select(*KEY, "anchor")
+    close = keys.where("generic and not suffixed").join(shuffled(near), ["change_id", "stem", "folder"]).select(*KEY, "anchor")
     return wide.unionByName(close).groupBy(*KEY).agg(F.min("anchor").alias("anchor"))
 
 
@@ -147,62 +158,60 @@ def infer_scope(compared: DataFrame, added_files: DataFrame, mapped_files: DataF
     compared is J9 or J10; added_files and mapped_files(change_id, path);
     added_lines(change_id, path, line, text).
     """
-    compared = cut_lineage(compared)  # seven rules read it
     path = F.col("path")
-    pending = compared.where(F.col("place").isin("missed", "advisory") & ~P.is_secret(path)).select(*KEY)
-    pending = cut_lineage(pending.withColumns({"is_test": P.is_test(path), "is_doc": P.is_doc(path), "flags": drift_flags(path)}))
-    direct = compared.where("place = 'direct'").select(*KEY)
-    confirmed = compared.where(F.col("place").isin("direct", "related")).select(*KEY)
+    # Seven rules read these rows: what a path says is worked out once per distinct path and kept.
+    touched = shuffled(written(compared.where(F.col("place").isin("missed", "advisory", "direct", "related")).select(*KEY, "place"), "compared"))
+    facts = {"is_test": P.is_test(path), "is_doc": P.is_doc(path), "is_secret": P.is_secret(path), "is_data": P.is_test_data(path), "flags": drift_flags(path)}
+    rows = shuffled(written(P.with_path_facts(touched, facts), "compared"))
+    pending = rows.where("place in ('missed', 'advisory') and not is_secret").drop("place")
+    direct = rows.where("place = 'direct'")
+    confirmed = rows.where("place in ('direct', 'related')")
 
     # owner-sibling: an added, mapped file beside an owner, bringing no flag of its own
-    fresh = pending.join(added_files.select(*KEY).distinct(), KEY, "left_semi").join(mapped_files.select(*KEY).distinct(), KEY, "left_semi")
-    beside = direct.where(path.contains("/")).select("change_id", P.dirname(path).alias("folder"), path.alias("anchor"))
-    sibling = _first_covering_flags(
-        fresh.withColumn("folder", P.dirname(path)), beside, ["change_id", "folder"], drift_flags(F.col("anchor"))
-    ).withColumn("rule", F.lit("owner-sibling"))
+    fresh = pending.join(shuffled(added_files.select(*KEY).distinct()), KEY, "left_semi").join(shuffled(mapped_files.select(*KEY).distinct()), KEY, "left_semi")
+    beside = direct.where(path.contains("/")).select("change_id", P.dirname(path).alias("folder"), path.alias("anchor"), F.col("flags").alias("owner_flags"))
+    sibling = cut_lineage(_first_covering_flags(fresh.withColumn("folder", P.dirname(path)), beside, ["change_id", "folder"], F.col("owner_flags")).withColumn("rule", F.lit("owner-sibling")))
 
     # owner-test: a test named after a file already in scope
-    sources = confirmed.unionByName(sibling.select(*KEY)).where(~P.is_test(path))
+    sources = confirmed.where("not is_test").select(*KEY).unionByName(sibling.where(~P.is_test(path)).select(*KEY))
     tests = pending.where("is_test").join(sibling, KEY, "left_anti")
     covered = tests_covering(tests, sources).withColumn("rule", F.lit("owner-test"))
 
     # owner-import: added lines import a confirmed file
-    settled = sibling.unionByName(covered)
-    rest = pending.where("not is_doc").join(settled, KEY, "left_anti")
-    imported = added_imports(added_lines.join(rest.select(*KEY), KEY, "left_semi"), confirmed)
-    by_test = (
-        rest.where("is_test").join(imported, KEY).where(~P.is_test(F.col("target"))).groupBy(*KEY).agg(F.min("target").alias("anchor"))
-        .withColumn("rule", F.lit("owner-test"))
-    )
-    by_code = (
-        rest.where("not is_test").join(imported, KEY).where(F.size(F.array_except("flags", drift_flags(F.col("target")))) == 0)
-        .groupBy(*KEY).agg(F.min("target").alias("anchor")).withColumn("rule", F.lit("owner-import"))
+    settled = cut_lineage(sibling.unionByName(covered))
+    rest = pending.where("not is_doc").select(*KEY).join(settled, KEY, "left_anti")
+    imported = added_imports(added_lines.join(shuffled(rest), KEY, "left_semi"), confirmed)
+    of_test = F.col("is_test") & ~P.is_test(F.col("target"))
+    of_code = ~F.col("is_test") & (F.size(F.array_except("flags", drift_flags(F.col("target")))) == 0)
+    by_import = (
+        pending.select(*KEY, "is_test", "flags").join(shuffled(imported), KEY).where(of_test | of_code).groupBy(*KEY, "is_test").agg(F.min("target").alias("anchor"))
+        .select(*KEY, "anchor", F.when(F.col("is_test"), "owner-test").otherwise("owner-import").alias("rule"))
     )
 
     # owner-changelog, owner-test-data: beside any owner at all
-    settled = cut_lineage(settled.unionByName(by_test).unionByName(by_code))
+    settled = cut_lineage(settled.unionByName(by_import))
     first_owner = direct.groupBy("change_id").agg(F.min("path").alias("anchor"))
     changelog = F.lower(P.basename(path)).isin(*fixed.CHANGELOG_NAMES)
-    data = P.is_test_data(path) & ~F.col("is_test")
+    data = F.col("is_data") & ~F.col("is_test")
     noted = (
         pending.where(changelog | data).join(settled, KEY, "left_anti").join(first_owner, "change_id")
         .select(*KEY, "anchor", F.when(changelog, "owner-changelog").otherwise("owner-test-data").alias("rule"))
     )
 
     # owner-doc: added lines write the path or the telling name of a file in scope
-    settled = settled.unionByName(noted)
-    named = confirmed.unionByName(settled.select(*KEY)).where(~P.is_doc(path)).distinct()
+    settled = settled.unionByName(cut_lineage(noted))
+    named = confirmed.where("not is_doc").select(*KEY, "is_data").unionByName(settled.where(~P.is_doc(path)).select(*KEY, P.is_test_data(path).alias("is_data")))
     base = P.basename(path)
     telling = base.contains(".") & ~F.lower(F.regexp_replace(base, r"\.[^.]+$", "")).isin(*fixed.GENERIC_STEMS)
     marks = named.select(
-        "change_id", F.explode(F.array_compact(F.array(path, F.when(telling, base)))).alias("mark"),
-        F.struct(P.is_test_data(path).alias("data"), path.alias("path")).alias("target"),
+        "change_id", F.explode(F.array_compact(F.array(path, F.when(telling, base)))).alias("mark"), F.struct(F.col("is_data").alias("data"), path.alias("path")).alias("target"),
     ).groupBy("change_id", "mark").agg(F.min("target").alias("target"))
     docs = pending.where("is_doc").join(settled, KEY, "left_anti").select(*KEY)
     # A mention is a whole word of a line: the path itself, or its last segment.
     spoken = F.transform(F.regexp_extract_all("text", F.lit(r"([\w./@()\[\]-]+)"), 1), lambda w: F.regexp_replace(F.regexp_replace(w, r"^(?:[@~#.(]*/)+", ""), r"[.)\]]+$", ""))
-    said = added_lines.join(docs, KEY, "left_semi").select(*KEY, F.explode(F.flatten(F.transform(spoken, lambda w: F.array(w, F.substring_index(w, "/", -1))))).alias("mark")).distinct()
-    by_doc = said.join(marks, ["change_id", "mark"]).groupBy(*KEY).agg(F.min("target").alias("t")).select(*KEY, F.col("t.path").alias("anchor"), F.lit("owner-doc").alias("rule"))
+    marked = F.array_distinct(F.flatten(F.transform(spoken, lambda w: F.array(w, F.substring_index(w, "/", -1)))))
+    said = added_lines.join(shuffled(docs), KEY, "left_semi").select(*KEY, F.explode(marked).alias("mark"))
+    by_doc = said.join(shuffled(marks), ["change_id", "mark"]).groupBy(*KEY).agg(F.min("target").alias("t")).select(*KEY, F.col("t.path").alias("anchor"), F.lit("owner-doc").alias("rule"))
     return settled.unionByName(by_doc).select(*KEY, "rule", "anchor")
 
 
@@ -215,16 +224,18 @@ def declared_closure(
     modules(change_id, directory); edges(change_id, src, dst) among the changed
     files; importers(change_id, path, importers). The named rules run once; the
     import and test rules join the files of the last round to the pending ones
-    until no file joins, and every round is checkpointed.
+    until no file joins, and every round is checkpointed. What a path says, which ties
+    can bring a file in, and the stems a test may cover are worked out before the rounds.
     """
     path = F.col("path")
-    pending = cut_lineage(
-        candidates.where(~P.is_secret(path)).select(*KEY).distinct().withColumns(
-            {"is_test": P.is_test(path), "is_doc": P.is_doc(path), "severe": _severe(path)}
-        )
-    )
-    rows = pending.select(*KEY, F.posexplode(T.path_scope_tokens(path)).alias("pos", "term"))
-    by_word = rows.join(terms, ["change_id", "term"]).groupBy(*KEY).agg(F.min_by("term", "pos").alias("anchor")).withColumn("rule", F.lit("request-word"))
+    facts = {"is_secret": P.is_secret(path), "is_test": P.is_test(path), "is_doc": P.is_doc(path), "severe": _severe(path), "stem": _source_stem(path), "folder": P.dirname(path), "tokens": T.path_scope_tokens(path)}
+    # One row per file of the change: candidates, files in scope, or both.
+    either = candidates.select(*KEY, F.lit(True).alias("waits"), F.lit(False).alias("scoped")).unionByName(scope.select(*KEY, F.lit(False).alias("waits"), F.lit(True).alias("scoped")))
+    files = shuffled(written(either.where("path is not null").groupBy(*KEY).agg(F.max("waits").alias("waits"), F.max("scoped").alias("scoped")), "closure"))
+    files = shuffled(written(P.with_path_facts(files, facts), "closure"))
+    pending = files.where("waits and not is_secret").select(*KEY, "is_test", "is_doc", "severe")
+    rows = files.where("waits and not is_secret").select(*KEY, F.posexplode("tokens").alias("pos", "term"))
+    by_word = cut_lineage(rows.join(shuffled(terms), ["change_id", "term"]).groupBy(*KEY).agg(F.min_by("term", "pos").alias("anchor")).withColumn("rule", F.lit("request-word")))
 
     def above(df: DataFrame) -> DataFrame:
         parts = P.directories(path)
@@ -232,19 +243,19 @@ def declared_closure(
         return df.select("*", F.explode(ups).alias("directory"))
 
     left = pending.join(by_word, KEY, "left_anti")
-    by_module = above(left).join(modules, ["change_id", "directory"]).groupBy(*KEY).agg(F.min("directory").alias("anchor")).withColumn("rule", F.lit("request-module"))
-    settled = by_word.unionByName(by_module)
+    by_module = above(left).join(shuffled(modules), ["change_id", "directory"]).groupBy(*KEY).agg(F.min("directory").alias("anchor")).withColumn("rule", F.lit("request-module"))
+    settled = by_word.unionByName(cut_lineage(by_module))
     configs = pending.where(path.rlike(fixed.CONFIG_FILE) & ~F.col("is_doc")).join(settled, KEY, "left_anti").select(*KEY)
     said = added_lines.join(configs, KEY, "left_semi").select(*KEY, "line", F.posexplode(T.scope_tokens(F.col("text"))).alias("pos", "term"))
-    by_config = said.join(terms, ["change_id", "term"]).groupBy(*KEY).agg(F.min_by("term", F.struct("line", "pos")).alias("anchor")).withColumn("rule", F.lit("request-config"))
-    settled = settled.unionByName(by_config)
+    by_config = said.join(shuffled(terms), ["change_id", "term"]).groupBy(*KEY).agg(F.min_by("term", F.struct("line", "pos")).alias("anchor")).withColumn("rule", F.lit("request-config"))
+    settled = settled.unionByName(cut_lineage(by_config))
 
     homes = owners.select("change_id", P.dirname(path).alias("directory"), path.alias("anchor"), F.array_sort(_severe(path)).alias("anchor_severe")).where(
         F.size(F.split("directory", "/")) >= 2
     )
     homes = homes.groupBy("change_id", "directory", "anchor_severe").agg(F.min("anchor").alias("anchor"))
     by_owner = (
-        above(pending.join(settled, KEY, "left_anti")).join(homes, ["change_id", "directory"])
+        above(pending.join(settled, KEY, "left_anti")).join(shuffled(homes), ["change_id", "directory"])
         .where(F.size(F.array_except("severe", "anchor_severe")) == 0)
         .groupBy(*KEY).agg(F.min("anchor").alias("anchor")).withColumn("rule", F.lit("owner-module"))
     )
@@ -253,30 +264,38 @@ def declared_closure(
     narrow = importers.where(F.col("importers") <= graph.SPECIFIC_IMPORTERS).select("change_id", path.alias("dst"))
     known = importers.select("change_id", path.alias("dst"))
     unknown = edges.select("change_id", "dst").join(known, ["change_id", "dst"], "left_anti")
-    specific = edges.join(narrow.unionByName(unknown).distinct(), ["change_id", "dst"], "left_semi")
-    ties = cut_lineage(
-        specific.select("change_id", F.col("src").alias("path"), F.col("dst").alias("anchor"))
-        .unionByName(specific.select("change_id", F.col("dst").alias("path"), F.col("src").alias("anchor"))).distinct()
-    )
-    frontier = scope.select(*KEY).distinct().unionByName(settled.select(*KEY))
+    specific = edges.join(shuffled(narrow.unionByName(unknown).distinct()), ["change_id", "dst"], "left_semi")
+    either_way = specific.select("change_id", F.col("src").alias("path"), F.col("dst").alias("anchor")).unionByName(specific.select("change_id", F.col("dst").alias("path"), F.col("src").alias("anchor")))
+    # Files that bring others in are neither tests nor docs; code also needs its severe flags on the anchor.
+    bringing = files.where("not is_test and not is_doc").select("change_id", path.alias("anchor"), F.col("severe").alias("anchor_severe"))
+    links = shuffled(written(
+        pending.where("not is_doc or is_test").join(shuffled(either_way), KEY).join(shuffled(bringing), ["change_id", "anchor"])
+        .where(F.col("is_test") | (F.size(F.array_except("severe", "anchor_severe")) == 0)).select(*KEY, "anchor", "is_test"),
+        "links",
+    ))
+    covers = shuffled(written(_cover_rows(pending.where("is_test")), "covers"))
+    generic = F.col("stem").isin(*fixed.GENERIC_STEMS)
+    homes = F.array(F.col("folder"), *[P.normalize(F.concat(F.col("folder"), F.lit(f"/{d}"))) for d in ("__tests__", "test", "tests")])
+    named = files.where("not is_test and not is_doc").select(*KEY, "scoped", "stem", "folder", generic.alias("generic"))
+    frontier = named.join(settled.select(*KEY, F.lit(True).alias("joined")), KEY, "left").where("scoped or joined").select(*KEY, "stem", "folder", "generic")
     while True:
-        sources = frontier.where(~P.is_test(path) & ~P.is_doc(path))
-        waiting = pending.where("not is_doc or is_test").join(settled, KEY, "left_anti")
-        linked = ties.join(sources.select("change_id", path.alias("anchor")), ["change_id", "anchor"], "left_semi")
-        near = waiting.join(linked, KEY)
-        tied_tests = near.where("is_test").groupBy(*KEY).agg(F.min("anchor").alias("anchor"), F.lit(0).alias("order"))
-        named_tests = tests_covering(waiting.where("is_test"), sources).withColumn("order", F.lit(1))
-        tests = tied_tests.unionByName(named_tests).groupBy(*KEY).agg(F.min_by("anchor", "order").alias("anchor")).withColumn("rule", F.lit("scope-test"))
-        code = near.where(~F.col("is_test") & (F.size(F.array_except("severe", _severe(F.col("anchor")))) == 0)).groupBy(*KEY).agg(F.min("anchor").alias("anchor")).withColumn("rule", F.lit("scope-import"))
-        fresh = cut_lineage(tests.unionByName(code).select(*KEY, "rule", "anchor"))
+        near = links.join(frontier.select("change_id", path.alias("anchor")), ["change_id", "anchor"], "left_semi")
+        tied = near.groupBy(*KEY, "is_test").agg(F.min("anchor").alias("anchor")).select(*KEY, "is_test", F.lit(0).alias("order"), "anchor")
+        plain = frontier.where("not generic").groupBy("change_id", "stem").agg(F.min("path").alias("anchor"))
+        close = frontier.where("generic").select("change_id", "stem", F.explode(homes).alias("folder"), "path").groupBy("change_id", "stem", "folder").agg(F.min("path").alias("anchor"))
+        by_name = _first_covered(covers, plain, close).select(*KEY, F.lit(True).alias("is_test"), F.lit(1).alias("order"), "anchor")
+        found = tied.unionByName(by_name).groupBy(*KEY, "is_test").agg(F.min_by("anchor", "order").alias("anchor"))
+        fresh = cut_lineage(
+            found.join(shuffled(settled.select(*KEY)), KEY, "left_anti").select(*KEY, F.when(F.col("is_test"), "scope-test").otherwise("scope-import").alias("rule"), "anchor")
+        )
         if fresh.isEmpty():
             break
-        settled = cut_lineage(settled.unionByName(fresh))
-        frontier = fresh.select(*KEY)
+        settled = settled.unionByName(fresh)
+        frontier = named.join(fresh.select(*KEY), KEY, "left_semi").select(*KEY, "stem", "folder", "generic")
     code_file = (
-        scope.select(*KEY).unionByName(settled.select(*KEY)).where(~P.is_doc(path) & ~P.is_test(path)).groupBy("change_id").agg(F.min("path").alias("anchor"))
+        named.join(settled.select(*KEY, F.lit(True).alias("joined")), KEY, "left").where("scoped or joined").groupBy("change_id").agg(F.min("path").alias("anchor"))
     )
-    docs = pending.where(F.col("is_doc") | path.rlike("(?i)" + fixed.TEMPLATE_SUFFIX)).join(settled, KEY, "left_anti").join(code_file, "change_id")
+    docs = pending.where(F.col("is_doc") | path.rlike("(?i)" + fixed.TEMPLATE_SUFFIX)).join(settled, KEY, "left_anti").join(shuffled(code_file), "change_id")
     return settled.unionByName(docs.select(*KEY, F.lit("scope-doc").alias("rule"), "anchor"))
 
 

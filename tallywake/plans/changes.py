@@ -21,7 +21,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("change_id"))
     rows = spread(table(spark, sf_dir, "lineitem")).join(shuffled(orders), "l_orderkey").join(shuffled(part), F.col("l_partkey") == F.col("p_partkey"))
     after = rows.groupBy("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber")).agg(F.min("path").alias("next_path"))
-    return rows.join(after, ["l_orderkey", "l_linenumber"], "left")
+    return rows.join(shuffled(after), ["l_orderkey", "l_linenumber"], "left")
 
 
 ITEMS_CTE = f"""{PATHS_CTE},
@@ -30,13 +30,18 @@ items as (select r.*, n.next_path from rowsx r left join (select l_orderkey, l_l
 """
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kept_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``items`` written once, for queries that read them several times."""
+    return shuffled(written(items(spark, sf_dir).select("change_id", "path", "next_path", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"), "items"))
+
+
+def predictions(rows: DataFrame) -> DataFrame:
     role = F.when(F.col("l_returnflag") == "N", "supporting").when(F.col("l_linenumber") % 2 == 0, "required").otherwise("advisory")
-    return items(spark, sf_dir).where("l_returnflag in ('A', 'N')").select("change_id", "path", role.alias("role"))
+    return rows.where("l_returnflag in ('A', 'N')").select("change_id", "path", role.alias("role"))
 
 
-def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).where("l_linestatus = 'O'").select("change_id", "path")
+def changed(rows: DataFrame) -> DataFrame:
+    return rows.where("l_linestatus = 'O'").select("change_id", "path")
 
 
 COMPARED_CTE = f"""{ITEMS_CTE},
@@ -48,19 +53,19 @@ compared as (select * from (select coalesce(p.change_id, c.change_id) as change_
 """
 
 
-def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.compare_predicted(predictions(spark, sf_dir), changed(spark, sf_dir))
+def compared(rows: DataFrame) -> DataFrame:
+    return c.compare_predicted(predictions(rows), changed(rows))
 
 
 def j9_compare_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(spark, sf_dir)
+    return compared(items(spark, sf_dir))
 
 
 J9_SQL = f"with {COMPARED_CTE} select * from compared"
 
 
 def j9_prediction_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.prediction_verdicts(compared(spark, sf_dir))
+    return c.prediction_verdicts(compared(items(spark, sf_dir)))
 
 
 J9V_SQL = f"""with {COMPARED_CTE},
@@ -70,8 +75,9 @@ select *, case when direct > 0 and missed = 0 then 'confirmed' when direct = 0 a
 
 
 def j10_compare_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared = items(spark, sf_dir).where("l_returnflag <> 'R'").select("change_id", "path", F.when(F.col("l_returnflag") == "A", "owner").otherwise("related").alias("role"))
-    return c.compare_declared(declared, changed(spark, sf_dir))
+    rows = items(spark, sf_dir)
+    declared = rows.where("l_returnflag <> 'R'").select("change_id", "path", F.when(F.col("l_returnflag") == "A", "owner").otherwise("related").alias("role"))
+    return c.compare_declared(declared, changed(rows))
 
 
 J10_SQL = f"""with {ITEMS_CTE},
@@ -81,20 +87,19 @@ select * from (select coalesce(d.change_id, g.change_id) as change_id, coalesce(
   from d full join g on g.change_id = d.change_id and g.path = d.path) where place is not null"""
 
 
-def added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def added_lines(rows: DataFrame) -> DataFrame:
     text = F.when(
         F.col("l_quantity").cast("int") % 3 == 0,
         F.concat(F.lit('import x from "@/'), F.regexp_replace(F.regexp_replace("next_path", "^src/", ""), r"\.[a-z]+$", ""), F.lit('"')),
     ).when(F.col("l_quantity").cast("int") % 3 == 1, F.concat(F.lit("see "), F.col("next_path"), F.lit(" for more"))).otherwise(
         F.concat(F.lit('const a = require("@/'), F.col("next_path"), F.lit('")')))
-    return items(spark, sf_dir).where("next_path is not null").select("change_id", "path", F.col("l_linenumber").alias("line"), text.alias("text"))
+    return rows.where("next_path is not null").select("change_id", "path", F.col("l_linenumber").alias("line"), text.alias("text"))
 
 
-def inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir)
+def inferred(rows: DataFrame, places: DataFrame) -> DataFrame:
     added = rows.where("l_linenumber % 2 = 1").select("change_id", "path")
     mapped = rows.where("l_quantity > 10").select("change_id", "path")
-    return c.infer_scope(compared(spark, sf_dir), added, mapped, added_lines(spark, sf_dir))
+    return c.infer_scope(places, added, mapped, added_lines(rows))
 
 
 # Flags that need no kind from the code map, as drift sees them.
@@ -141,14 +146,17 @@ inferred as (select * from set3 union all select * from bd)
 
 
 def j11_infer_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inferred(spark, sf_dir)
+    rows = kept_items(spark, sf_dir)
+    return inferred(rows, compared(rows))
 
 
 J11_SQL = f"with {INFER_CTE} select change_id, path, rule, anchor from inferred"
 
 
 def a29_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.convergence(compared(spark, sf_dir), inferred(spark, sf_dir))
+    rows = kept_items(spark, sf_dir)
+    places = shuffled(written(compared(rows), "places"))
+    return c.convergence(places, inferred(rows, places))
 
 
 DRIFT_WEIGHT = "coalesce(list_max(list_transform(f0, lambda f: case f when 'auth/security' then 25 when 'money flow' then 25 when 'data model' then 15 when 'configuration' then 10 else 5 end)), 5)"
@@ -165,16 +173,16 @@ select change_id, direct, predicted, changed, on_task, cast(floor(c + 0.5) as bi
 
 def j12_declared_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repositories are not in play here: imports run between neighbouring items of an order."""
-    rows = items(spark, sf_dir)
+    rows = kept_items(spark, sf_dir)
     declared = rows.where("l_returnflag = 'A'").select("change_id", "path")
-    every = changed(spark, sf_dir).distinct()
+    every = changed(rows).distinct()
     scope = every.join(declared, ["change_id", "path"], "left_semi")
     candidates = every.join(declared, ["change_id", "path"], "left_anti")
     areas = rows.select("change_id", F.when(F.col("l_quantity") > 40, "billing").when(F.col("l_quantity") > 30, "users").alias("term")).where("term is not null").distinct()
     modules = rows.where("l_quantity > 40").select("change_id", P.dirname(F.col("path")).alias("directory")).distinct()
     edges = rows.where("next_path is not null and path <> next_path").select("change_id", F.col("path").alias("src"), F.col("next_path").alias("dst")).distinct()
     importers = edges.groupBy("change_id", F.col("dst").alias("path")).agg(F.count("*").alias("importers"))
-    return c.declared_closure(scope, candidates, declared, areas, modules, edges, importers, added_lines(spark, sf_dir))
+    return c.declared_closure(scope, candidates, declared, areas, modules, edges, importers, added_lines(rows))
 
 
 def change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,8 +550,10 @@ from orders where o_orderpriority in ('1-URGENT', '2-HIGH', '5-LOW') group by 1,
 
 
 def c13_scope_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    amended = items(spark, sf_dir).where("l_returnflag = 'N'").select("change_id", "path")
-    return k.scope_contract(compared(spark, sf_dir), inferred(spark, sf_dir), amended)
+    rows = kept_items(spark, sf_dir)
+    places = shuffled(written(compared(rows), "places"))
+    amended = rows.where("l_returnflag = 'N'").select("change_id", "path")
+    return k.scope_contract(places, inferred(rows, places), amended)
 
 
 C13_SQL = f"""with {INFER_CTE},

@@ -33,3 +33,30 @@ def test_parts_and_their_owners_are_not_sent_through_the_driver(spark, shop):
     assert "Broadcast" not in planned(plans.owned_paths(spark, shop))
     # Only the few team members go to every task.
     assert planned(plans.approval_rows(spark, shop)).count("BroadcastHashJoin") <= 1
+
+
+@pytest.mark.parametrize("name", ["j11_infer_scope", "j12_declared_closure", "a29_convergence", "c13_scope_contract"])
+def test_items_are_joined_once(spark, shop, monkeypatch, name):
+    """Every rule reads the rows that were written, not the joins they come from."""
+    made, real = [], plans.items
+
+    def counted(*args):
+        made.append(args)
+        return real(*args)
+
+    monkeypatch.setattr(plans, "items", counted)
+    assert plans.QUERIES[name][0](spark, shop).count() > 0
+    assert len(made) == 1
+
+
+def test_closure_takes_generic_sources_beside_their_tests_only(spark):
+    from tallywake.operators import changes as c
+
+    df = lambda *paths: spark.createDataFrame([(1, p) for p in paths], "change_id int, path string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    out = c.declared_closure(
+        df("src/a/index.ts", "src/b/cart.ts"), df("src/a/index.test.ts", "src/b/index.test.ts", "tests/cart-total.test.ts", "src/c/other.test.ts"), none("change_id int, path string"),
+        none("change_id int, term string"), none("change_id int, directory string"), none("change_id int, src string, dst string"), none("change_id int, path string, importers int"),
+        none("change_id int, path string, line int, text string"),
+    )
+    assert {r.path: (r.rule, r.anchor) for r in out.collect()} == {"src/a/index.test.ts": ("scope-test", "src/a/index.ts"), "tests/cart-total.test.ts": ("scope-test", "src/b/cart.ts")}
