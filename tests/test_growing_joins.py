@@ -60,3 +60,18 @@ def test_closure_takes_generic_sources_beside_their_tests_only(spark):
         none("change_id int, path string, line int, text string"),
     )
     assert {r.path: (r.rule, r.anchor) for r in out.collect()} == {"src/a/index.test.ts": ("scope-test", "src/a/index.ts"), "tests/cart-total.test.ts": ("scope-test", "src/b/cart.ts")}
+
+
+def test_terms_of_files_meet_the_few_wanted_ones_unshuffled(spark):
+    from tallywake.operators import impact as m
+
+    files = spark.createDataFrame(
+        [("r", f"src/pay{i}/cart{i}.ts", "source", "en", None, None, False, [(f"pay cart {i}", "function")], ["cart"], []) for i in range(6)] + [("r", "tests/cart.test.ts", "test", "en", None, None, False, [("x", "function")], [], [])],
+        "repo_id string, path string, kind string, domain string, route string, controller string, is_vendor boolean, symbols array<struct<name:string,type:string>>, exports array<string>, imports array<string>",
+    )
+    scored = m.score_files(spark.createDataFrame([(1, "r", "fix the cart payments")], "request_id int, repo_id string, text string"), files)
+    assert planned(scored).count("BroadcastHashJoin") >= 3
+    assert scored.count() == 7
+    tests = m.related_tests(m.top_files(scored, 2), files)
+    assert "LeftSemi, BuildRight" in planned(tests)
+    assert [r.test for r in tests.collect()] == ["tests/cart.test.ts"]
