@@ -75,3 +75,51 @@ def test_terms_of_files_meet_the_few_wanted_ones_unshuffled(spark):
     tests = m.related_tests(m.top_files(scored, 2), files)
     assert "LeftSemi, BuildRight" in planned(tests)
     assert [r.test for r in tests.collect()] == ["tests/cart.test.ts"]
+
+
+def test_words_of_files_meet_the_wanted_ones_unshuffled(spark):
+    """Scores by field shuffle each file once, and symbols only what matched."""
+    from tallywake.functions import fixed_values as fixed
+    from tallywake.operators import context as x
+    from tallywake.session import written
+
+    none = []
+    rows = [("r", f"src/pay{i}/cart{i}.ts", "source", "en", ["en"], None, None, "r", None, False, none, none, ["cart"], none, none, none, [(f"pay cart cart {i}", "method", 1, none)], 0) for i in range(6)]
+    files = spark.createDataFrame(
+        [*rows, rows[0]],
+        "repo_id string, path string, kind string, domain string, domains array<string>, route string, controller string, repo_name string, package_name string, is_vendor boolean, http array<string>, "
+        "imports array<string>, exports array<string>, form array<string>, navigation array<string>, local array<string>, symbols array<struct<name:string,type:string,line:int,terms:array<string>>>, data_access int",
+    )
+    requests = spark.createDataFrame([(1, "r", "fix the cart payments"), (2, "r", "art")], "request_id int, repo_id string, text string")
+    tokens = written(x.request_tokens(requests), "tokens")
+    terms = x.term_table(x.by_file(files))
+    matched = x.matched_terms(terms, tokens)
+    assert "BroadcastHashJoin" in planned(matched) and {r.word for r in matched.select("word").collect()} <= {"cart", "art", "payments", "payment", "fix"}
+    factors = written(x._factors(x.file_words(matched), tokens, files), "factors")
+    scores = x.field_scores(tokens, terms, factors, fixed.CATALOG_WEIGHTS, collections=(), caps={})
+    assert planned(scores).count("hashpartitioning") == 1  # the files themselves
+    # "cart" is a word of the path and of the symbol, and the export by itself; repeated rows are one file.
+    weights = fixed.CATALOG_WEIGHTS
+    want = {r.path: r.points for r in scores.where("request_id = 1").collect()}
+    factor = factors.where("token = 'cart'").first().factor
+    half_up = lambda v: int(v + 0.5)
+    assert set(want.values()) == {half_up(weights["path"] * factor) + half_up(weights["symbol"] * factor) + half_up(2 * weights["export"] * factor)} and len(want) == 6
+    assert scores.where("request_id = 2").count() == 6  # inside the longer word
+
+
+def test_lines_are_written_to_as_many_files_as_they_need(spark, monkeypatch):
+    from tallywake.plans import tables
+
+    monkeypatch.setattr(tables, "LINES_A_FILE", 100)
+    folder = tables.as_text_files(spark.range(1000).selectExpr("id", "cast(id as string) as value"), ["id"])
+    held = spark.read.text(folder).select("value", "_metadata.file_name").collect()
+    firsts = [min(int(r.value) for r in held if r.file_name == name) for name in sorted({r.file_name for r in held})]
+    assert len(held) == 1000 and len(firsts) == 10 and firsts == sorted(firsts)
+
+
+
+def test_parts_of_few_splits_are_read_by_all_cores(spark, shop):
+    from tallywake.plans import corpus
+
+    assert "RoundRobinPartitioning" in planned(corpus.dep_texts(spark, shop))
+    assert "RoundRobinPartitioning" in planned(corpus.dep_requests(spark, shop))
