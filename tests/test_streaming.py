@@ -190,3 +190,167 @@ def test_micro_batches_reach_the_merge(spark, tmp_path):
     query = jobs.merge_batches(replay(spark, df, tmp_path, "merge"), str(tmp_path / "cp2"), lambda batch, n: seen.append(batch.count()))
     query.awaitTermination()
     assert sum(seen) == 2
+
+
+class HeldState:
+    """State of one key in memory, which counts the calls that would go to the JVM."""
+
+    def __init__(self):
+        self.calls, self.states, self.timers = 0, {}, set()
+
+    def getMapState(self, name, *schemas):
+        return HeldMap(self, self.states.setdefault(name, {}))
+
+    def getValueState(self, name, *schemas):
+        return HeldValue(self, self.states.setdefault(name, {}))
+
+    def registerTimer(self, ts):
+        self.calls += 1
+        self.timers.add(ts)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def getExpiryTimeInMs(self):
+        return self.now
+
+    def arrive(self, processor, key, rows):
+        return list(processor.handleInputRows(key, iter(rows), self))
+
+    def pass_to(self, processor, key, watermark):
+        self.watermark, out = watermark, []
+        while any(t < watermark for t in self.timers):
+            self.now = min(self.timers)
+            self.timers.remove(self.now)
+            out += processor.handleExpiredTimer(key, self, self)
+        return out
+
+
+class HeldValue:
+    def __init__(self, owner, held):
+        self.owner, self.held = owner, held
+
+    def __getattribute__(self, name):
+        if name in ("owner", "held"):
+            return object.__getattribute__(self, name)
+        self.owner.calls += 1
+        return object.__getattribute__(self, "_" + name)
+
+    def _get(self):
+        return self.held.get(0)
+
+    def _update(self, value):
+        self.held[0] = value
+
+    def _clear(self):
+        self.held.clear()
+
+
+class HeldMap(HeldValue):
+    def _exists(self):
+        return bool(self.held)
+
+    def _getValue(self, key):
+        return self.held.get(key)
+
+    def _containsKey(self, key):
+        return key in self.held
+
+    def _updateValue(self, key, value):
+        self.held[key] = value
+
+    def _removeKey(self, key):
+        self.held.pop(key, None)
+
+    def _keys(self):
+        return iter(list(self.held))
+
+    def _iterator(self):
+        return iter(list(self.held.items()))
+
+
+def shuffled_runs(n):
+    from pyspark.sql import Row
+
+    verdicts = ["FAIL", "WARN", "PASS", "FAIL", "FAIL"]
+    rows = [Row(ts=(i * 7919 % n) * 60_000, seq=i, verdict=verdicts[i * 31 % 5], at=None) for i in range(n)]
+    return rows, sorted((r.ts, r.seq, r.verdict) for r in rows)
+
+
+def test_rows_of_a_key_share_their_state_calls(monkeypatch):
+    from tallywake.streaming import state
+
+    rows, ordered = shuffled_runs(5000)
+    for processor in (state.FollowThrough(90_000), state.FailStreaks(2, None)):
+        held = HeldState()
+        processor.init(held)
+        held.arrive(processor, ("r", "h"), rows)
+        out = held.pass_to(processor, ("r", "h"), 10**12)
+        assert len(out) == sum(v == "FAIL" or isinstance(processor, state.FollowThrough) and v == "WARN" for _, _, v in ordered)
+        assert held.calls < 50 and not held.states["waiting"]
+
+
+def test_waiting_rows_come_out_in_order_whatever_the_runs_and_watermarks(monkeypatch):
+    from tallywake.streaming import state
+
+    monkeypatch.setattr(state, "RUN_ROWS", 300, raising=False)
+    monkeypatch.setattr(state, "PIECE_ROWS", 40, raising=False)
+    rows, ordered = shuffled_runs(2000)
+    follow, streaks = state.FollowThrough(90_000), state.FailStreaks(2, 60_000)
+    got = {}
+    for processor in (follow, streaks):
+        held, out = HeldState(), []
+        processor.init(held)
+        held.arrive(processor, ("r", "h"), rows[:1500])
+        for watermark in (1, 1):  # nothing but the first time has passed, twice
+            out += held.pass_to(processor, ("r", "h"), watermark)
+        held.arrive(processor, ("r", "h"), [r for r in rows[1500:] if r.ts >= 1])
+        for watermark in (60_000, 60_001, 7_777_777, 10**12):
+            out += held.pass_to(processor, ("r", "h"), watermark)
+        got[processor] = out
+    want, fails = [], 0
+    for i, (ts, seq, verdict) in enumerate(ordered):
+        if verdict in ("WARN", "FAIL"):
+            after = ordered[i + 1] if i + 1 < len(ordered) and ordered[i + 1][0] - ts <= 90_000 else (None, None, None)
+            want.append((ts, seq, verdict, after[1], after[2]))
+    assert [(r.ts, r.seq, r.verdict, r.next_seq, r.next_verdict) for r in got[follow]] == want
+    want = []
+    for ts, seq, verdict in ordered:
+        fails = fails + 1 if verdict == "FAIL" else 0
+        if fails:
+            want.append((ts, seq, fails))
+    assert [(r.ts, r.seq, r.consecutive_fails) for r in got[streaks]] == want
+
+
+def test_records_of_a_ledger_share_their_state_calls(monkeypatch):
+    from pyspark.sql import Row
+
+    from tallywake.streaming import state
+
+    records = [Row(seq=r[1], prev_hash=r[2], record_hash=r[3], body=r[4], ts=r[5]) for r in chained([str(n) for n in range(1, 5001)])]
+    tail, held = state.LedgerTail(60_000), HeldState()
+    tail.init(held)
+    out = held.arrive(tail, ("l",), [r for r in reversed(records) if r.seq not in (3, 4, 2000, 5000)])
+    assert [r.seq for r in out] == [1, 2]
+    out = held.pass_to(tail, ("l",), 3_000_000)  # records to 2,939 are overdue; those behind them follow
+    assert [(r.seq, r.valid, r.lost) for r in out if not r.valid or r.lost] == [(3, False, 2), (5, False, 0), (2000, False, 1), (2001, False, 0)] and out[-1].seq == 4999
+    out = held.arrive(tail, ("l",), [records[4999], records[10]])
+    assert [(r.seq, r.valid) for r in out] == [(5000, True)]
+    assert held.calls < 100 and not held.states["waiting"]
+
+
+def test_filled_gaps_let_waiting_records_follow(monkeypatch):
+    from pyspark.sql import Row
+
+    from tallywake.streaming import state
+
+    monkeypatch.setattr(state, "BLOCK_RECORDS", 4, raising=False)
+    monkeypatch.setattr(state, "RUN_ROWS", 7, raising=False)
+    records = [Row(seq=r[1], prev_hash=r[2], record_hash=r[3], body=r[4], ts=r[5]) for r in chained([str(n) for n in range(1, 41)])]
+    tail, held = state.LedgerTail(60_000), HeldState()
+    tail.init(held)
+    batches = [records[20:30], records[5:15], [records[0]], records[1:5], [*records[15:17], *records[18:20]], [records[17]], [*reversed(records[31:])]]
+    seen = [[r.seq for r in held.arrive(tail, ("l",), batch)] for batch in batches]
+    assert seen == [[], [], [1], list(range(2, 16)), [16, 17], list(range(18, 31)), []]
+    out = held.pass_to(tail, ("l",), 10**12)
+    assert [(r.seq, r.lost) for r in out] == [(31, 1), *[(n, 0) for n in range(32, 41)]] and not held.states["waiting"]
