@@ -88,6 +88,12 @@ class Codes:
         """Ids in places start..stop-1: per level one slice, found by two ranks."""
         return self._span(0, start, stop)
 
+    def split(self, sizes: list[int]) -> list[memoryview]:
+        """All ids, cut into runs of these sizes, each as little-endian bytes: every level is read once, whatever the number of runs."""
+        ends = np.cumsum(sizes, dtype=np.int64)
+        raw = memoryview(self.span(0, int(ends[-1]) if len(ends) else 0).astype("<u4").tobytes())
+        return [raw[4 * (end - size) : 4 * end] for size, end in zip(sizes, ends.tolist())]
+
     def _span(self, depth: int, start: int, stop: int) -> np.ndarray:
         level = self.levels[depth]
         out = level.chunks[start:stop].astype(np.uint32)
@@ -189,9 +195,9 @@ def read_tokens(spark: SparkSession, path: str, id_type: T.DataType | None = Non
         for batch in batches:
             for i in range(batch.num_rows):
                 part, start, _, doc_ids, sizes, levels = (c[i].as_py() for c in batch.columns)
-                codes, places = _codes(levels), np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))
-                spans = [codes.span(int(a), int(b)).astype("<u4").tobytes() for a, b in zip(places[:-1], places[1:])]
-                columns = [doc_ids, [part] * len(sizes), (places[:-1] + start).tolist(), sizes, [zlib.crc32(s) for s in spans], *([spans] if with_ids else [])]
+                places = np.cumsum(sizes, dtype=np.int64) - sizes
+                spans = _codes(levels).split(sizes)
+                columns = [doc_ids, [part] * len(sizes), (places + start).tolist(), sizes, [zlib.crc32(s) for s in spans], *([[bytes(s) for s in spans]] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     reach_workers(spark)

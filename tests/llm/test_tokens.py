@@ -85,6 +85,38 @@ def test_codes_give_any_token_directly(top):
     assert len(token_file.Codes.of(ids[:0]).span(0, 0)) == 0
 
 
+def test_a_segment_is_decoded_once(monkeypatch):
+    """Documents of a segment are cut from its ids, not looked up one by one."""
+    sizes = [1, 700, 3, 0, 2000, 1]
+    ids = np.random.default_rng(5).integers(0, 49_000, sum(sizes)).astype(np.uint32)
+    codes, ranked, rank = token_file.Codes.of(ids), [], token_file.Level.rank
+    monkeypatch.setattr(token_file.Level, "rank", lambda self, i: ranked.append(1) or rank(self, i))
+    runs = codes.split(sizes)
+    assert [len(r) for r in runs] == [4 * n for n in sizes] and b"".join(runs) == ids.astype("<u4").tobytes()
+    assert len(ranked) < len(codes.levels) and token_file.Codes.of(ids[:0]).split([]) == []
+
+
+def test_new_words_go_through_the_library_in_slices():
+    """Its results hold some hundred bytes a token, so not all new words of a round are asked for at once."""
+    pieces_of = pieces.WordPieces(pieces.tokenizer_file("word_bpe_49k.json"))
+    asked = []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **kwargs):
+            asked.append(sum(len(t.split()) for t in texts))
+            return self.tokenizer.encode_batch_fast(texts, **kwargs)
+
+    letters = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(5000)]
+    text = " ".join([*letters, *(f"x{n}y" for n in range(3000))])
+    want = pieces_of.tokenizer.encode(text, add_special_tokens=False).ids
+    pieces_of.bare, pieces_of.tokenizer = Counted(pieces_of.bare), Counted(pieces_of.tokenizer)
+    assert next(pieces_of.ids(pa.array([text]))).tolist() == want
+    assert max(asked) <= 1000 and sum(asked) >= 8000
+
+
 def test_token_file(spark, documents, word_library, monkeypatch):
     monkeypatch.setattr(token_file, "SEGMENT_IDS", 64)
     docs = documents(AWKWARD)
