@@ -59,7 +59,7 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        each = ((r.ts, r.seq, r.verdict) for r in rows)
+        each = ((r.ts, r.seq, r.verdict) for r in rows if r.ts is not None)  # no watermark ever passes a row without a time
         while run := sorted(islice(each, RUN_ROWS)):
             for i in range(0, len(run), PIECE_ROWS):
                 self._wait(run[i : i + PIECE_ROWS])

@@ -322,6 +322,20 @@ def test_waiting_rows_come_out_in_order_whatever_the_runs_and_watermarks(monkeyp
     assert [(r.ts, r.seq, r.consecutive_fails) for r in got[streaks]] == want
 
 
+def test_rows_without_a_time_never_come_out():
+    from pyspark.sql import Row
+
+    from tallywake.streaming import state
+
+    rows = [Row(ts=ts, seq=n, verdict=v) for n, (ts, v) in enumerate([(5, "FAIL"), (None, "FAIL"), (None, None), (7, None), (3, "FAIL")])]
+    processor, held = state.FailStreaks(2, None), HeldState()
+    processor.init(held)
+    held.arrive(processor, ("r", "h"), rows)
+    assert [(r.seq, r.consecutive_fails) for r in held.pass_to(processor, ("r", "h"), 100)] == [(4, 1), (0, 2)]
+    held.arrive(processor, ("r", "g"), rows[1:3])
+    assert held.pass_to(processor, ("r", "g"), 200) == []
+
+
 def test_records_of_a_ledger_share_their_state_calls(monkeypatch):
     from pyspark.sql import Row
 
