@@ -22,7 +22,7 @@ from tallywake.llm.words import Texts, per_text, portions, words
 #: Words a dictionary holds before it starts anew: about 50 MB.
 DICTIONARY_WORDS = 1_000_000
 #: Bytes of text that share one look-up.
-ROUND_BYTES = 4 << 20
+ROUND_BYTES = 1 << 20
 _JOINED = 1000
 _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
@@ -33,6 +33,8 @@ _ODD[0x20:0x7F] = False
 _ODD[0x09:0x0E] = False
 _ODD[0x80:0xC0] = False
 _ODD[0xC3] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def tokenizer_file(name: str) -> str:
@@ -116,12 +118,11 @@ class WordPieces:
         self.table = IdTable(self._ids_of, most_words)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [ids for part in _slices(texts, _JOINED) for ids in _encoded(self.tokenizer, part)]
 
     def _stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all stems in a row, and where each ends."""
-        parts = [" ".join(stems[i : i + _JOINED]) for i in range(0, len(stems), _JOINED)]
-        ids = [np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(parts, add_special_tokens=False)]
+        ids = [_encoded(self.bare, [" ".join(part)])[0] for part in _slices(stems, _JOINED)]
         flat = np.concatenate([np.zeros(0, np.uint32), *ids])
         return flat, np.flatnonzero(self.ends_word[flat]) + 1
 
@@ -198,18 +199,31 @@ class WordPieces:
                 yield flat[cuts[i] : cuts[i + 1]] if plain[i] else self._whole([text_at(texts, i)])[0]
 
 
+def _slices(items: list, size: int) -> Iterator[list]:
+    return (items[i : i + size] for i in range(0, len(items), size))
+
+
+def _encoded(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    """Ids of some texts. The library's result holds some hundred bytes a token, so callers take few texts at a time."""
+    return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def gather(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The pieces ``source[starts[i]:starts[i] + sizes[i]]`` in a row."""
     ends = np.cumsum(sizes, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    return source[np.arange(total) + np.repeat(starts - ends + sizes, sizes)]
+    own = np.int32 if max(total, len(source)) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + sizes).astype(own), sizes)
+    at += np.arange(total, dtype=own)
+    return source[at]
 
 
 def folded_checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Length and byte sum of each word with A-Z lower-cased."""
-    upper = (data >= 0x41) & (data <= 0x5A)
-    run = np.concatenate((np.zeros(1, np.int64), np.cumsum(data + upper * np.uint8(32), dtype=np.int64)))
-    return (ends - starts) * 65536 + (run[ends] - run[starts]) % 65536
+    # Sums wrap at 32 bits; what is left of their difference by 65,536 does not.
+    run = np.zeros(len(data) + 1, np.uint32)
+    np.cumsum(_LOWER[data], dtype=np.uint32, out=run[1:])
+    return (ends - starts) * 65536 + ((run[ends] - run[starts]) % np.uint32(65536)).astype(np.int64)
 
 
 def text_at(texts: Texts, i: int) -> str:
@@ -222,5 +236,6 @@ _kept: dict[str, WordPieces] = {}
 def word_pieces(path: str) -> WordPieces:
     """One dictionary per Python worker, bounded in size; only a cache, so a lost worker loses nothing."""
     if path not in _kept:
+        pa.default_memory_pool().release_unused()  # what batches of earlier tasks left
         _kept[path] = WordPieces(path)
     return _kept[path]

@@ -143,7 +143,8 @@ def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over each text."""
-    run = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    run = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, dtype=np.int64, out=run[1:])
     return run[bounds[1:]] - run[bounds[:-1]]
 
 
