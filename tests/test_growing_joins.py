@@ -123,3 +123,69 @@ def test_parts_of_few_splits_are_read_by_all_cores(spark, shop):
 
     assert "RoundRobinPartitioning" in planned(corpus.dep_texts(spark, shop))
     assert "RoundRobinPartitioning" in planned(corpus.dep_requests(spark, shop))
+
+
+def test_words_are_runs_cut_at_capitals(spark):
+    from pyspark.sql import functions as F
+
+    from tallywake.functions import fixed_values as fixed
+    from tallywake.operators import terms as t
+
+    texts = ["HTTPServerError parseURLs2Go aB1C", "éclairÉa K1 Kelvin İx naïveCase", "the the cart-carts_CARTS", "", None, "x\ty\n9Z"]
+    replaced = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " "))
+    want = F.filter(F.split(replaced, " "), lambda w: (w != "") & ~w.isin(*fixed.IMPACT_STOP_WORDS))
+    got = spark.createDataFrame([(x,) for x in texts], "text string").select(t.impact_tokens(F.col("text")).alias("got"), t.distinct_impact_tokens(F.col("text")).alias("once"), want.alias("want")).collect()
+    assert got[0].got == ["httpserver", "error", "parse", "urls2", "go", "b1", "c"]
+    assert [(r.got, r.once) for r in got] == [(r.want, list(dict.fromkeys(r.want))) for r in got]
+
+
+def test_terms_of_files_are_counted_once_and_weighed_by_field(spark):
+    from pyspark.sql import functions as F
+
+    from tallywake.operators import impact as m
+
+    rows = [("r", "src/pay/cart.service.ts", "service", "en", None, "PayController", False, [("pay cartTotal", "function"), (None, "function")], ["pay"], ["auth"]), (None, "a.md", "doc", None, "x", None, False, None, None, None)]
+    files = spark.createDataFrame(
+        [*rows, rows[0]],
+        "repo_id string, path string, kind string, domain string, route string, controller string, is_vendor boolean, symbols array<struct<name:string,type:string>>, exports array<string>, imports array<string>",
+    )
+    got = m.file_terms(files)
+    key = ["repo_id", "path", "term"]
+    assert sorted(map(str, got.where("counted").select(*key).collect())) == sorted(map(str, m.file_frequency_terms(files).select(*key).collect()))
+    # Twice, as the file comes twice: path, symbol, export and controller; the extension and the domain weigh nothing.
+    weighed = got.where("weight is not null")
+    assert weighed.where("term = 'pay'").count() == 8 and weighed.where("term in ('ts', 'en')").count() == 0
+    assert not weighed.where("term = 'auth'").first().direct
+    assert {r.term for r in got.where(F.contains("term", F.lit(":"))).collect()} == {"concept:auth/security", "concept:money flow"}
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A few documents in two repositories and the requests of both."""
+    folder = tmp_path_factory.mktemp("corpus")
+    docs = [(k, f"Word{k % 5} session docs\ncheckout tests {k}", ["en", "fr", "de", "es"][k % 4], f"src{k % 2}", 30) for k in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, f"word{k % 5} login") for k in (0, 1, 20, 21)], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["j25_related_files"])
+def test_texts_of_documents_are_cut_up_once(spark, corpus, monkeypatch, name):
+    """One pass over the texts gives the terms, one the names of the files; every join reads those."""
+    from pyspark.sql import functions as F
+
+    from tallywake.plans import context, impact
+
+    read, real = spark.sparkContext.accumulator(0), impact.table
+
+    def passed(text):
+        read.add(1)
+        return text
+
+    def counted(spark, sf_dir, table):
+        rows = real(spark, sf_dir, table)
+        return rows.withColumn("text", F.udf(passed, "string").asNondeterministic()("text")) if table == "documents" else rows
+
+    monkeypatch.setattr(impact, "table", counted)
+    assert context.QUERIES[name][0](spark, corpus).count() > 0
+    assert read.value <= 2 * 60
