@@ -169,7 +169,7 @@ def corpus(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["j25_related_files", "j25_related_files_all"])
+@pytest.mark.parametrize("name", ["j25_related_files", "j25_related_files_all", "j24_selected_tests"])
 def test_texts_of_documents_are_cut_up_once(spark, corpus, monkeypatch, name):
     """One pass over the texts gives the terms, one the names of the files; every join reads those."""
     from pyspark.sql import functions as F
