@@ -7,6 +7,9 @@ equi-join, so a change with very many files never forms pairs of its files.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from tallywake.operators import terms as T
 from tallywake.session import cut_lineage, shuffled, written
 
 KEY = ["change_id", "path"]
+#: Every flag a path may raise by ``drift_flags``; the place is its bit in ``drift_mask``.
+DRIFT_FLAGS = [*fixed.RISK_WEIGHTS, "secret"]
 
 
 def compare_predicted(predictions: DataFrame, changes: DataFrame) -> DataFrame:
@@ -28,16 +33,19 @@ def compare_predicted(predictions: DataFrame, changes: DataFrame) -> DataFrame:
     direct, related, advisory, missed for changed paths and unconfirmed for a
     required path left alone. Other untouched predictions are not rows.
     """
-    rank = F.when(F.col("role") == "required", 0).when(F.col("role") == "supporting", 1).otherwise(2)
-    roles = predictions.groupBy(*KEY).agg(F.min_by("role", rank).alias("role"))
-    touched = changes.where("path <> ''").select(*KEY).distinct().withColumn("changed", F.lit(True))
-    both = roles.join(touched, KEY, "full_outer")
+    role, changed = F.col("role"), F.col("changed")
+    rank = F.when(role == "required", 0).when(role == "supporting", 1).when(role == "advisory", 2).otherwise(3)
+    rows = predictions.select(*KEY, rank.alias("role"), F.lit(False).alias("changed")).unionByName(
+        changes.where("path <> ''").select(*KEY, F.lit(None).cast("int").alias("role"), F.lit(True).alias("changed"))
+    )
+    # One shuffle of small rows. Files without a change are no one's: what was predicted and what was changed stay apart.
+    both = rows.groupBy(*KEY, F.when(F.col("change_id").isNull(), changed).alias("_apart")).agg(F.min("role").alias("role"), F.max("changed").alias("changed"))
     place = (
-        F.when(F.col("changed") & (F.col("role") == "required"), "direct")
-        .when(F.col("changed") & (F.col("role") == "supporting"), "related")
-        .when(F.col("changed") & (F.col("role") == "advisory"), "advisory")
-        .when(F.col("changed"), "missed")
-        .when(F.col("role") == "required", "unconfirmed")
+        F.when(changed & (role == 0), "direct")
+        .when(changed & (role == 1), "related")
+        .when(changed & (role == 2), "advisory")
+        .when(changed, "missed")
+        .when(role == 0, "unconfirmed")
     )
     return both.select(*KEY, place.alias("place")).where("place is not null")
 
@@ -77,8 +85,19 @@ def drift_weight(path: Column) -> Column:
     return F.coalesce(F.array_max(each), F.lit(fixed.DRIFT_DEFAULT))
 
 
+def drift_mask(path: Column, names: Sequence[str] = DRIFT_FLAGS) -> Column:
+    """Those of ``drift_flags`` that are ``names`` as the bits of a number, which rows carry instead of an array of words."""
+    bits = F.create_map(*[F.lit(x) for i, name in enumerate(DRIFT_FLAGS) if name in names for x in (name, 1 << i)])
+    return F.aggregate(drift_flags(path), F.lit(0), lambda mask, f: mask.bitwiseOR(F.coalesce(F.try_element_at(bits, f), F.lit(0))))
+
+
+def _covers(mask: Column, of: Column) -> Column:
+    """Whether every flag of ``of`` is one of ``mask``."""
+    return of.bitwiseAND(F.bitwise_not(mask)) == 0
+
+
 def _severe(path: Column) -> Column:
-    return F.array_intersect(drift_flags(path), lit_array(fixed.SEVERE_FLAGS))
+    return drift_mask(path, fixed.SEVERE_FLAGS)
 
 
 # ---------------------------------------------------------------- tests covering sources
@@ -95,11 +114,14 @@ def _source_stem(path: Column) -> Column:
 
 def _cover_keys_of_test(path: Column) -> Column:
     """Stems a test may cover: its subject, and what stands before each '.', '-' or '_' of it."""
-    subject = test_subject(path)
-    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(subject), F.lit(1))), lambda i: F.substring(subject, i, F.lit(1)).isin(".", "-", "_"))
-    heads = F.transform(cuts, lambda i: F.struct(F.substring(subject, F.lit(1), i - 1).alias("stem"), (F.substring(subject, i, F.lit(1)) != ".").alias("suffixed")))
-    whole = F.array(F.struct(subject.alias("stem"), F.lit(False).alias("suffixed")))
-    return F.filter(F.concat(whole, heads), lambda k: k["stem"] != "")
+
+    def stems(subject: Column) -> Column:
+        cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(subject), F.lit(1))), lambda i: F.substring(subject, i, F.lit(1)).isin(".", "-", "_"))
+        heads = F.transform(cuts, lambda i: F.struct(F.substring(subject, F.lit(1), i - 1).alias("stem"), (F.substring(subject, i, F.lit(1)) != ".").alias("suffixed")))
+        whole = F.array(F.struct(subject.alias("stem"), F.lit(False).alias("suffixed")))
+        return F.filter(F.concat(whole, heads), lambda k: k["stem"] != "")
+
+    return P.let(test_subject(path), stems)
 
 
 def tests_covering(tests: DataFrame, sources: DataFrame) -> DataFrame:
@@ -129,10 +151,14 @@ def _first_covered(keys: DataFrame, plain: DataFrame, near: DataFrame) -> DataFr
     return wide.unionByName(close).groupBy(*KEY).agg(F.min("anchor").alias("anchor"))
 
 
-def added_imports(added_lines: DataFrame, targets: DataFrame) -> DataFrame:
-    """(change_id, path, target): files among ``targets`` that a file's added lines import."""
+def added_imports(added_lines: DataFrame, targets: DataFrame, importers: DataFrame | None = None) -> DataFrame:
+    """(change_id, path, target): files among ``targets`` that a file's added lines import, of ``importers``(change_id, path) if they are given."""
     specs = F.regexp_extract_all("text", F.lit(fixed.IMPORT_SPECIFIER), 1)
-    wanted = added_lines.select(F.col("change_id").alias("repo_id"), F.col("path").alias("src"), F.explode(specs).alias("specifier")).distinct()
+    # The specifiers meet the files that are asked for, not the lines: those are longer, and most hold none.
+    wanted = added_lines.select(*KEY, F.explode(specs).alias("specifier"))
+    if importers is not None:
+        wanted = wanted.join(shuffled(importers), KEY, "left_semi")
+    wanted = wanted.select(F.col("change_id").alias("repo_id"), F.col("path").alias("src"), "specifier").distinct()
     files = targets.select(F.col("change_id").alias("repo_id"), "path").distinct()
     found = graph.resolve_imports(wanted, files)
     return found.select(F.col("repo_id").alias("change_id"), F.col("src").alias("path"), F.col("dst").alias("target")).distinct()
@@ -143,10 +169,10 @@ def _first_covering_flags(pending: DataFrame, anchors: DataFrame, keys: list[str
 
     anchors are first reduced to one row per key and flag set.
     """
-    sets = anchors.groupBy(*keys, F.array_sort(flags).alias("anchor_flags")).agg(F.min("anchor").alias("anchor"))
+    sets = anchors.groupBy(*keys, flags.alias("anchor_flags")).agg(F.min("anchor").alias("anchor"))
     return (
         pending.join(sets, keys)
-        .where(F.size(F.array_except("flags", "anchor_flags")) == 0)
+        .where(_covers(F.col("anchor_flags"), F.col("flags")))
         .groupBy(*KEY)
         .agg(F.min("anchor").alias("anchor"))
     )
@@ -161,7 +187,7 @@ def infer_scope(compared: DataFrame, added_files: DataFrame, mapped_files: DataF
     path = F.col("path")
     # Seven rules read these rows: what a path says is worked out once per distinct path and kept.
     touched = shuffled(written(compared.where(F.col("place").isin("missed", "advisory", "direct", "related")).select(*KEY, "place"), "compared"))
-    facts = {"is_test": P.is_test(path), "is_doc": P.is_doc(path), "is_secret": P.is_secret(path), "is_data": P.is_test_data(path), "flags": drift_flags(path)}
+    facts = {"is_test": P.is_test(path), "is_doc": P.is_doc(path), "is_secret": P.is_secret(path), "is_data": P.is_test_data(path), "flags": drift_mask(path)}
     rows = shuffled(written(P.with_path_facts(touched, facts), "compared"))
     pending = rows.where("place in ('missed', 'advisory') and not is_secret").drop("place")
     direct = rows.where("place = 'direct'")
@@ -180,9 +206,9 @@ def infer_scope(compared: DataFrame, added_files: DataFrame, mapped_files: DataF
     # owner-import: added lines import a confirmed file
     settled = cut_lineage(sibling.unionByName(covered))
     rest = pending.where("not is_doc").select(*KEY).join(settled, KEY, "left_anti")
-    imported = added_imports(added_lines.join(shuffled(rest), KEY, "left_semi"), confirmed)
+    imported = added_imports(added_lines, confirmed, rest)
     of_test = F.col("is_test") & ~P.is_test(F.col("target"))
-    of_code = ~F.col("is_test") & (F.size(F.array_except("flags", drift_flags(F.col("target")))) == 0)
+    of_code = ~F.col("is_test") & _covers(drift_mask(F.col("target")), F.col("flags"))
     by_import = (
         pending.select(*KEY, "is_test", "flags").join(shuffled(imported), KEY).where(of_test | of_code).groupBy(*KEY, "is_test").agg(F.min("target").alias("anchor"))
         .select(*KEY, "anchor", F.when(F.col("is_test"), "owner-test").otherwise("owner-import").alias("rule"))
@@ -210,7 +236,7 @@ def infer_scope(compared: DataFrame, added_files: DataFrame, mapped_files: DataF
     # A mention is a whole word of a line: the path itself, or its last segment.
     spoken = F.transform(F.regexp_extract_all("text", F.lit(r"([\w./@()\[\]-]+)"), 1), lambda w: F.regexp_replace(F.regexp_replace(w, r"^(?:[@~#.(]*/)+", ""), r"[.)\]]+$", ""))
     marked = F.array_distinct(F.flatten(F.transform(spoken, lambda w: F.array(w, F.substring_index(w, "/", -1)))))
-    said = added_lines.join(shuffled(docs), KEY, "left_semi").select(*KEY, F.explode(marked).alias("mark"))
+    said = added_lines.where(P.is_doc(path)).join(shuffled(docs), KEY, "left_semi").select(*KEY, F.explode(marked).alias("mark"))
     by_doc = said.join(shuffled(marks), ["change_id", "mark"]).groupBy(*KEY).agg(F.min("target").alias("t")).select(*KEY, F.col("t.path").alias("anchor"), F.lit("owner-doc").alias("rule"))
     return settled.unionByName(by_doc).select(*KEY, "rule", "anchor")
 
@@ -229,54 +255,62 @@ def declared_closure(
     """
     path = F.col("path")
     facts = {"is_secret": P.is_secret(path), "is_test": P.is_test(path), "is_doc": P.is_doc(path), "severe": _severe(path), "stem": _source_stem(path), "folder": P.dirname(path), "tokens": T.path_scope_tokens(path)}
-    # One row per file of the change: candidates, files in scope, or both.
-    either = candidates.select(*KEY, F.lit(True).alias("waits"), F.lit(False).alias("scoped")).unionByName(scope.select(*KEY, F.lit(False).alias("waits"), F.lit(True).alias("scoped")))
-    files = shuffled(written(either.where("path is not null").groupBy(*KEY).agg(F.max("waits").alias("waits"), F.max("scoped").alias("scoped")), "closure"))
+    # One row per file of the change: candidates, files in scope, owners, or several of these.
+    parts = {"waits": candidates, "scoped": scope, "owns": owners}
+    either = reduce(DataFrame.unionByName, [df.select(*KEY, *[F.lit(name == own).alias(name) for name in parts]) for own, df in parts.items()])
+    files = shuffled(written(either.where("path is not null").groupBy(*KEY).agg(*[F.max(name).alias(name) for name in parts]), "closure"))
     files = shuffled(written(P.with_path_facts(files, facts), "closure"))
     pending = files.where("waits and not is_secret").select(*KEY, "is_test", "is_doc", "severe")
-    rows = files.where("waits and not is_secret").select(*KEY, F.posexplode("tokens").alias("pos", "term"))
-    by_word = cut_lineage(rows.join(shuffled(terms), ["change_id", "term"]).groupBy(*KEY).agg(F.min_by("term", "pos").alias("anchor")).withColumn("rule", F.lit("request-word")))
+    # Most words of files are words of no intent: they are left out before the rest meet the intents of their change.
+    terms = shuffled(written(terms.select("change_id", "term").distinct(), "terms"))
+    asked = written(terms.select("term").distinct(), "asked")
+    rows = files.where("waits and not is_secret").select(*KEY, F.posexplode("tokens").alias("pos", "term")).join(asked, "term", "left_semi")
+    by_word = cut_lineage(rows.join(terms, ["change_id", "term"]).groupBy(*KEY).agg(F.min(F.struct("pos", "term")).alias("first")).select(*KEY, F.col("first.term").alias("anchor"), F.lit("request-word").alias("rule")))
 
-    def above(df: DataFrame) -> DataFrame:
+    def above(df: DataFrame, *columns: str) -> DataFrame:
         parts = P.directories(path)
         ups = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).otherwise(F.array().cast("array<string>"))
-        return df.select("*", F.explode(ups).alias("directory"))
+        return df.select(*KEY, *columns, F.explode(ups).alias("directory"))
 
     left = pending.join(by_word, KEY, "left_anti")
     by_module = above(left).join(shuffled(modules), ["change_id", "directory"]).groupBy(*KEY).agg(F.min("directory").alias("anchor")).withColumn("rule", F.lit("request-module"))
     settled = by_word.unionByName(cut_lineage(by_module))
     configs = pending.where(path.rlike(fixed.CONFIG_FILE) & ~F.col("is_doc")).join(settled, KEY, "left_anti").select(*KEY)
-    said = added_lines.join(configs, KEY, "left_semi").select(*KEY, "line", F.posexplode(T.scope_tokens(F.col("text"))).alias("pos", "term"))
-    by_config = said.join(shuffled(terms), ["change_id", "term"]).groupBy(*KEY).agg(F.min_by("term", F.struct("line", "pos")).alias("anchor")).withColumn("rule", F.lit("request-config"))
+    # Files that are no configuration are left out before the lines of the others meet them.
+    said = added_lines.where(path.rlike(fixed.CONFIG_FILE)).join(configs, KEY, "left_semi").select(*KEY, "line", F.posexplode(T.scope_tokens(F.col("text"))).alias("pos", "term")).join(asked, "term", "left_semi")
+    by_config = said.join(terms, ["change_id", "term"]).groupBy(*KEY).agg(F.min_by("term", F.struct("line", "pos")).alias("anchor")).withColumn("rule", F.lit("request-config"))
     settled = settled.unionByName(cut_lineage(by_config))
 
-    homes = owners.select("change_id", P.dirname(path).alias("directory"), path.alias("anchor"), F.array_sort(_severe(path)).alias("anchor_severe")).where(
+    homes = files.where("owns").select("change_id", F.col("folder").alias("directory"), path.alias("anchor"), F.col("severe").alias("anchor_severe")).where(
         F.size(F.split("directory", "/")) >= 2
     )
     homes = homes.groupBy("change_id", "directory", "anchor_severe").agg(F.min("anchor").alias("anchor"))
     by_owner = (
-        above(pending.join(settled, KEY, "left_anti")).join(shuffled(homes), ["change_id", "directory"])
-        .where(F.size(F.array_except("severe", "anchor_severe")) == 0)
+        above(pending.join(settled, KEY, "left_anti"), "severe").join(shuffled(homes), ["change_id", "directory"])
+        .where(_covers(F.col("anchor_severe"), F.col("severe")))
         .groupBy(*KEY).agg(F.min("anchor").alias("anchor")).withColumn("rule", F.lit("owner-module"))
     )
     settled = cut_lineage(settled.unionByName(by_owner).select(*KEY, "rule", "anchor"))
 
-    narrow = importers.where(F.col("importers") <= graph.SPECIFIC_IMPORTERS).select("change_id", path.alias("dst"))
-    known = importers.select("change_id", path.alias("dst"))
-    unknown = edges.select("change_id", "dst").join(known, ["change_id", "dst"], "left_anti")
-    specific = edges.join(shuffled(narrow.unionByName(unknown).distinct()), ["change_id", "dst"], "left_semi")
-    either_way = specific.select("change_id", F.col("src").alias("path"), F.col("dst").alias("anchor")).unionByName(specific.select("change_id", F.col("dst").alias("path"), F.col("src").alias("anchor")))
+    few = importers.groupBy("change_id", path.alias("dst")).agg(F.max(F.coalesce(F.col("importers") <= graph.SPECIFIC_IMPORTERS, F.lit(False))).alias("few"))
+    specific = edges.select("change_id", "src", "dst").join(shuffled(few), ["change_id", "dst"], "left").where(F.coalesce("few", F.lit(True)))
     # Files that bring others in are neither tests nor docs; code also needs its severe flags on the anchor.
-    bringing = files.where("not is_test and not is_doc").select("change_id", path.alias("anchor"), F.col("severe").alias("anchor_severe"))
-    links = shuffled(written(
-        pending.where("not is_doc or is_test").join(shuffled(either_way), KEY).join(shuffled(bringing), ["change_id", "anchor"])
-        .where(F.col("is_test") | (F.size(F.array_except("severe", "anchor_severe")) == 0)).select(*KEY, "anchor", "is_test"),
-        "links",
-    ))
+    # Both ends of an edge get what their paths say, and then the edge is read either way.
+    traits = F.struct((F.col("waits") & ~F.col("is_secret") & (~F.col("is_doc") | F.col("is_test"))).alias("joins"), (~F.col("is_test") & ~F.col("is_doc")).alias("brings"), "is_test", "severe")
+    ends = files.where("waits or scoped").select("change_id", path.alias("end"), traits.alias("t"))
+    paired = specific.join(shuffled(ends.select("change_id", F.col("end").alias("dst"), F.col("t").alias("d"))), ["change_id", "dst"])
+    paired = paired.join(shuffled(ends.select("change_id", F.col("end").alias("src"), F.col("t").alias("s"))), ["change_id", "src"])
+
+    def link(file: str, of: str, anchor: str, by: str) -> Column:
+        usable = F.col(f"{of}.joins") & F.col(f"{by}.brings") & (F.col(f"{of}.is_test") | _covers(F.col(f"{by}.severe"), F.col(f"{of}.severe")))
+        return F.when(usable, F.struct(F.col(file).alias("path"), F.col(anchor).alias("anchor"), F.col(f"{of}.is_test").alias("is_test")))
+
+    either_way = F.array_compact(F.array(link("src", "s", "dst", "d"), link("dst", "d", "src", "s")))
+    links = shuffled(written(paired.select("change_id", F.explode(either_way).alias("l")).select("change_id", "l.*"), "links"))
     covers = shuffled(written(_cover_rows(pending.where("is_test")), "covers"))
     generic = F.col("stem").isin(*fixed.GENERIC_STEMS)
     homes = F.array(F.col("folder"), *[P.normalize(F.concat(F.col("folder"), F.lit(f"/{d}"))) for d in ("__tests__", "test", "tests")])
-    named = files.where("not is_test and not is_doc").select(*KEY, "scoped", "stem", "folder", generic.alias("generic"))
+    named = files.where("(waits or scoped) and not is_test and not is_doc").select(*KEY, "scoped", "stem", "folder", generic.alias("generic"))
     frontier = named.join(settled.select(*KEY, F.lit(True).alias("joined")), KEY, "left").where("scoped or joined").select(*KEY, "stem", "folder", "generic")
     while True:
         near = links.join(frontier.select("change_id", path.alias("anchor")), ["change_id", "anchor"], "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywake.functions import fixed_values as fixed
@@ -19,9 +19,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item: its change, its path, and the path of the item after it in the order."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.expr(PATH_SQL).alias("path"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("change_id"))
-    rows = spread(table(spark, sf_dir, "lineitem")).join(shuffled(orders), "l_orderkey").join(shuffled(part), F.col("l_partkey") == F.col("p_partkey"))
-    after = rows.groupBy("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber")).agg(F.min("path").alias("next_path"))
-    return rows.join(shuffled(after), ["l_orderkey", "l_linenumber"], "left")
+    lines = spread(table(spark, sf_dir, "lineitem").where("l_orderkey is not null")).join(shuffled(part), F.col("l_partkey") == F.col("p_partkey"))
+    # The join with the orders finds the lines as the window leaves them: each path is shuffled once.
+    after = F.min("path").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1))
+    return lines.withColumn("next_path", F.when(F.col("l_linenumber").isNotNull(), after)).join(shuffled(orders), "l_orderkey")
 
 
 ITEMS_CTE = f"""{PATHS_CTE},
@@ -174,10 +175,11 @@ select change_id, direct, predicted, changed, on_task, cast(floor(c + 0.5) as bi
 def j12_declared_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repositories are not in play here: imports run between neighbouring items of an order."""
     rows = kept_items(spark, sf_dir)
-    declared = rows.where("l_returnflag = 'A'").select("change_id", "path")
-    every = changed(rows).distinct()
-    scope = every.join(declared, ["change_id", "path"], "left_semi")
-    candidates = every.join(declared, ["change_id", "path"], "left_anti")
+    flagged = lambda rule: F.coalesce(F.max(F.expr(rule)), F.lit(False))
+    files = written(rows.groupBy("change_id", "path").agg(flagged("l_linestatus = 'O'").alias("changed"), flagged("l_returnflag = 'A'").alias("declared")).where("changed or declared"), "files")
+    declared = files.where("declared and change_id is not null and path is not null").select("change_id", "path")
+    scope = files.where("changed and declared and change_id is not null and path is not null").select("change_id", "path")
+    candidates = files.where("changed and not (declared and change_id is not null and path is not null)").select("change_id", "path")
     areas = rows.select("change_id", F.when(F.col("l_quantity") > 40, "billing").when(F.col("l_quantity") > 30, "users").alias("term")).where("term is not null").distinct()
     modules = rows.where("l_quantity > 40").select("change_id", P.dirname(F.col("path")).alias("directory")).distinct()
     edges = rows.where("next_path is not null and path <> next_path").select("change_id", F.col("path").alias("src"), F.col("next_path").alias("dst")).distinct()

@@ -1,6 +1,7 @@
 """Joins and tables of queries whose inputs grow, as they are planned."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallywake.plans import changes as plans
 
@@ -49,6 +50,85 @@ def test_items_are_joined_once(spark, shop, monkeypatch, name):
     assert len(made) == 1
 
 
+def test_paths_of_items_are_shuffled_once(spark, shop):
+    """Lines meet their part and then their order; the line after is looked up where they lie by then."""
+    made = plans.items(spark, shop)
+    assert planned(made).count("Exchange hashpartitioning") == 4
+    rows = made.select("l_orderkey", "l_linenumber", "path", "next_path").collect()
+    after = lambda r: [x.path for x in rows if x.l_orderkey == r.l_orderkey and r.l_linenumber is not None and x.l_linenumber == r.l_linenumber + 1]
+    assert {r.l_orderkey for r in rows} == set(range(30)) and any(r.l_linenumber is None for r in rows)
+    assert all(r.next_path == min(after(r), default=None) for r in rows)
+
+
+def test_finished_steps_leave_no_shuffle_files(spark):
+    """A driver that collects by chance kept the files of all steps until the end."""
+    import time
+
+    from tallywake.session import cut_lineage, release, written
+
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    release(spark)
+    time.sleep(1)
+    before = held.size()
+    for k in range(4):
+        written(spark.range(100).groupBy((F.col("id") % 7 + k).alias("k")).count(), "step")
+        cut_lineage(spark.range(100).groupBy((F.col("id") % 5 + k).alias("k")).count())
+    until = time.monotonic() + 20
+    while held.size() > before + 1 and time.monotonic() < until:
+        time.sleep(0.2)
+    assert held.size() <= before + 1
+
+
+def test_predicted_and_changed_files_are_compared_in_one_shuffle(spark):
+    from tallywake.operators import changes as c
+
+    schema = "change_id int, path string"
+    said = [(1, "a", "advisory"), (1, "a", "required"), (1, "b", "supporting"), (1, "c", "advisory"), (1, "d", "required"), (1, "e", "other"), (None, "a", "required"), (1, None, "required")]
+    touched = [(1, "a"), (1, "a"), (1, "b"), (1, "c"), (1, "e"), (1, "f"), (1, ""), (1, None), (None, "a")]
+    out = c.compare_predicted(spark.createDataFrame(said, schema + ", role string"), spark.createDataFrame(touched, schema))
+    assert planned(out).count("Exchange hashpartitioning") == 1
+    want = [(1, "a", "direct"), (1, "b", "related"), (1, "c", "advisory"), (1, "d", "unconfirmed"), (1, "e", "missed"), (1, "f", "missed"), (1, None, "unconfirmed"), (None, "a", "missed"), (None, "a", "unconfirmed")]
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
+
+
+def test_flags_of_paths_are_bits(spark):
+    from tallywake.functions import fixed_values as fixed
+    from tallywake.operators import changes as c
+
+    paths = ["src/auth/billing/schema.sql", ".env", "docs/auth/a.md", "config/Dockerfile", "package.json", "src/a.ts"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select(c.drift_flags(F.col("path")).alias("names"), c.drift_mask(F.col("path")).alias("mask"), c.drift_mask(F.col("path"), fixed.SEVERE_FLAGS).alias("severe")).collect()
+    assert {f for r in rows for f in r.names} >= {"auth/security", "money flow", "data model", "configuration", "dependency", "secret"}
+    assert all([f for i, f in enumerate(c.DRIFT_FLAGS) if r.mask >> i & 1] == sorted(r.names, key=c.DRIFT_FLAGS.index) for r in rows)
+    assert all({f for i, f in enumerate(c.DRIFT_FLAGS) if r.severe >> i & 1} == set(r.names) & set(fixed.SEVERE_FLAGS) for r in rows)
+
+
+def test_the_subject_of_a_test_is_worked_out_once(spark):
+    """It was cut out of the path anew for every letter of it."""
+    from tallywake.operators import changes as c
+
+    tests = spark.createDataFrame([(1, "src/a/cart-total.view.test.ts")], "change_id int, path string")
+    rows = c._cover_rows(tests)
+    assert planned(rows).count(r"(?i)\.snap$") == 1
+    assert {(r.stem, r.suffixed) for r in rows.collect()} == {("cart-total.view", False), ("cart-total", False), ("cart", True)}
+
+
+def test_links_of_a_closure_are_read_either_way(spark):
+    from tallywake.operators import changes as c
+
+    df = lambda *paths: spark.createDataFrame([(1, p) for p in paths], "change_id int, path string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    edges = spark.createDataFrame([(1, "src/x/b.ts", "src/y/a.ts"), (1, "src/y/a.ts", "src/z/c.ts"), (1, "src/w/d.ts", "src/z/c.ts"), (1, "src/v/pop.ts", "src/y/a.ts"), (1, "src/y/a.ts", "src/auth/e.ts"), (1, "src/x/b.ts", "src/u/far.ts")], "change_id int, src string, dst string")
+    importers = spark.createDataFrame([(1, "src/y/a.ts", 2), (1, "src/z/c.ts", 9), (1, "src/auth/e.ts", 1)], "change_id int, path string, importers int")
+    out = c.declared_closure(
+        df("src/y/a.ts"), df("src/x/b.ts", "src/z/c.ts", "src/w/d.ts", "src/v/pop.ts", "src/auth/e.ts", "src/u/far.ts", "docs/n.md"), none("change_id int, path string"),
+        none("change_id int, term string"), none("change_id int, directory string"), edges, importers, none("change_id int, path string, line int, text string"),
+    )
+    # c.ts has too many importers and e.ts a severe flag of its own; far.ts joins in the second round, over an edge without a number.
+    assert {r.path: (r.rule, r.anchor) for r in out.collect()} == {
+        "src/x/b.ts": ("scope-import", "src/y/a.ts"), "src/v/pop.ts": ("scope-import", "src/y/a.ts"), "src/u/far.ts": ("scope-import", "src/x/b.ts"), "docs/n.md": ("scope-doc", "src/u/far.ts"),
+    }
+
+
 def test_closure_takes_generic_sources_beside_their_tests_only(spark):
     from tallywake.operators import changes as c
 
