@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywake.functions import paths as P
-from tallywake.session import cut_lineage
+from tallywake.session import cut_lineage, shuffled
 
 # Endings tried after a specifier, in order of preference.
 IMPORT_SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -58,7 +58,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     wanted = imports.select(
         "repo_id", "src", "specifier", F.posexplode(_specifier_keys(F.col("specifier"), F.col("src"))).alias("key_rank", "key")
     )
-    found = wanted.join(_file_keys(files), ["repo_id", "key"])
+    found = wanted.join(shuffled(_file_keys(files)), ["repo_id", "key"])
     return found.groupBy("repo_id", "src", "specifier").agg(
         F.min_by("path", F.struct("key_rank", "suffix_rank")).alias("dst")
     )
@@ -88,7 +88,7 @@ def infer_imports(imports: DataFrame, files: DataFrame, packages: DataFrame) ->
     name = F.when(spec.startswith("@"), F.substring_index(spec, "/", 2)).otherwise(F.substring_index(spec, "/", 1))
     key = F.regexp_replace(F.regexp_replace(spec, r"\.[cm]?[jt]sx?$", ""), r"/index$", "")
     open_specs = bare.withColumns({"package": name, "key": key}).join(packages.select("repo_id", "package").distinct(), ["repo_id", "package"], "left_anti")
-    return open_specs.join(_stem_keys(files), ["repo_id", "key"]).select("repo_id", "src", "specifier", "dst")
+    return open_specs.join(shuffled(_stem_keys(files)), ["repo_id", "key"]).select("repo_id", "src", "specifier", "dst")
 
 
 def package_dirs(imports: DataFrame, modules: DataFrame, files: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def build_edges(files: DataFrame, packages: DataFrame, dirs: DataFrame | None =
     sources = files.where(~F.col("is_vendor") & (F.col("kind") != "doc"))
     imports = import_rows(sources)
     extracted = resolve_imports(imports, sources)
-    open_specs = imports.join(extracted, ["repo_id", "src", "specifier"], "left_anti")
+    open_specs = imports.join(shuffled(extracted), ["repo_id", "src", "specifier"], "left_anti")
     inferred = infer_imports(open_specs, sources, packages)
     edges = extracted.select("repo_id", "src", "dst", F.lit(0).alias("rank")).unionByName(
         inferred.select("repo_id", "src", "dst", F.lit(1).alias("rank"))

@@ -9,6 +9,7 @@ from tallywake.functions import paths as P
 from tallywake.functions.fixed_values import LANGUAGE_CODES
 from tallywake.operators import graph as g
 from tallywake.plans.tables import spread, table
+from tallywake.session import shuffled, written
 
 # The same expressions run on both engines: a path for every part.
 FOLDER = """case p_type when 'ECONOMY' then 'src/services/' when 'LARGE' then 'src/app/api/' when 'MEDIUM' then 'tests/'
@@ -200,7 +201,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = named
     for n, name in ((3, "a"), (5, "b"), (7, "c")):
-        rows = rows.withColumn(f"k{n}", base + F.floor((F.col("k") - base) / n)).join(target(n, name), f"k{n}")
+        rows = rows.withColumn(f"k{n}", base + F.floor((F.col("k") - base) / n)).join(shuffled(target(n, name)), f"k{n}")
     depth = F.length(F.regexp_replace("path", "[^/]", ""))
     s1 = F.concat(F.lit("@/"), F.regexp_replace(F.regexp_replace("a", "^src/", ""), r"\.tsx?$", ""))
     s2 = F.concat(F.repeat(F.lit("../"), depth), F.regexp_replace(F.regexp_replace("b", r"\.ts$", ".js"), r"/index\.js$", ""))
@@ -267,7 +268,8 @@ edges as (select repo_id, src, dst, case when min(r) = 0 then 'EXTRACTED' else '
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.build_edges(files(spark, sf_dir), packages(spark, sf_dir))
+    """Specifiers and files meet several times: the files are joined with what they import once and written."""
+    return g.build_edges(written(files(spark, sf_dir), "files"), packages(spark, sf_dir))
 
 
 def j4_inferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

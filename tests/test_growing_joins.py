@@ -50,6 +50,15 @@ def test_items_are_joined_once(spark, shop, monkeypatch, name):
     assert len(made) == 1
 
 
+def test_files_and_their_imports_are_not_sent_through_the_driver(spark, shop):
+    from tallywake.plans import graph
+
+    assert "Broadcast" not in planned(graph.files(spark, shop))
+    # Only the declared packages may go to every task.
+    assert planned(graph.edges(spark, shop)).count("BroadcastHashJoin") <= 1
+    assert graph.g1_dependents(spark, shop).count() > 0
+
+
 def test_paths_of_items_are_shuffled_once(spark, shop):
     """Lines meet their part and then their order; the line after is looked up where they lie by then."""
     made = plans.items(spark, shop)
