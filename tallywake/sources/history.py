@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallywake.functions.slices import with_running
 
 LINES_PER_SLICE = 5_000
+LINES_PER_BLOCK = 100
 
 
 def read_history(spark: SparkSession, path: str, separator: str, repo_id: str) -> DataFrame:
@@ -71,35 +72,39 @@ def parse_added_lines(diffs: DataFrame, key: str = "change_id") -> DataFrame:
     A '+++' line names a file only between a 'diff --git' line and its first
     hunk; '/dev/null' is no file.
     """
-    lines = _diff_lines(diffs, key)
-    text = F.col("text")
     header = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    opens = text.startswith("diff --git ")
-    hunk = text.rlike(header)
-    marks = with_running(
-        lines, [key], "slice", ["pos"],
-        maxima={"_open": F.when(opens, F.col("pos")), "_hunk": F.when(hunk, F.col("pos"))},
+    # What stands before the first 'diff --git' line has no file.
+    parts = diffs.select(key, F.explode(F.split("value", r"\n(?=diff --git )")).alias("part")).where(F.col("part").startswith("diff --git "))
+    cut = parts.select(key, F.split("part", "\n").alias("lines")).select(
+        key, F.get("lines", F.lit(0)).alias("opens"), F.filter("lines", lambda s: s.startswith("+++ ") | s.rlike(header)).alias("marks"),
     )
-    in_header = F.col("_open").isNotNull() & (F.coalesce("_hunk", F.lit(-1)) < F.col("_open"))
-    target = F.regexp_replace(F.expr("substring(text, 5)"), r"\t$", "")
+    hunks = F.filter("marks", lambda s: ~s.startswith("+++ "))
+    first = F.coalesce(F.array_position(F.transform("marks", lambda s: s.startswith("@@")), F.lit(True)), F.lit(0))
+    # The last '+++' line before the first hunk names the file, else the line that opens the part.
+    named = F.get("marks", (first - 2).cast("int"))
+    target = F.regexp_replace(F.expr("substring(named, 5)"), r"\t$", "")
     unquoted = F.when(target.rlike('^".*"$'), F.regexp_replace(target.substr(F.lit(2), F.length(target) - 2), r'\\(["\\])', "$1")).otherwise(target)
     path = F.when(target == "/dev/null", F.lit(None)).otherwise(F.regexp_replace(unquoted, "^b/", ""))
-    from_open = F.regexp_extract("text", r" b/(.*)$", 1)
-    entry = (
-        F.when(opens, F.struct("pos", F.when(from_open != "", from_open).alias("path")))
-        .when(in_header & text.startswith("+++ "), F.struct("pos", path.alias("path")))
+    from_open = F.regexp_extract("opens", r" b/(.*)$", 1)
+    known = cut.where(first > 0).select(key, "opens", F.when(first > 1, named).alias("named"), hunks.alias("hunks")).select(
+        key, F.when(F.col("named").isNotNull(), path).when(from_open != "", from_open).alias("path"), F.explode("hunks").alias("text")
     )
-    known = with_running(marks, [key], "slice", ["pos"], maxima={"_file": entry})
     count = F.regexp_extract("text", header, 2)
     start = F.regexp_extract("text", header, 1).cast("int")
     n = F.when(count == "", 1).otherwise(count.cast("int"))
-    return (
-        known.where(F.col("text").rlike(header) & F.col("_file.path").isNotNull())
-        .select(key, F.col("_file.path").alias("path"), start.alias("start"), n.alias("n"))
-        .where("n > 0")
-        .select(key, "path", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("line"))
-        .distinct()
+    ranges = known.where("path is not null").select(key, "path", start.alias("start"), n.alias("n")).where("n > 0")
+    # Ranges are cut at every LINES_PER_BLOCK lines and shuffled as they are: lines that several name meet in their block.
+    block = F.sequence(F.floor(F.col("start") / LINES_PER_BLOCK), F.floor((F.col("start") + F.col("n") - 1) / LINES_PER_BLOCK))
+    pieces = ranges.select("*", F.explode(block).alias("block")).select(
+        key, "path", "block",
+        F.struct(
+            F.greatest(F.col("start"), F.col("block") * LINES_PER_BLOCK).cast("int").alias("first"),
+            F.least(F.col("start") + F.col("n") - 1, (F.col("block") + 1) * LINES_PER_BLOCK - 1).cast("int").alias("last"),
+        ).alias("r"),
     )
+    held = pieces.groupBy(key, "path", "block").agg(F.collect_set("r").alias("r"))
+    every = F.array_distinct(F.flatten(F.transform("r", lambda r: F.sequence(r["first"], r["last"]))))
+    return held.select(key, "path", F.explode(every).alias("line"))
 
 
 def parse_name_status(lines: DataFrame) -> DataFrame:

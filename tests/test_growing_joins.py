@@ -196,6 +196,41 @@ def test_words_of_files_meet_the_wanted_ones_unshuffled(spark):
     assert scores.where("request_id = 2").count() == 6  # inside the longer word
 
 
+def test_added_lines_are_read_where_the_diffs_lie(spark):
+    """Only ranges are shuffled, and no line of a diff."""
+    import re
+
+    from tallywake.sources import history as h
+
+    header = r"@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
+
+    def wanted(text):
+        path, head, out = None, False, set()
+        for line in text.split("\n"):
+            if line.startswith("diff --git "):
+                head, path = True, (re.findall(r" b/(.*)$", line) or [None])[0] or None
+            elif m := re.match(header, line):
+                head = False
+                out |= {(path, n) for n in range(int(m[1]), int(m[1]) + (1 if m[2] is None else int(m[2]))) if path is not None}
+            elif head and line.startswith("+++ "):
+                name = re.sub(r"\t$", "", line[4:])
+                name = re.sub(r'\\(["\\])', r"\1", name[1:-1]) if re.match('^".*"$', name) else name
+                path = None if name == "/dev/null" else re.sub("^b/", "", name)
+        return out
+
+    diffs = [
+        (1, "noise\n@@ -1 +1 @@\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +3,4 @@ f\n+++ b/other\n@@ -9 +9 @@\n@@ broken @@\n@@ -1 +5,0 @@"),
+        (2, "diff --git a/x b/only\nrename\n@@ -1 +98,205 @@\n@@ -1 +100,3 @@\ndiff --git a/y b/y\n+++ /dev/null\n@@ -1 +7 @@\ndiff --git nothing\n@@ -1 +8 @@"),
+        (3, 'diff --git a/q b/q\n+++ b/first\n+++ "b/q\\"t"\t\n@@ -1 +1,2 @@\n a line that says diff --git a/z b/z\n@@ -1 +2,2 @@\ndiff --git a/q b/q\n+++ b/none'),
+        (None, "diff --git a/n b/n\n+++ b/n\n@@ -0,0 +1,3 @@"), (4, None), (5, ""), (1, "diff --git a/x b/x\n@@ -1 +6,3 @@"),
+    ]
+    out = h.parse_added_lines(spark.createDataFrame(diffs, "change_id int, value string"))
+    assert planned(out).count("Exchange hashpartitioning") == 1
+    want = {(key, *x) for key, text in diffs for x in wanted(text or "")}
+    got = [(r.change_id, r.path, r.line) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want and (2, "only", 302) in want and (3, 'q"t', 3) in want
+
+
 def test_lines_are_written_to_as_many_files_as_they_need(spark, monkeypatch):
     from tallywake.plans import tables
 
