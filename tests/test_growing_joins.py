@@ -196,6 +196,34 @@ def test_words_of_files_meet_the_wanted_ones_unshuffled(spark):
     assert scores.where("request_id = 2").count() == 6  # inside the longer word
 
 
+def test_words_meet_spellings_unshuffled_however_many_there_are(spark):
+    """Spellings go to all tasks by their first letters; before, the words of a corpus that held one went there while they were few."""
+    from tallywake.operators import context as x
+    from tallywake.session import written
+
+    named = "repo_id string, path string, field string, value_no int, word string, alone boolean, own boolean"
+    words = ["cart", "carts", "xcartx", "art", "a", "banana", "é", "", None]
+    terms = spark.createDataFrame([("r", f"f{i}", "symbol", 0, w, False, True) for i, w in enumerate(words)], named)
+    tokens = spark.createDataFrame(
+        [(1, "r", "cart", 0, ["cart", "carts"], None), (1, "r", "an", 1, ["an"], None), (2, "r", "a", 0, ["a"], None), (2, "s", "art", 0, ["art"], None), (3, "r", "é", 0, ["é"], None)],
+        "request_id int, repo_id string, token string, pos int, variants array<string>, partners array<string>",
+    )
+    factors = spark.createDataFrame([("r", "cart", 1.0)], "repo_id string, token string, factor double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = x.field_scores(tokens, written(terms, "terms"), factors, {"symbol": 10}, caps={})
+        matched = x.matched_terms(terms, tokens)
+        assert "gram" in planned(scores) and planned(scores).count("BroadcastHashJoin") == 1
+        assert planned(matched).count("BroadcastHashJoin") == 1
+        got = {(r.request_id, r.path): r.points for r in scores.collect()}
+        want = {(q, f"f{i}"): 10 * sum(any(v in w for v in vs) for vs in asked) for q, asked in ((1, [["cart", "carts"], ["an"]]), (2, [["a"]]), (3, [["é"]])) for i, w in enumerate(words) if w}
+        assert got == {k: v for k, v in want.items() if v}
+        assert {r.word for r in matched.collect()} == {"cart", "carts", "a", "é"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_added_lines_are_read_where_the_diffs_lie(spark):
     """Only ranges are shuffled, and no line of a diff."""
     import re
